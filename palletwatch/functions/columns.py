@@ -1,7 +1,9 @@
 """Money, dates and shares as column expressions.
 
-Amounts are decimals before they are summed: a sum of doubles depends on the
-order in which partitions arrive, a sum of decimals does not.
+A sum of doubles depends on the order in which partitions arrive, so amounts
+are summed as whole units: hundredths, or finer once rates are multiplied in.
+Sums of longs keep the aggregation in plain fixed-width buffers; the decimal is
+made once per group, from the finished sum.
 """
 
 from __future__ import annotations
@@ -11,27 +13,47 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+SPLIT_BITS = 20
 
-def money(amount: str) -> Column:
-    return F.col(amount).cast("decimal(12,2)")
 
+def hundredths(amount: str) -> Column:
+    """A column of at most two decimal places as a whole number."""
+    return F.rint(F.col(amount) * 100).cast("bigint")
 
-def rate(name: str) -> Column:
-    return F.col(name).cast("decimal(4,2)")
 
+def net_units() -> Column:
+    """Line price after discount, in units of 0.0001."""
+    return hundredths("l_extendedprice") * (100 - hundredths("l_discount"))
 
-def quantity() -> Column:
-    return money("l_quantity")
 
+def gross_units() -> Column:
+    """Line price after discount, with tax, in units of 0.000001."""
+    return net_units() * (100 + hundredths("l_tax"))
 
-def net_value() -> Column:
-    """Line price after discount."""
-    return money("l_extendedprice") * (F.lit(1) - rate("l_discount"))
 
+def _unit(places: int) -> Column:
+    return F.lit(f"0.{'1'.zfill(places)}").cast(f"decimal({places},{places})")
 
-def gross_value() -> Column:
-    """Line price after discount, with tax."""
-    return net_value() * (F.lit(1) + rate("l_tax"))
+
+def as_decimal(units: Column, places: int) -> Column:
+    """Whole units as a decimal of that many places."""
+    return (units.cast("decimal(18,0)") * _unit(places)).cast(f"decimal(18,{places})")
+
+
+def total(units: Column, places: int) -> Column:
+    """The exact sum of whole units as a decimal.
+
+    High and low bits are added apart: a long holds either sum for trillions of
+    rows, where the plain sum of finely scaled values would run over.
+    """
+    high = F.sum(F.shiftright(units, SPLIT_BITS)).cast("decimal(20,0)")
+    low = F.sum(units.bitwiseAND(F.lit((1 << SPLIT_BITS) - 1))).cast("decimal(20,0)")
+    return (high * F.lit(1 << SPLIT_BITS).cast("decimal(7,0)") + low) * _unit(places)
+
+
+def total_quantity() -> Column:
+    """The exact sum of quantities; hundredths of pieces fit a long."""
+    return as_decimal(F.sum(hundredths("l_quantity")), 2)
 
 
 def receipt_day() -> Column:

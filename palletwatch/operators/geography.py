@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palletwatch.functions.columns import quantity
+from palletwatch.functions.columns import total_quantity
 from palletwatch.operators.receipts import vendors
 
 
@@ -16,7 +16,7 @@ def geography_totals(lineitem: DataFrame, supplier: DataFrame, nation: DataFrame
     supplier instead of the lines.
     """
     per_supplier = lineitem.groupBy("l_suppkey").agg(
-        F.count("*").alias("lines"), F.sum(quantity()).alias("quantity")
+        F.count("*").alias("lines"), total_quantity().alias("quantity")
     )
     vendor = vendors(supplier, nation, region)
     return (

@@ -24,6 +24,7 @@ def _spread(leads: DataFrame, key: str) -> DataFrame:
     Equal leads are counted first. What reaches a key is then one row per
     distinct number of days, however many lines it has.
     """
+    quantiles = F.percentile("lead", F.array(F.lit(0.5), F.lit(0.9)), F.col("n"))
     return (
         leads.filter("lead >= 0")
         .groupBy(key, "lead")
@@ -32,10 +33,15 @@ def _spread(leads: DataFrame, key: str) -> DataFrame:
         .agg(
             F.sum("n").alias("lines"),
             F.min("lead").alias("min_lead"),
-            F.round(F.percentile("lead", F.lit(0.5), F.col("n")), 6).alias("median_lead"),
-            F.round(F.percentile("lead", F.lit(0.9), F.col("n")), 6).alias("p90_lead"),
+            quantiles.alias("quantiles"),
             F.max("lead").alias("max_lead"),
         )
+        .select(
+            key, "lines", "min_lead",
+            F.round(F.col("quantiles")[0], 6).alias("median_lead"),
+            F.round(F.col("quantiles")[1], 6).alias("p90_lead"),
+            "max_lead",
+        )
     )
 
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palletwatch.functions.columns import gross_value, money, order_day, quantity, receipt_day
+from palletwatch.functions.columns import as_decimal, gross_units, hundredths, order_day, receipt_day, total, total_quantity
 
 
 def open_orders(orders: DataFrame, lineitem: DataFrame, as_of: dt.date) -> DataFrame:
@@ -28,7 +28,7 @@ def order_progress(lineitem: DataFrame) -> DataFrame:
     """Lines, quantity, first and last receipt of each order that has receipts."""
     return lineitem.groupBy("l_orderkey").agg(
         F.count("*").alias("lines"),
-        F.sum(quantity()).alias("quantity"),
+        total_quantity().alias("quantity"),
         F.min(receipt_day()).alias("first_receipt"),
         F.max(receipt_day()).alias("last_receipt"),
     )
@@ -40,10 +40,10 @@ def value_reconciliation(orders: DataFrame, lineitem: DataFrame, tolerance: str
     Lines are summed per order before the join, which then meets one row per
     order on both sides and reuses the partitioning of that sum.
     """
-    received = lineitem.groupBy("l_orderkey").agg(F.sum(gross_value()).alias("received_value"))
+    received = lineitem.groupBy("l_orderkey").agg(total(gross_units(), 6).alias("received_value"))
     difference = F.col("order_value") - F.col("received_value")
     return (
-        orders.select("o_orderkey", money("o_totalprice").alias("order_value"))
+        orders.select("o_orderkey", as_decimal(hundredths("o_totalprice"), 2).alias("order_value"))
         .join(received, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .select(
             "o_orderkey", "order_value", "received_value",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palletwatch.functions.columns import money
+from palletwatch.functions.columns import hundredths, total
 from palletwatch.operators.ordered import running_total
 
 
@@ -15,14 +15,17 @@ def value_classes(lineitem: DataFrame, a_share: str = "0.80", b_share: str = "0.
     A part is in A while the parts before it have less than ``a_share`` of the
     whole value, in B while they have less than ``b_share``, else in C.
     """
-    value = lineitem.groupBy("l_partkey").agg(F.sum(money("l_extendedprice")).alias("value"))
+    value = lineitem.groupBy("l_partkey").agg(total(hundredths("l_extendedprice"), 2).alias("value"))
     ranked = running_total(value, "value", [F.desc("value"), F.asc("l_partkey")])
 
-    def below(part_of_whole: str):
-        return F.col("before") < F.col("overall") * F.lit(part_of_whole).cast("decimal(3,2)")
+    # Sums widen to 38 digits; narrowed, the product with a share keeps all its places.
+    before, overall = (F.col(name).cast("decimal(30,2)") for name in ("before", "overall"))
+
+    def below(part_of_whole: str) -> Column:
+        return before < overall * F.lit(part_of_whole).cast("decimal(3,2)")
 
     return ranked.select(
         "l_partkey", "value",
-        F.col("before").alias("value_before"),
+        before.alias("value_before"),
         F.when(below(a_share), "A").when(below(b_share), "B").otherwise("C").alias("value_class"),
     )

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palletwatch.functions.columns import net_value, order_day, quantity, receipt_day
+from palletwatch.functions.columns import as_decimal, hundredths, net_units, order_day, receipt_day, total, total_quantity
 
 RECEIPT_KEY = ("l_orderkey", "l_linenumber")
-# (l_orderkey, l_linenumber) repeats, so ties need the remaining key columns too.
-LINE_KEY = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+# (l_orderkey, l_linenumber) repeats; with these and the part, a line is unique.
+LINE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")
 
 
 def vendors(supplier: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
@@ -40,8 +40,8 @@ def receipt_fact(
             receipt_day().alias("receipt_day"),
             order_day().alias("order_day"),
             "o_orderpriority", "p_name", "p_brand", "s_name", "n_name", "r_name",
-            quantity().alias("quantity"),
-            net_value().alias("net_value"),
+            as_decimal(hundredths("l_quantity"), 2).alias("quantity"),
+            as_decimal(net_units(), 4).alias("net_value"),
         )
     )
 
@@ -50,8 +50,8 @@ def daily_receipts(lineitem: DataFrame) -> DataFrame:
     """Lines, quantity and net value per supplier and day of receipt."""
     return lineitem.groupBy("l_suppkey", receipt_day().alias("receipt_day")).agg(
         F.count("*").alias("lines"),
-        F.sum(quantity()).alias("quantity"),
-        F.sum(net_value()).alias("net_value"),
+        total_quantity().alias("quantity"),
+        total(net_units(), 4).alias("net_value"),
     )
 
 
@@ -59,7 +59,7 @@ def repeated_keys(lineitem: DataFrame) -> DataFrame:
     """Receipt keys booked more than once."""
     return (
         lineitem.groupBy(*RECEIPT_KEY)
-        .agg(F.count("*").alias("times"), F.sum(quantity()).alias("quantity"))
+        .agg(F.count("*").alias("times"), total_quantity().alias("quantity"))
         .filter("times > 1")
     )
 
@@ -67,16 +67,13 @@ def repeated_keys(lineitem: DataFrame) -> DataFrame:
 def latest_per_part(lineitem: DataFrame) -> DataFrame:
     """The newest receipt of each part, ties going to the highest line key.
 
-    The rank filter is pushed below the shuffle, so each map task sends at most
-    one row per part however often that part was received.
+    The maximum of a struct is an ordinary aggregate: each map task sends one
+    row per part, however often that part was received.
     """
-    newest = Window.partitionBy("l_partkey").orderBy(*(F.desc(column) for column in LINE_KEY))
+    newest = F.max(F.struct(*LINE_ORDER, as_decimal(hundredths("l_quantity"), 2).alias("quantity")))
     return (
-        lineitem.select(*LINE_KEY, quantity().alias("quantity"))
-        .withColumn("place", F.row_number().over(newest))
-        .filter("place = 1")
-        .select(
-            "l_partkey", receipt_day().alias("receipt_day"),
-            "l_orderkey", "l_linenumber", "l_suppkey", "quantity",
-        )
+        lineitem.groupBy("l_partkey")
+        .agg(newest.alias("newest"))
+        .select("l_partkey", "newest.*")
+        .select("l_partkey", receipt_day().alias("receipt_day"), "l_orderkey", "l_linenumber", "l_suppkey", "quantity")
     )

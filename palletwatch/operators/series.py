@@ -10,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palletwatch.functions.columns import quantity, receipt_day
+from palletwatch.functions.columns import receipt_day, total_quantity
 from palletwatch.operators.receipts import daily_receipts, vendors
 
 
+def _supplier_days(lineitem: DataFrame) -> DataFrame:
+    return lineitem.select("l_suppkey", receipt_day().alias("receipt_day")).distinct()
+
+
 def rolling_quantity(lineitem: DataFrame, days: int = 7) -> DataFrame:
     """Quantity of the day and the days before it, ``days`` calendar days in all, per supplier."""
     day_number = F.unix_date("receipt_day")
@@ -28,8 +32,7 @@ def receipt_gaps(lineitem: DataFrame, more_than: int = 30) -> DataFrame:
     """Stretches of more than ``more_than`` days between consecutive receipts of a supplier."""
     by_day = Window.partitionBy("l_suppkey").orderBy("receipt_day")
     return (
-        lineitem.select("l_suppkey", receipt_day().alias("receipt_day"))
-        .distinct()
+        _supplier_days(lineitem)
         .withColumn("previous_day", F.lag("receipt_day").over(by_day))
         .withColumn("gap_days", F.datediff("receipt_day", "previous_day").cast("bigint"))
         .filter(F.col("gap_days") > more_than)
@@ -37,14 +40,14 @@ def receipt_gaps(lineitem: DataFrame, more_than: int = 30) -> DataFrame:
     )
 
 
-def _empty_days(seen: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """Days of the overall calendar on which a member of ``key`` does not occur in ``seen``.
+def _empty_days(lineitem: DataFrame, seen: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Days between the first and last receipt of all on which a member of ``key`` is not ``seen``.
 
     The calendar is not multiplied out: each member gets a mark just outside
     either end, and only the days between neighbouring marks are generated.
     """
-    first = seen.agg(F.date_sub(F.min("receipt_day"), 1)).scalar()
-    last = seen.agg(F.date_add(F.max("receipt_day"), 1)).scalar()
+    first = lineitem.agg(F.date_sub(F.min(receipt_day()), 1)).scalar()
+    last = lineitem.agg(F.date_add(F.max(receipt_day()), 1)).scalar()
     ends = members.select(key, F.explode(F.array(first, last)).alias("receipt_day"))
     by_day = Window.partitionBy(key).orderBy("receipt_day")
     return (
@@ -62,20 +65,20 @@ def _empty_days(seen: DataFrame, members: DataFrame, key: str) -> DataFrame:
 def empty_days_by_region(
     lineitem: DataFrame, supplier: DataFrame, nation: DataFrame, region: DataFrame
 ) -> DataFrame:
-    """Days without any receipt per region, between the first and last receipt of all.
+    """Days without any receipt per region.
 
     Lines become distinct supplier days before they meet the vendor table.
     """
-    days = lineitem.select("l_suppkey", receipt_day().alias("receipt_day")).distinct()
+    days = _supplier_days(lineitem)
     vendor = vendors(supplier, nation, region)
     seen = days.join(vendor, days.l_suppkey == vendor.s_suppkey).select("r_name", "receipt_day").distinct()
-    return _empty_days(seen, region, "r_name")
+    return _empty_days(lineitem, seen, region, "r_name")
 
 
 def empty_days_by_supplier(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
-    """Days without any receipt per supplier, between the first and last receipt of all."""
-    seen = lineitem.select("l_suppkey", receipt_day().alias("receipt_day")).distinct()
-    return _empty_days(seen, supplier.select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey")
+    """Days without any receipt per supplier."""
+    members = supplier.select(F.col("s_suppkey").alias("l_suppkey"))
+    return _empty_days(lineitem, _supplier_days(lineitem), members, "l_suppkey")
 
 
 def volume_anomalies(lineitem: DataFrame, *by: str, history: int = 28, threshold: float = 3.0) -> DataFrame:
@@ -85,7 +88,7 @@ def volume_anomalies(lineitem: DataFrame, *by: str, history: int = 28, threshold
     score and are not reported. Without ``by`` there is one series for all
     receipts, a row per calendar day.
     """
-    daily = lineitem.groupBy(*by, receipt_day().alias("receipt_day")).agg(F.sum(quantity()).alias("quantity"))
+    daily = lineitem.groupBy(*by, receipt_day().alias("receipt_day")).agg(total_quantity().alias("quantity"))
     before = Window.partitionBy(*by).orderBy("receipt_day").rowsBetween(-history, -1)
     amount = F.col("quantity").cast("double")
     return (

@@ -37,6 +37,5 @@ def supplier_scorecard(
         .withColumn("late_share", share("late_lines", "eligible_lines"))
         .checkpoint()
     )
-    return dense_rank_desc(
-        dense_rank_desc(scores, "returned_share", "returned_rank"), "late_share", "late_rank"
-    )
+    ranked = dense_rank_desc(scores, "returned_share", "returned_rank")
+    return dense_rank_desc(ranked, "late_share", "late_rank")

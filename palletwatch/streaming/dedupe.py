@@ -20,9 +20,20 @@ def unique_events(events: DataFrame) -> DataFrame:
     return events.withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place")
 
 
-def unique_event_stream(events: DataFrame) -> DataFrame:
-    """One event per id, where copies arrive within the watermark delay."""
-    return events.dropDuplicatesWithinWatermark(["event_id"])
+def unique_event_stream(events: DataFrame, spread: int | None = None) -> DataFrame:
+    """One event per id, where copies arrive within the watermark delay.
+
+    Copies are first thinned out per id and input partition, then per id. An id
+    with very many copies is so spread over ``spread`` tasks (by default one per
+    shuffle partition), each of which passes one copy on.
+    """
+    spread = spread or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        events.withColumn("part_of_input", F.spark_partition_id() % spread)
+        .dropDuplicatesWithinWatermark(["event_id", "part_of_input"])
+        .drop("part_of_input")
+        .dropDuplicatesWithinWatermark(["event_id"])
+    )
 
 
 def late_events(progress: Iterable[Mapping[str, Any]]) -> int:
