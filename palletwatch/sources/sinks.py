@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 from palletwatch.functions.columns import receipt_day
 
-WRITE_OPTIONS = {"csv": {"header": "true"}}
+# Text formats cut timestamps to milliseconds unless told otherwise.
+MICROSECONDS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+WRITE_OPTIONS = {"csv": {"header": "true", **MICROSECONDS}, "json": MICROSECONDS}
 
 
 def write_files(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:

@@ -1,0 +1,51 @@
+"""Running totals and ranks against brute force, cut into several slices."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from palletwatch.operators.ordered import dense_rank_desc, running_total
+
+
+@pytest.fixture(params=["one slice", "many slices"])
+def slices(request, settings):
+    settings(spark__sql__adaptive__coalescePartitions__enabled=str(request.param == "one slice").lower())
+    return request.param
+
+
+@pytest.mark.parametrize("kind", ["spread", "third equal", "all equal", "empty"])
+def test_running_total(spark, slices, kind):
+    rng = random.Random(kind)
+    values = {
+        "spread": [rng.randrange(10**6) for _ in range(2000)],
+        "third equal": [7 if n % 3 == 0 else rng.randrange(20) for n in range(2000)],
+        "all equal": [1] * 500,
+        "empty": [],
+    }[kind]
+    df = spark.createDataFrame(list(enumerate(values)), "id bigint, amount bigint").repartition(4)
+    got = running_total(df, "amount", [F.desc("amount"), F.asc("id")]).collect()
+
+    expected, before = {}, 0
+    for key, amount in sorted(enumerate(values), key=lambda pair: (-pair[1], pair[0])):
+        expected[key] = before
+        before += amount
+    assert {r.id: r.before for r in got} == expected
+    assert {r.overall for r in got} == ({sum(values)} if values else set())
+
+
+def test_many_slices_are_really_used(spark, settings):
+    settings(spark__sql__adaptive__coalescePartitions__enabled="false")
+    sliced = spark.range(2000).repartitionByRange("id").select(F.spark_partition_id().alias("slice"))
+    assert sliced.distinct().count() == 8
+
+
+def test_dense_rank(spark, slices):
+    rng = random.Random(1)
+    values = [rng.choice([0.0, 0.0, None, rng.random()]) for _ in range(1000)]
+    df = spark.createDataFrame(list(enumerate(values)), "id bigint, share double")
+    places = {v: n for n, v in enumerate(sorted({v for v in values if v is not None}, reverse=True), 1)}
+    got = dense_rank_desc(df, "share", "place").collect()
+    assert {r.id: r.place for r in got} == {n: places.get(v) for n, v in enumerate(values)}

@@ -1,0 +1,66 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from palletwatch import session
+from palletwatch.operators.receipts import daily_receipts
+from palletwatch.sources.schemas import SCHEMAS
+from palletwatch.sources.sinks import write_by_month, write_files
+from palletwatch.sources.tables import Tables
+from tests.conftest import TESTDATA
+from tests.fixtures import rows
+
+
+@pytest.mark.parametrize("name", list(SCHEMAS))
+def test_declared_schema_matches_parquet(spark, name):
+    declared = spark.createDataFrame([], SCHEMAS[name])
+    assert getattr(Tables(spark, f"{TESTDATA}/sf0.001"), name).dtypes == declared.dtypes
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
+def test_formats_round_trip(spark, tmp_path, fmt):
+    original = Tables(spark, f"{TESTDATA}/sf0.001")
+    for name in ("lineitem", "events"):
+        write_files(getattr(original, name), f"{tmp_path}/{name}.{fmt}", fmt)
+    copy = Tables(spark, str(tmp_path), fmt)
+    assert copy.events.exceptAll(original.events).isEmpty()
+    assert copy.lineitem.count() == original.lineitem.count()
+    assert rows(daily_receipts(copy.lineitem)) == rows(daily_receipts(original.lineitem))
+
+
+def test_malformed_text_is_an_error(spark, tmp_path):
+    folder = tmp_path / "region.csv"
+    folder.mkdir()
+    (folder / "part.csv").write_text("r_regionkey,r_name\nnot a number,X\n")
+    with pytest.raises(Exception, match="MALFORMED_RECORD|CANNOT_PARSE|FAILED_READ"):
+        Tables(spark, str(tmp_path), "csv").region.collect()
+
+
+def test_months_are_skipped_by_a_filter(spark, tmp_path):
+    out = f"{tmp_path}/by_month"
+    write_by_month(Tables(spark, f"{TESTDATA}/sf0.001").lineitem, out)
+    one = spark.read.parquet(out).filter("receipt_month = '1998-03'")
+    files = {r[0] for r in one.select(F.input_file_name()).distinct().collect()}
+    assert files and all("receipt_month=1998-03" in name for name in files)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(receipt_month" in plan
+
+
+def test_cluster_without_shared_folder_is_refused(monkeypatch):
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        sparkContext = Context()
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
