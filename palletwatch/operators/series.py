@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palletwatch.functions.columns import receipt_day, total_quantity
-from palletwatch.operators.receipts import daily_receipts, vendors
+from palletwatch.functions.columns import as_decimal, hundredths, receipt_day, total_quantity
+from palletwatch.operators.receipts import vendors
 
 
 def _supplier_days(lineitem: DataFrame) -> DataFrame:
@@ -20,11 +20,15 @@ def _supplier_days(lineitem: DataFrame) -> DataFrame:
 
 def rolling_quantity(lineitem: DataFrame, days: int = 7) -> DataFrame:
     """Quantity of the day and the days before it, ``days`` calendar days in all, per supplier."""
-    day_number = F.unix_date("receipt_day")
-    recent = Window.partitionBy("l_suppkey").orderBy(day_number).rangeBetween(1 - days, 0)
-    return daily_receipts(lineitem).select(
-        "l_suppkey", "receipt_day", "quantity",
-        F.sum("quantity").over(recent).alias("rolling_quantity"),
+    recent = Window.partitionBy("l_suppkey").orderBy(F.unix_date("receipt_day")).rangeBetween(1 - days, 0)
+    return (
+        lineitem.groupBy("l_suppkey", receipt_day().alias("receipt_day"))
+        .agg(F.sum(hundredths("l_quantity")).alias("units"))
+        .select(
+            "l_suppkey", "receipt_day",
+            as_decimal(F.col("units"), 2).alias("quantity"),
+            as_decimal(F.sum("units").over(recent), 2).alias("rolling_quantity"),
+        )
     )
 
 

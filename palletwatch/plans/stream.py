@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 from palletwatch.sources.stream import event_stream, run_to_end
 from palletwatch.streaming import dedupe, sessions, silence, windows
 
+# A stream takes a folder or a glob, never one file; this matches either.
+EVENTS_GLOB = "events.[p]arquet"
+
 OPERATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "hourly_events_stream": windows.hourly_counts,
     "sliding_events_stream": windows.sliding_counts,
@@ -38,7 +41,7 @@ def zoneless(df: DataFrame) -> DataFrame:
 
 def _query(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, path: str) -> DataFrame:
-        result, _ = run_to_end(operator(event_stream(spark, path, glob="events.parquet")))
+        result, _ = run_to_end(operator(event_stream(spark, f"{path}/{EVENTS_GLOB}")))
         return zoneless(result)
 
     return run
@@ -46,7 +49,7 @@ def _query(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession
 
 def late_event_report(spark: SparkSession, path: str) -> DataFrame:
     """Events taken by the de-duplication stream, and how many it dropped as late."""
-    result, query = run_to_end(dedupe.unique_event_stream(event_stream(spark, path, glob="events.parquet")))
+    result, query = run_to_end(dedupe.unique_event_stream(event_stream(spark, f"{path}/{EVENTS_GLOB}")))
     late = dedupe.late_events(query.recentProgress)
     return result.agg(F.count("*").alias("events")).withColumn("late", F.lit(late).cast("bigint"))
 

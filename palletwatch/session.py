@@ -16,12 +16,14 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
 }
 
-# State lives in RocksDB so that it may outgrow executor heap, and sessions of
-# one key are merged on the map side before they are shuffled.
+# State lives in RocksDB so that it may outgrow executor heap; counting its rows
+# would cost a lookup per write. Sessions of one key are merged on the map side
+# before they are shuffled.
 STREAMING = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 

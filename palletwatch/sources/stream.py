@@ -13,15 +13,15 @@ DELAY = "10 minutes"
 
 
 def event_stream(
-    spark: SparkSession, path: str, delay: str = DELAY, glob: str = "*.parquet", files_per_batch: int | None = None
+    spark: SparkSession, path: str, delay: str = DELAY, files_per_batch: int | None = None
 ) -> DataFrame:
-    """Dock events from the Parquet files of a folder, with a watermark on ``ts``.
+    """Dock events from the Parquet files of a folder or glob, with a watermark on ``ts``.
 
     The column is stored without a zone, which a watermark does not accept; it
     is read as UTC.
     """
     prepare_streaming(spark)
-    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", glob)
+    reader = spark.readStream.schema(EVENTS)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)

@@ -25,15 +25,17 @@ def unique_event_stream(events: DataFrame, spread: int | None = None) -> DataFra
 
     Copies are first thinned out per id and input partition, then per id. An id
     with very many copies is so spread over ``spread`` tasks (by default one per
-    shuffle partition), each of which passes one copy on.
+    shuffle partition), each of which passes one copy on. The first step keeps
+    state of its own; ``spread=1`` leaves it out where no id repeats that often.
     """
     spread = spread or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        events.withColumn("part_of_input", F.spark_partition_id() % spread)
-        .dropDuplicatesWithinWatermark(["event_id", "part_of_input"])
-        .drop("part_of_input")
-        .dropDuplicatesWithinWatermark(["event_id"])
-    )
+    if spread > 1:
+        events = (
+            events.withColumn("input_part", F.spark_partition_id() % spread)
+            .dropDuplicatesWithinWatermark(["event_id", "input_part"])
+            .drop("input_part")
+        )
+    return events.dropDuplicatesWithinWatermark(["event_id"])
 
 
 def late_events(progress: Iterable[Mapping[str, Any]]) -> int:

@@ -1,0 +1,74 @@
+"""All batch queries where one order, supplier, part, dock and event id hold a third of the rows.
+
+Thresholds of the adaptive skew split are lowered to the size of the test, so
+that the split is really taken.
+"""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from palletwatch.operators.leadtime import late_receipts
+from palletwatch.operators.receipts import receipt_fact
+from palletwatch.plans.batch import batch_queries
+from palletwatch.sources.tables import Tables
+from tests.compare import assert_same, database
+from tests.conftest import TESTDATA
+
+USED = ("region", "nation", "supplier", "part", "orders", "lineitem", "events")
+
+
+@pytest.fixture(scope="module")
+def skewed(spark, tmp_path_factory):
+    """sf0.01 with the keys of a third of its lines and events made equal."""
+    out = str(tmp_path_factory.mktemp("skewed"))
+    tables = Tables(spark, f"{TESTDATA}/sf0.01")
+
+    def hot(df, *keys):
+        third = F.pmod(F.xxhash64(*df.columns), F.lit(3)) == 0
+        return df.select(*(
+            F.when(third, 5).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if c in keys else F.col(c)
+            for c in df.columns
+        ))
+
+    made = {
+        "lineitem": hot(tables.lineitem, "l_orderkey", "l_suppkey", "l_partkey"),
+        "events": hot(tables.events, "event_id", "user_id"),
+    }
+    for name in USED:
+        made.get(name, getattr(tables, name)).repartition(8).write.parquet(f"{out}/{name}.parquet")
+    return out
+
+
+@pytest.fixture
+def split_skew(settings):
+    settings(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20KB",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="10KB",
+        spark__sql__adaptive__coalescePartitions__minPartitionSize="1KB",
+    )
+
+
+@pytest.mark.parametrize("name", list(batch_queries()))
+def test_skewed_tables_give_whole_results(spark, skewed, split_skew, name):
+    assert assert_same(batch_queries()[name](spark, skewed), name, database(skewed, USED)) > 0
+
+
+def executed_plan(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_order_is_split_in_the_lead_join(spark, skewed, split_skew):
+    tables = Tables(spark, skewed)
+    assert "SortMergeJoin(skew=true)" in executed_plan(late_receipts(tables.lineitem, tables.orders))
+
+
+def test_hot_keys_are_split_in_the_receipt_fact(spark, skewed, split_skew):
+    t = Tables(spark, skewed)
+    plan = executed_plan(receipt_fact(t.lineitem, t.orders, t.part, t.supplier, t.nation, t.region))
+    assert plan.split("== Initial Plan ==")[0].count("SortMergeJoin(skew=true)") >= 2
