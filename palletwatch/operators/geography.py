@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palletwatch.functions.columns import total_quantity
-from palletwatch.operators.receipts import vendors
+from palletwatch.operators.receipts import with_vendor
 
 
 def geography_totals(lineitem: DataFrame, supplier: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
@@ -18,9 +18,8 @@ def geography_totals(lineitem: DataFrame, supplier: DataFrame, nation: DataFrame
     per_supplier = lineitem.groupBy("l_suppkey").agg(
         F.count("*").alias("lines"), total_quantity().alias("quantity")
     )
-    vendor = vendors(supplier, nation, region)
     return (
-        per_supplier.join(vendor, per_supplier.l_suppkey == vendor.s_suppkey)
+        with_vendor(per_supplier, supplier, nation, region)
         .rollup("r_name", "n_name", "l_suppkey")
         .agg(
             F.sum("lines").alias("lines"),

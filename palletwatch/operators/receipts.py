@@ -12,12 +12,17 @@ RECEIPT_KEY = ("l_orderkey", "l_linenumber")
 LINE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")
 
 
-def vendors(supplier: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
-    """Suppliers with their nation and region."""
+def with_vendor(receipts: DataFrame, supplier: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
+    """Receipts with the supplier, nation and region they came from.
+
+    The three tables are joined to the receipts one by one. Joined to each other
+    first, they look as large as the product of their sizes to the planner, which
+    then shuffles all receipts for what could have been a broadcast.
+    """
     return (
-        supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
+        receipts.join(supplier, receipts.l_suppkey == supplier.s_suppkey)
+        .join(nation, supplier.s_nationkey == nation.n_nationkey)
         .join(region, nation.n_regionkey == region.r_regionkey)
-        .select("s_suppkey", "s_name", "n_name", "r_name")
     )
 
 
@@ -30,19 +35,16 @@ def receipt_fact(
     No side is forced to broadcast: Spark does that below its size threshold and
     splits skewed keys of the shuffle joins beyond it.
     """
-    vendor = vendors(supplier, nation, region)
-    return (
-        lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
-        .join(part, lineitem.l_partkey == part.p_partkey)
-        .join(vendor, lineitem.l_suppkey == vendor.s_suppkey)
-        .select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-            receipt_day().alias("receipt_day"),
-            order_day().alias("order_day"),
-            "o_orderpriority", "p_name", "p_brand", "s_name", "n_name", "r_name",
-            as_decimal(hundredths("l_quantity"), 2).alias("quantity"),
-            as_decimal(net_units(), 4).alias("net_value"),
-        )
+    ordered = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey).join(
+        part, lineitem.l_partkey == part.p_partkey
+    )
+    return with_vendor(ordered, supplier, nation, region).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        receipt_day().alias("receipt_day"),
+        order_day().alias("order_day"),
+        "o_orderpriority", "p_name", "p_brand", "s_name", "n_name", "r_name",
+        as_decimal(hundredths("l_quantity"), 2).alias("quantity"),
+        as_decimal(net_units(), 4).alias("net_value"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palletwatch.functions.columns import as_decimal, hundredths, receipt_day, total_quantity
-from palletwatch.operators.receipts import vendors
+from palletwatch.operators.receipts import with_vendor
 
 
 def _supplier_days(lineitem: DataFrame) -> DataFrame:
@@ -48,17 +48,20 @@ def _empty_days(lineitem: DataFrame, seen: DataFrame, members: DataFrame, key: s
     """Days between the first and last receipt of all on which a member of ``key`` is not ``seen``.
 
     The calendar is not multiplied out: each member gets a mark just outside
-    either end, and only the days between neighbouring marks are generated.
+    either end, and only days missing between neighbouring rows are generated.
+    Rows of unknown members have no mark before them and are left out.
     """
     first = lineitem.agg(F.date_sub(F.min(receipt_day()), 1)).scalar()
     last = lineitem.agg(F.date_add(F.max(receipt_day()), 1)).scalar()
-    ends = members.select(key, F.explode(F.array(first, last)).alias("receipt_day"))
+    ends = members.select(key, F.explode(F.array(first, last)).alias("receipt_day"), F.lit(True).alias("mark"))
     by_day = Window.partitionBy(key).orderBy("receipt_day")
     return (
-        seen.select(key, "receipt_day")
+        seen.select(key, "receipt_day", F.lit(False).alias("mark"))
+        .filter("receipt_day IS NOT NULL")
         .unionByName(ends)
         .withColumn("next_day", F.lead("receipt_day").over(by_day))
-        .filter(F.datediff("next_day", "receipt_day") > 1)
+        .withColumn("is_member", F.first("mark").over(by_day))
+        .filter(F.col("is_member") & (F.datediff("next_day", "receipt_day") > 1))
         .select(
             key,
             F.explode(F.sequence(F.date_add("receipt_day", 1), F.date_sub("next_day", 1))).alias("empty_day"),
@@ -71,11 +74,15 @@ def empty_days_by_region(
 ) -> DataFrame:
     """Days without any receipt per region.
 
-    Lines become distinct supplier days before they meet the vendor table.
+    Lines meet the vendor tables first: distinct regions and days are so few that
+    little is left to shuffle after that, while supplier days are almost as many
+    as lines.
     """
-    days = _supplier_days(lineitem)
-    vendor = vendors(supplier, nation, region)
-    seen = days.join(vendor, days.l_suppkey == vendor.s_suppkey).select("r_name", "receipt_day").distinct()
+    seen = (
+        with_vendor(lineitem, supplier, nation, region)
+        .select("r_name", receipt_day().alias("receipt_day"))
+        .distinct()
+    )
     return _empty_days(lineitem, seen, region, "r_name")
 
 

@@ -123,8 +123,13 @@ def test_receipt_gaps_ignores_repeats_of_a_day(spark):
 
 
 def test_empty_days_cover_edges_and_unseen_suppliers(spark):
-    table = lines(spark, line(received="2000-01-02"), line(supplier=2, received="2000-01-01"),
-                  line(supplier=2, received="2000-01-03"))
+    """Supplier 3 has no receipts; 9 and NULL have some, but are no suppliers."""
+    table = lines(
+        spark, line(received="2000-01-02"), line(supplier=2, received="2000-01-01"),
+        line(supplier=2, received="2000-01-03"), line(supplier=9, received="2000-01-01"),
+        line(supplier=9, received="2000-01-03"), line(supplier=None, received="2000-01-01"),
+        line(supplier=None, received="2000-01-03"),
+    )
     got = series.empty_days_by_supplier(table, vendor_table(spark, 1, 2, 3))
     assert rows(got) == [
         (1, d("2000-01-01")), (1, d("2000-01-03")), (2, d("2000-01-02")),
