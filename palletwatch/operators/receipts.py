@@ -67,7 +67,7 @@ def repeated_keys(lineitem: DataFrame) -> DataFrame:
 
 
 def latest_per_part(lineitem: DataFrame) -> DataFrame:
-    """The newest receipt of each part, ties going to the highest line key.
+    """The newest receipt of each part, ties going to the highest line key, then quantity.
 
     The maximum of a struct is an ordinary aggregate: each map task sends one
     row per part, however often that part was received.

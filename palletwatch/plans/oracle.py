@@ -134,7 +134,8 @@ FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
     "latest_per_part": """
 SELECT DISTINCT ON (l_partkey) l_partkey, l_shipdate::DATE AS receipt_day, l_orderkey, l_linenumber, l_suppkey,
        l_quantity AS quantity
-FROM lineitem ORDER BY l_partkey, l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC""",
+FROM lineitem
+ORDER BY l_partkey, l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_quantity DESC""",
     "rolling_quantity": f"""
 SELECT l_suppkey, receipt_day, quantity::DOUBLE AS quantity,
        sum(quantity) OVER (PARTITION BY l_suppkey ORDER BY receipt_day
