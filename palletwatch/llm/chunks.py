@@ -22,10 +22,7 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def in_chunks(docs: DataFrame, total: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Columns ``chunk``, ``doc_id`` and ``text``; rows of one id share a chunk."""
+    """``docs`` with a column ``_chunk`` in front; rows of one id share a chunk."""
     n = max(1, math.ceil(total / chunk_bytes))
-    return docs.select(
-        F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(n)).alias("chunk"),
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.col("text"),
-    )
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(n))
+    return docs.drop("_chunk").select(place.alias("_chunk"), "*")

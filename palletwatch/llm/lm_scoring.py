@@ -67,7 +67,7 @@ def scores(
     of a document have shorter n-grams, at no loss. Counts are over every row of ``docs``,
     rows that repeat included. A null or empty text has no words and a score of 0.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     size, total = docs.agg(
         F.sum(F.octet_length("text")), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
     ).first()
@@ -87,7 +87,7 @@ def scores(
         n = len(part)
         return pa.table({
             "part": pa.array(part, pa.int64()),
-            "chunk": pa.array([table["chunk"][0].as_py()] * n, pa.int64()),
+            "chunk": pa.array([table["_chunk"][0].as_py()] * n, pa.int64()),
             "hashes": pa.array([_pack(np.diff(g, prepend=np.uint64(0))) for g in gaps[:n]], pa.binary()),
             "counts": pa.array([_pack(c) for c in own[:n]], pa.binary()),
         })
@@ -125,10 +125,10 @@ def scores(
             "doc_id": table["doc_id"], "n_words": pa.array(words.counts), "log_score": pa.array(sums, pa.float64()),
         })
 
-    sent = chunks.groupBy("chunk").applyInArrow(send, "part long, chunk long, hashes binary, counts binary")
+    sent = chunks.groupBy("_chunk").applyInArrow(send, "part long, chunk long, hashes binary, counts binary")
     answers = sent.groupBy("part").applyInArrow(join, "chunk long, part long, counts binary")
     return (
-        chunks.groupBy("chunk")
+        chunks.groupBy("_chunk")
         .cogroup(answers.groupBy("chunk"))
         .applyInArrow(add, "doc_id long, n_words long, log_score double")
     )

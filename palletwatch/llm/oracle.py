@@ -5,7 +5,7 @@ from __future__ import annotations
 # Words are runs of anything but space and tab to carriage return.
 WORDS = r"""
 words AS (
-    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
     FROM documents
 )"""
 
@@ -30,6 +30,173 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
+
+# Shards take turns: each turn claims the first slot of the shard's order that is still free.
+OP1 = """
+WITH RECURSIVE shards AS (
+    SELECT list('shard-' || lpad(i::VARCHAR, 2, '0') ORDER BY i) AS names FROM range(32) t(i)
+),
+preferences AS (
+    SELECT names,
+        list_transform(names, lambda n: ('0x' || substr(md5('offset:' || n), 1, 8))::BIGINT % 4099) AS start,
+        list_transform(names, lambda n: ('0x' || substr(md5('skip:' || n), 1, 8))::BIGINT % 4098 + 1) AS skip
+    FROM shards
+),
+turns AS (
+    SELECT 0 AS turn, list_transform(range(4099), lambda x: -1) AS owner, NULL::BIGINT AS slot
+    UNION ALL
+    SELECT turn + 1,
+        list_transform(owner, lambda o, i: CASE WHEN i - 1 = claimed THEN turn % 32 ELSE o END), claimed
+    FROM (
+        SELECT turn, owner, list_filter(
+            list_transform(range(4099), lambda j: (start[turn % 32 + 1] + j * skip[turn % 32 + 1]) % 4099), lambda s: owner[s + 1] = -1
+        )[1] AS claimed
+        FROM turns, preferences WHERE turn < 4099
+    )
+),
+slots AS (SELECT slot, names[(turn - 1) % 32 + 1] AS shard FROM turns, shards WHERE slot IS NOT NULL),
+placed AS (
+    SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 4099 AS slot FROM documents
+)
+SELECT doc_id, slot, shard FROM placed JOIN slots USING (slot)
+"""
+
+
+CHARACTERS = {
+    "c0": "[^a-z]", "c1": "[^A-Z]", "c2": "[^0-9]", "c3": r"[^\x20\x09-\x0D]", "c4": r"""[^.,;:!?''"()-]""",
+    "c6": r"[\x00-\x7F]",
+}
+COMMON = """
+    the of and to in a is that for it on with as was be by are or an from at this not have
+    le la les un une de du des et en à dans par pour que qui est il elle au sur ne pas avec
+    der die das den dem des ein eine und in zu von mit auf für ist im nicht sich als auch es
+    el la los las un una de del y en a que por para con no se su es al lo como más
+""".split()
+COMMON = list(dict.fromkeys(COMMON))
+
+OP2 = rf"""
+WITH {WORDS},
+windows AS (
+    SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS seq
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM words WHERE len(w) >= 8)
+),
+repeats AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, seq) > 1),
+covered AS (
+    SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS i FROM repeats) GROUP BY doc_id
+),
+lines AS (
+    SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+    FROM documents
+),
+base AS (
+    SELECT doc_id, lang, text, CAST(len(w) AS BIGINT) AS n_words,
+        CAST(length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, w
+    FROM documents JOIN words USING (doc_id) JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+),
+failing AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
+characters AS (
+    SELECT doc_id, unnest(['c0', 'c1', 'c2', 'c3', 'c4', 'c6']) AS bin,
+        unnest([{", ".join(f"length(regexp_replace(text, '{drop}', '', 'g'))" for drop in CHARACTERS.values())}]) AS n
+    FROM failing
+),
+char_bins AS (
+    FROM characters UNION ALL
+    SELECT doc_id, 'c5', length(text) - total FROM failing JOIN (SELECT doc_id, sum(n) AS total FROM characters GROUP BY doc_id) USING (doc_id)
+),
+spoken AS (
+    SELECT doc_id, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM failing
+),
+word_bins AS (
+    SELECT doc_id, CASE WHEN word IN ({", ".join(f"'{w}'" for w in COMMON)}) THEN word ELSE '' END AS bin, count(*) AS n
+    FROM spoken GROUP BY ALL
+),
+histograms AS (
+    SELECT 'char' AS kind, doc_id, bin, n FROM char_bins WHERE n > 0 UNION ALL SELECT 'word', doc_id, bin, n FROM word_bins
+),
+sized AS (SELECT *, n / sum(n) OVER (PARTITION BY kind, doc_id) AS p FROM histograms),
+languages AS (SELECT lang FROM failing WHERE NOT base_failed GROUP BY lang HAVING sum(n_words) >= 2000),
+reference_counts AS (
+    SELECT kind, lang, bin, sum(h.n) AS n FROM histograms h JOIN failing USING (doc_id) JOIN languages USING (lang)
+    WHERE NOT base_failed GROUP BY ALL
+),
+reference AS (SELECT kind, lang, bin, n / sum(n) OVER (PARTITION BY kind, lang) AS q FROM reference_counts),
+-- Both shares matter in every bin that either has; bins of the reference alone add half their share.
+shared AS (
+    SELECT kind, doc_id, sum(p * log2(2 * p / (p + coalesce(q, 0)))) AS from_doc,
+        sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) AS from_reference, sum(coalesce(q, 0)) AS met
+    FROM sized JOIN failing USING (doc_id) JOIN languages USING (lang) LEFT JOIN reference USING (kind, lang, bin)
+    GROUP BY kind, doc_id
+),
+distances AS (
+    SELECT doc_id, max(CASE WHEN kind = 'char' THEN d END) AS char_distance, max(CASE WHEN kind = 'word' THEN d END) AS word_distance
+    FROM (SELECT kind, doc_id, sqrt(greatest((from_doc + from_reference + (1 - met)) / 2, 0)) AS d FROM shared) GROUP BY doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND NOT (length(text) >= 400 AND coalesce(char_distance, 0) > 0.31)
+        AND NOT (n_words >= 100 AND coalesce(word_distance, 0) > 0.335) AS kept
+FROM failing LEFT JOIN distances USING (doc_id)
+"""
+
+OP8 = rf"""
+WITH {WORDS},
+places AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words),
+pairs AS (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM places),
+ones AS (SELECT word, count(*) AS n FROM places GROUP BY word),
+twos AS (SELECT before, word, count(*) AS n FROM pairs WHERE before IS NOT NULL GROUP BY ALL),
+total AS (SELECT count(*) AS n FROM places),
+scored AS (
+    SELECT doc_id, CASE
+        WHEN twos.n >= 2 THEN ln(twos.n / previous.n)
+        WHEN pairs.before IS NOT NULL THEN ln(0.4::DOUBLE) + ln(ones.n / total.n)
+        ELSE ln(ones.n / total.n) END AS s
+    FROM pairs JOIN ones USING (word) CROSS JOIN total
+    LEFT JOIN twos ON twos.before = pairs.before AND twos.word = pairs.word
+    LEFT JOIN ones AS previous ON previous.word = pairs.before
+)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(sum(s), 0.0), 6) AS log_score
+FROM words LEFT JOIN scored USING (doc_id) GROUP BY ALL
+"""
+
+NORMAL = r"""list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'
+), lambda x: x <> '')"""
+
+OP9 = f"""
+WITH item_words AS (SELECT item_id, {NORMAL} AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(10, len(w)) AS size FROM item_words WHERE len(w) > 0),
+windows AS (
+    SELECT DISTINCT item_id, size, array_to_string(w[i : i + size - 1], ' ') AS seq
+    FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM sized)
+),
+doc_words AS (SELECT doc_id, {NORMAL} AS w FROM documents),
+runs AS (
+    SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS seq
+    FROM (
+        SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i
+        FROM doc_words, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size
+    )
+),
+found AS (SELECT doc_id, i, size, item_id FROM runs JOIN windows USING (size, seq)),
+hit AS (
+    SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS i FROM found) GROUP BY doc_id
+),
+items AS (
+    SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit,
+    CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+# Scores of a trained model, trees, fingerprints, records and token ids are beyond SQL; tests check them by brute force.
 ORACLE: dict[str, str] = {
+    "op1_lookup_sharding": OP1,
+    "op2_language_divergence": OP2,
     "op5_super_kmer_dedup": OP5,
+    "op8_stupid_backoff": OP8,
+    "op9_suffix_automaton": OP9,
 }

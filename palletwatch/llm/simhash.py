@@ -20,7 +20,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palletwatch.llm.blocks import Words
@@ -214,14 +214,8 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BITS) -> DataFrame:
-    """Each row's ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``.
-
-    The component is that of its fingerprint under links of at most ``most`` differing
-    bits; its id is the smallest document id in it, null if none has one. Texts without a word (null,
-    empty) have fingerprint zero and are linked like any other. Rows that share an
-    id are each given out. Other columns are left out.
-    """
+def grouped(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
+    """Each row's ``doc_id`` and ``fingerprint`` (long); each fingerprint's ``root`` and ``component_id``."""
     shared_dir(docs.sparkSession)
     marked = with_fingerprints(docs.select(F.col("doc_id").cast("bigint"), "text"), shingle, drop=("text",)).checkpoint()
     points = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
@@ -230,7 +224,36 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BIT
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = placed.join(named, "root").select("fingerprint", "component_id")
+    return marked, placed.join(named, "root").select("fingerprint", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BITS) -> DataFrame:
+    """Each row's ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``.
+
+    The component is that of its fingerprint under links of at most ``most`` differing
+    bits; its id is the smallest document id in it, null if none has one. Texts without a word (null,
+    empty) have fingerprint zero and are linked like any other. Rows that share an
+    id are each given out. Other columns are left out.
+    """
+    marked, found = grouped(docs, shingle, most)
     return marked.join(found, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` that stay when each component keeps one: that of the smallest document id.
+
+    Of several rows with that id, the one with the least text (null first) stays. A component in which no row has an id
+    keeps one row, too.
+    """
+    marked, found = grouped(docs, shingle, most)
+    stays = marked.join(found, "fingerprint").filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
+    kept = docs.join(stays, "doc_id", "left_semi").withColumn("_place", F.row_number().over(first)).filter("_place = 1")
+    nameless = with_fingerprints(docs.filter("doc_id is null").withColumnRenamed("fingerprint", "_own"), shingle).join(
+        found.filter("component_id is null").withColumnRenamed("root", "_root"), "fingerprint"
+    ).dropDuplicates(["_root"])
+    if "fingerprint" in docs.columns:
+        nameless = nameless.drop("fingerprint").withColumnRenamed("_own", "fingerprint")
+    return kept.select(*docs.columns).unionByName(nameless.select(*docs.columns))

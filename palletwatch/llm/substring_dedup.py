@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palletwatch.llm.blocks import Words, binary, classes, covered, pieces
 from palletwatch.llm.chunks import CHUNK_BYTES, in_chunks
@@ -154,23 +155,23 @@ def _frequent(docs: DataFrame, size: int, inner: int) -> tuple[int, np.ndarray]:
 
 
 def removed_words(docs: DataFrame, size: int = WINDOW, inner: int = INNER) -> DataFrame:
-    """Every row of ``docs`` with the words that stay.
+    """``docs`` with ``n_words``, ``n_removed`` and ``kept`` (the words that stay, joined by one space).
 
-    Columns: ``doc_id``, ``text`` (as given), ``n_words``, ``n_removed`` and ``kept``
-    (kept words joined by one space). A word goes if it lies in a window that also
-    starts earlier, in a smaller document id or further ahead in the same one.
-    Windows are judged on the input, not on what is left. An empty table gives an
-    empty result; other columns of ``docs`` are left out.
+    A word goes if it lies in a window that also starts earlier, in a smaller document id or
+    further ahead in the same one. Windows are judged on the input, not on what is
+    left. ``text`` stays as given. Columns of ``docs`` with the names of the added ones give way
+    to them; an empty table gives an empty result.
     """
     if not 0 < inner <= size:
         raise ValueError("inner runs must fit into a window")
-    docs = docs.select("doc_id", "text")
+    docs = docs.drop("n_words", "n_removed", "kept")
+    given = docs.columns
     total, heavy = _frequent(docs, size, inner)
     chunks = in_chunks(docs, total)
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
 
     def send(table: pa.Table) -> pa.Table:
-        chunk = table["chunk"][0].as_py()
+        chunk = table["_chunk"][0].as_py()
         table, words = _chunk(table)
         out = sent(words, size, inner, heavy, buckets)
         ids = _ids(table)[words.text[out.runs.start[out.first]]] if len(out.first) else np.empty(0, np.int64)
@@ -246,18 +247,14 @@ def removed_words(docs: DataFrame, size: int = WINDOW, inner: int = INNER) -> Da
             else:
                 edges = np.flatnonzero(np.diff(np.concatenate([[1], gone[lo:hi], [1]]).astype(np.int8))) + lo
                 kept.append(b" ".join([words.slice(a, b - a) for a, b in edges.reshape(-1, 2).tolist()]))
-        return pa.table({
-            "doc_id": table["doc_id"],
-            "text": table["text"],
-            "n_words": pa.array(words.counts),
-            "n_removed": pa.array(lost.astype(np.int64)),
-            "kept": pa.array(kept, pa.binary()).cast(pa.string()),
-        })
-
-    parts = chunks.groupBy("chunk").applyInArrow(send, "bucket long, chunk long, strings binary, ids binary")
+        added = [pa.array(words.counts), pa.array(lost.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())]
+        return pa.table([*(table[name] for name in given), *added], [*given, "n_words", "n_removed", "kept"])
+
+    schema = T.StructType(docs.schema.fields + T.StructType.fromDDL("n_words long, n_removed long, kept string").fields)
+    parts = chunks.groupBy("_chunk").applyInArrow(send, "bucket long, chunk long, strings binary, ids binary")
     answers = parts.groupBy("bucket").applyInArrow(judge, "chunk long, bucket long, later binary")
     return (
-        chunks.groupBy("chunk")
+        chunks.groupBy("_chunk")
         .cogroup(answers.groupBy("chunk"))
-        .applyInArrow(finish, "doc_id long, text string, n_words long, n_removed long, kept string")
+        .applyInArrow(finish, schema)
     )
