@@ -25,4 +25,4 @@ def in_chunks(docs: DataFrame, total: int, chunk_bytes: int = CHUNK_BYTES) -> Da
     """``docs`` with a column ``_chunk`` in front; rows of one id share a chunk."""
     n = max(1, math.ceil(total / chunk_bytes))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(n))
-    return docs.drop("_chunk").select(place.alias("_chunk"), "*")
+    return docs.select(place.alias("_chunk"), "*")

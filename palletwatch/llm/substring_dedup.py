@@ -160,11 +160,11 @@ def removed_words(docs: DataFrame, size: int = WINDOW, inner: int = INNER) -> Da
     A word goes if it lies in a window that also starts earlier, in a smaller document id or
     further ahead in the same one. Windows are judged on the input, not on what is
     left. ``text`` stays as given. Columns of ``docs`` with the names of the added ones give way
-    to them; an empty table gives an empty result.
+    to them, and one called ``_chunk`` is left out; an empty table gives an empty result.
     """
     if not 0 < inner <= size:
         raise ValueError("inner runs must fit into a window")
-    docs = docs.drop("n_words", "n_removed", "kept")
+    docs = docs.drop("n_words", "n_removed", "kept", "_chunk")
     given = docs.columns
     total, heavy = _frequent(docs, size, inner)
     chunks = in_chunks(docs, total)

@@ -1,0 +1,40 @@
+from __future__ import annotations
+
+import numpy as np
+
+from palletwatch.llm import blocks
+from palletwatch.llm.blocks import Words, classes, pieces
+from tests.llm import brute, odd
+
+
+def test_words_of_odd_texts():
+    data = [t.encode() if t is not None else None for t in odd.TEXTS]
+    words = Words.of(data)
+    got = [words.slice(a, b - a).split(b" ") if b > a else [] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+    assert got == [brute.words(t) for t in odd.TEXTS]
+
+
+def test_hash_of_a_word_does_not_depend_on_its_place():
+    a, b = Words.of([b"x same y"]), Words.of([b"", b"other words and same"])
+    assert a.hashes[1] == b.hashes[3]
+    assert a.window_hashes(1, np.array([1]))[0] == b.window_hashes(1, np.array([3]))[0]
+
+
+def test_classes_are_exact_even_if_all_hashes_collide(monkeypatch):
+    words = Words.of([b"a b c a b", b"a b x"])
+    at = words.windows(2)
+    want = [0, 1, 2, 0, 0, 3]
+    assert _ranks(classes(words, 2, at)) == want
+    monkeypatch.setattr(blocks.Words, "window_hashes", lambda self, size, at: np.zeros(len(at), np.uint64))
+    assert _ranks(classes(words, 2, at)) == want
+
+
+def _ranks(numbers):
+    order = {}
+    return [order.setdefault(n, len(order)) for n in numbers.tolist()]
+
+
+def test_pieces_cover_all_texts_once():
+    texts = [None, b"", b"x" * 9, b"y" * 2, b"", b"z"]
+    assert [i for lo, hi in pieces(texts, 4) for i in range(lo, hi)] == list(range(6))
+    assert list(pieces([], 4)) == []

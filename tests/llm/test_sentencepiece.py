@@ -1,0 +1,73 @@
+from __future__ import annotations
+
+import public_tokenizers
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from palletwatch.llm import sentencepiece_ids
+from palletwatch.llm.queries import PIECES, op10_chunk_table_pieces
+from palletwatch.llm.sentencepiece_ids import ChunkTable, chunks, encode, splits_at_marks
+from tests.llm import brute, odd
+
+PATH = public_tokenizers.path(PIECES)
+WHOLE = sentencepiece.SentencePieceProcessor(model_file=PATH)
+with open(PATH, "rb") as file:
+    MODEL = file.read()
+
+
+def same(table, texts):
+    ids, decoded = table.encode(texts)
+    assert ids.to_pylist() == WHOLE.encode(texts, num_threads=1)
+    assert decoded == [WHOLE.decode(one) for one in ids.to_pylist()]
+
+
+def test_the_model_splits_at_marks():
+    assert splits_at_marks(MODEL)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" ▁\n\tab<>0x"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=5))
+def test_any_text(texts):
+    same(ChunkTable(MODEL), texts)
+
+
+def test_odd_texts_and_a_full_table(monkeypatch):
+    texts = [t or "" for t in odd.TEXTS] + [" ", "  ", "a ", " a", "▁", "<s> </s> <unk> <0x0A>", " ⁇ ", "�"]
+    same(ChunkTable(MODEL), texts)
+    monkeypatch.setattr(sentencepiece_ids, "TABLE_ENTRIES", 3)
+    table = ChunkTable(MODEL)
+    for text in texts:
+        same(table, [text])
+
+
+def test_chunks_are_joined_back():
+    assert chunks("") == [] and chunks(" ") == [" "] and chunks("a  b") == ["a", " b"] and chunks("a ") == ["a", ""]
+
+
+def test_documents(spark):
+    got = encode(odd.documents(spark, "ids string, lang string"), PATH)
+    assert got.columns == ["doc_id", "text", "lang", "ids", "decoded"]
+    for r in got.collect():
+        assert r["ids"] == WHOLE.encode(r["text"] or "") and r["decoded"] == WHOLE.decode(r["ids"])
+    assert encode(odd.empty(spark), PATH).count() == 0
+
+
+def test_a_model_that_may_cross_marks_is_applied_to_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(sentencepiece_ids, "splits_at_marks", lambda model: False)
+    for r in encode(odd.documents(spark), PATH).collect():
+        assert r["ids"] == WHOLE.encode(r["text"] or "")
+
+
+@pytest.mark.parametrize("sf", ["0.01"])
+def test_query(spark, sf):
+    path = f"/root/testdata/sf{sf}"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    rows = op10_chunk_table_pieces(spark, path).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = WHOLE.encode(texts[r["doc_id"]])
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == brute.sha([str(i).encode() for i in ids], b",")
+        assert r["decoded_sha256"] == brute.sha([WHOLE.decode(ids).encode()], b"")
