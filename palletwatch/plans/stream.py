@@ -41,16 +41,17 @@ def zoneless(df: DataFrame) -> DataFrame:
 
 def _query(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, path: str) -> DataFrame:
-        result, _ = run_to_end(operator(event_stream(spark, f"{path}/{EVENTS_GLOB}")))
-        return zoneless(result)
+        result, _ = run_to_end(zoneless(operator(event_stream(spark, f"{path}/{EVENTS_GLOB}"))), spark)
+        return result
 
     return run
 
 
 def late_event_report(spark: SparkSession, path: str) -> DataFrame:
     """Events taken by the de-duplication stream, and how many it dropped as late."""
-    result, query = run_to_end(dedupe.unique_event_stream(event_stream(spark, f"{path}/{EVENTS_GLOB}")))
-    late = dedupe.late_events(query.recentProgress)
+    events = dedupe.unique_event_stream(event_stream(spark, f"{path}/{EVENTS_GLOB}"))
+    result, reports = run_to_end(events.select("event_id"), spark)
+    late = dedupe.late_events(reports)
     return result.agg(F.count("*").alias("events")).withColumn("late", F.lit(late).cast("bigint"))
 
 

@@ -39,32 +39,54 @@ def build_session(app: str = "palletwatch", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
-def prepare_streaming(spark: SparkSession) -> None:
-    """Runtime settings the streaming operators rely on."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    for key, value in STREAMING.items():
-        spark.conf.set(key, value)
+def streaming_session(spark: SparkSession) -> SparkSession:
+    """A session beside the caller's, with its settings and those the streaming operators rely on.
+
+    The caller's session is left as it is.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    for key, value in (STREAMING | {"spark.sql.session.timeZone": "UTC"}).items():
+        own.conf.set(key, value)
+    return own
+
+
+def _is_local_file(folder: str, default_fs: str) -> bool:
+    scheme = folder.split(":", 1)[0] if ":/" in folder else default_fs.split(":", 1)[0]
+    return scheme == "file"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    A local master may fall back to a temporary folder; a cluster may not, since
-    a lost executor would take that folder with it.
+    With all executors on one machine (a ``local`` master) a missing folder is replaced by a
+    temporary one. On a cluster it is refused, since a lost executor would take that folder with it, and so
+    is a folder of the local file system, unless ``spark.palletwatch.mountedFolder`` is
+    ``true`` because the same mount is on every machine.
     """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not context.master.startswith("local"):
+    local = context.master.startswith("local")
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not local:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        configured = tempfile.mkdtemp(prefix="palletwatch-")
-    context.setCheckpointDir(configured)
+        folder = tempfile.mkdtemp(prefix="palletwatch-")
+    if not local and spark.conf.get("spark.palletwatch.mountedFolder", "false") != "true":
+        if _is_local_file(folder, spark.conf.get("spark.hadoop.fs.defaultFS", "file:")):
+            raise ValueError(f"spark.checkpoint.dir names a folder of the local file system, {folder}")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def remove_dir(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder this package wrote, in whatever file system it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the shared one."""
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"

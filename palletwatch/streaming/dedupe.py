@@ -20,15 +20,14 @@ def unique_events(events: DataFrame) -> DataFrame:
     return events.withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place")
 
 
-def unique_event_stream(events: DataFrame, spread: int | None = None) -> DataFrame:
+def unique_event_stream(events: DataFrame, spread: int = 1) -> DataFrame:
     """One event per id, where copies arrive within the watermark delay.
 
-    Copies are first thinned out per id and input partition, then per id. An id
-    with very many copies is so spread over ``spread`` tasks (by default one per
-    shuffle partition), each of which passes one copy on. The first step keeps
-    state of its own; ``spread=1`` leaves it out where no id repeats that often.
+    With ``spread`` over 1, copies are first thinned out per id and input partition, so
+    that an id with very many copies reaches its task in ``spread`` copies at most. That
+    step keeps state of its own and shuffles all events once more; it is left out by
+    default (README has timings). A checkpoint resumes only with the ``spread`` it was begun with.
     """
-    spread = spread or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if spread > 1:
         events = (
             events.withColumn("input_part", F.spark_partition_id() % spread)
@@ -38,15 +37,24 @@ def unique_event_stream(events: DataFrame, spread: int | None = None) -> DataFra
     return events.dropDuplicatesWithinWatermark(["event_id"])
 
 
-def late_events(progress: Iterable[Mapping[str, Any]]) -> int:
-    """Events dropped as late, from the progress reports of a ``unique_event_stream`` query.
+def late_events(progress: Iterable[Mapping[str, Any]], first_batch: int = 0) -> int:
+    """Events dropped as late, from all progress reports of a ``unique_event_stream`` query.
 
     Windowed aggregations drop rows that are already partly aggregated, so their
-    count is not one of events; only de-duplication operators are read here. A
-    query keeps its last ``spark.sql.streaming.numRecentProgressUpdates``
-    reports, so a long-running one should be asked at least that often.
+    count is not one of events; only de-duplication operators are read here.
+
+    A query itself keeps its last ``spark.sql.streaming.numRecentProgressUpdates``
+    reports; ``sources.stream.follow`` gathers them all. If the report of any batch since ``first_batch``
+    (the first after a restart, whose earlier batches are not in the reports) is
+    missing, that is an error, never a lower count.
     """
-    batches = {report["batchId"]: report for report in progress if report["stateOperators"]}
+    batches: dict[int, Mapping[str, Any]] = {}
+    for report in progress:
+        if report["stateOperators"] or report["batchId"] not in batches:
+            batches[report["batchId"]] = report
+    missing = sorted(set(range(first_batch, max(batches, default=first_batch - 1) + 1)) - set(batches))
+    if missing:
+        raise ValueError(f"no progress report of {len(missing)} batches, the first being {missing[0]}")
     return sum(
         operator["numRowsDroppedByWatermark"]
         for report in batches.values()

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 GAP = dt.timedelta(hours=6)
 
 
-def _seconds(span: dt.timedelta) -> str:
-    return f"{int(span.total_seconds())} seconds"
+def _interval(span: dt.timedelta) -> str:
+    return f"{span // dt.timedelta(microseconds=1)} microseconds"
 
 
 def activity_spells(events: DataFrame, length: dt.timedelta) -> DataFrame:
@@ -22,7 +22,7 @@ def activity_spells(events: DataFrame, length: dt.timedelta) -> DataFrame:
     map side.
     """
     return (
-        events.groupBy("user_id", F.window("ts", _seconds(length)).alias("stretch"))
+        events.groupBy("user_id", F.window("ts", _interval(length)).alias("stretch"))
         .agg(F.min("ts").alias("first_event"), F.max("ts").alias("last_event"), F.count("*").alias("events"))
         .drop("stretch")
     )
@@ -49,7 +49,7 @@ def dock_sessions(events: DataFrame, gap: dt.timedelta = GAP) -> DataFrame:
 def dock_session_stream(events: DataFrame, gap: dt.timedelta = GAP) -> DataFrame:
     """The same sessions from a watermarked stream."""
     return (
-        events.groupBy("user_id", F.session_window("ts", _seconds(gap)).alias("span"))
+        events.groupBy("user_id", F.session_window("ts", _interval(gap)).alias("span"))
         .agg(F.count("*").alias("events"))
         .select(
             "user_id", F.col("span.start").alias("session_start"), F.col("span.end").alias("session_end"), "events"

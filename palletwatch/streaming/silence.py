@@ -16,12 +16,12 @@ def silent_docks(events: DataFrame, as_of: dt.datetime, limit: dt.timedelta = LI
     """Every silence longer than ``limit``, over a finished table.
 
     One row per silence: the last event before it and the moment it became one.
-    A silence that still lasts counts up to ``as_of``.
+    A silence that still lasts counts up to ``as_of``; later events are not yet known.
     """
     by_time = Window.partitionBy("user_id").orderBy("first_event")
     end = F.lit(as_of.isoformat(sep=" ")).cast(events.schema["ts"].dataType)
     return (
-        activity_spells(events, limit)
+        activity_spells(events.filter(F.col("ts") <= end), limit)
         .withColumn("next_event", F.coalesce(F.lead("first_event").over(by_time), end))
         .filter(F.col("next_event") - F.col("last_event") > F.lit(limit))
         .select("user_id", "last_event", (F.col("last_event") + F.lit(limit)).alias("alert_at"))

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from palletwatch import session
 from palletwatch.operators.receipts import daily_receipts
 from palletwatch.sources.schemas import SCHEMAS
-from palletwatch.sources.sinks import write_by_month, write_files
+from palletwatch.sources.sinks import read_days, write_by_month, write_files
 from palletwatch.sources.tables import Tables
 from tests.conftest import TESTDATA
 from tests.fixtures import rows
@@ -47,20 +49,46 @@ def test_months_are_skipped_by_a_filter(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(receipt_month" in plan
 
 
-def test_cluster_without_shared_folder_is_refused(monkeypatch):
-    class Context:
-        master = "yarn"
+def test_a_range_of_days_reads_its_months_only(spark, tmp_path):
+    out = f"{tmp_path}/by_month"
+    lines = Tables(spark, f"{TESTDATA}/sf0.001").lineitem
+    write_by_month(lines, out)
+    first, last = dt.date(1998, 3, 20), dt.date(1998, 4, 2)
+    got = read_days(spark, out, first, last)
+    files = {r[0] for r in got.select(F.input_file_name()).distinct().collect()}
+    assert files and all("receipt_month=1998-03" in name or "receipt_month=1998-04" in name for name in files)
+    want = lines.filter(F.col("l_shipdate").cast("date").between(F.lit(first), F.lit(last)))
+    assert got.columns == lines.columns
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+class Cluster:
+    """As much of a session on a cluster as shared_dir asks for."""
+
+    def __init__(self, **settings):
+        self.settings, self.folder = settings, None
+        self.sparkContext = self.conf = self
 
-        def getCheckpointDir(self):
-            return None
+    master = "yarn"
 
-    class Conf:
-        def get(self, key, default):
-            return default
+    def getCheckpointDir(self):
+        return self.folder
 
-    class Session:
-        sparkContext = Context()
-        conf = Conf()
+    def setCheckpointDir(self, folder):
+        self.folder = folder
 
+    def get(self, key, default):
+        return self.settings.get(key.replace(".", "_"), default)
+
+
+@pytest.mark.parametrize("folder", [None, "file:///tmp/x", "/tmp/x"])
+def test_cluster_without_shared_folder_is_refused(folder):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        session.shared_dir(Session())
+        session.shared_dir(Cluster(spark_checkpoint_dir=folder))
+
+
+def test_cluster_with_shared_folder():
+    assert session.shared_dir(Cluster(spark_checkpoint_dir="hdfs://a/b")) == "hdfs://a/b"
+    assert session.shared_dir(Cluster(spark_checkpoint_dir="/b", spark_hadoop_fs_defaultFS="hdfs://a")) == "/b"
+    mounted = Cluster(spark_checkpoint_dir="file:///mnt/b", spark_palletwatch_mountedFolder="true")
+    assert session.shared_dir(mounted) == "file:///mnt/b"
