@@ -1,7 +1,7 @@
 """Money, dates and shares as column expressions.
 
 A sum of doubles depends on the order in which partitions arrive, so amounts
-are summed as whole units: hundredths, or finer once rates are multiplied in.
+are summed as whole units of their last declared place, finer once rates are multiplied in.
 Sums of longs keep the aggregation in plain fixed-width buffers; the decimal is
 made once per group, from the finished sum.
 """
@@ -15,45 +15,65 @@ from pyspark.sql import functions as F
 
 SPLIT_BITS = 20
 
+# Decimal places that each column is read with; pass another mapping to the operators
+# to read more. rule_violations counts values that are finer than declared.
+PLACES = {"l_quantity": 3, "l_extendedprice": 2, "l_discount": 4, "l_tax": 4, "o_totalprice": 2}
 
-def hundredths(amount: str) -> Column:
-    """A column of at most two decimal places as a whole number."""
-    return F.rint(F.col(amount) * 100).cast("bigint")
+Places = Mapping[str, int]
 
 
-def net_units() -> Column:
-    """Line price after discount, in units of 0.0001."""
-    return hundredths("l_extendedprice") * (100 - hundredths("l_discount"))
+def units(amount: str, places: Places = PLACES) -> Column:
+    """A column as a whole number of its last declared place."""
+    return F.rint(F.col(amount) * 10 ** places[amount]).cast("bigint")
 
 
-def gross_units() -> Column:
-    """Line price after discount, with tax, in units of 0.000001."""
-    return net_units() * (100 + hundredths("l_tax"))
+def finer(amount: str, places: Places = PLACES) -> Column:
+    """True for values that ``units`` would round."""
+    return F.col(amount) != F.round(F.col(amount), places[amount])
+
+
+def net_places(places: Places = PLACES) -> int:
+    return places["l_extendedprice"] + places["l_discount"]
+
+
+def net_units(places: Places = PLACES) -> Column:
+    """Line price after discount, in units of its last place."""
+    return units("l_extendedprice", places) * (10 ** places["l_discount"] - units("l_discount", places))
+
+
+def tax_factor(places: Places = PLACES) -> Column:
+    """One and the tax rate, in units of the rate's last place."""
+    return 10 ** places["l_tax"] + units("l_tax", places)
 
 
 def _unit(places: int) -> Column:
-    return F.lit(f"0.{'1'.zfill(places)}").cast(f"decimal({places},{places})")
+    return F.lit(f"0.{'1'.zfill(places)}" if places else "1").cast(f"decimal({max(places, 1)},{places})")
 
 
-def as_decimal(units: Column, places: int) -> Column:
+def as_decimal(amount: Column, places: int) -> Column:
     """Whole units as a decimal of that many places."""
-    return (units.cast("decimal(18,0)") * _unit(places)).cast(f"decimal(18,{places})")
+    return (amount.cast("decimal(18,0)") * _unit(places)).cast(f"decimal(18,{places})")
 
 
-def total(units: Column, places: int) -> Column:
-    """The exact sum of whole units as a decimal.
+def total(amount: Column, places: int, factor: Column | int = 1) -> Column:
+    """The exact sum of whole units, each times ``factor``, as a decimal.
 
     High and low bits are added apart: a long holds either sum for trillions of
     rows, where the plain sum of finely scaled values would run over.
     """
-    high = F.sum(F.shiftright(units, SPLIT_BITS)).cast("decimal(20,0)")
-    low = F.sum(units.bitwiseAND(F.lit((1 << SPLIT_BITS) - 1))).cast("decimal(20,0)")
-    return (high * F.lit(1 << SPLIT_BITS).cast("decimal(7,0)") + low) * _unit(places)
+    high = F.sum(F.shiftright(amount, SPLIT_BITS) * factor).cast("decimal(20,0)")
+    low = F.sum(amount.bitwiseAND(F.lit((1 << SPLIT_BITS) - 1)) * factor).cast("decimal(20,0)")
+    whole = high * F.lit(1 << SPLIT_BITS).cast("decimal(7,0)") + low
+    return (whole.cast(f"decimal({37 - places},0)") * _unit(places)).cast(f"decimal(28,{places})")
+
+
+def quantity(places: Places = PLACES) -> Column:
+    return as_decimal(units("l_quantity", places), places["l_quantity"])
 
 
-def total_quantity() -> Column:
-    """The exact sum of quantities; hundredths of pieces fit a long."""
-    return as_decimal(F.sum(hundredths("l_quantity")), 2)
+def total_quantity(places: Places = PLACES) -> Column:
+    """The exact sum of quantities, whose units fit a long."""
+    return as_decimal(F.sum(units("l_quantity", places)), places["l_quantity"])
 
 
 def receipt_day() -> Column:

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palletwatch.functions.columns import total_quantity
+from palletwatch.functions.columns import PLACES, Places, total_quantity
 from palletwatch.operators.receipts import with_vendor
 
 
-def geography_totals(lineitem: DataFrame, supplier: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
+def geography_totals(
+    lineitem: DataFrame, supplier: DataFrame, nation: DataFrame, region: DataFrame, places: Places = PLACES
+) -> DataFrame:
     """Lines and quantity rolled up over region, nation and supplier, with grouping flags.
 
     A rollup copies each input row once per level, so it gets one row per
     supplier instead of the lines.
     """
     per_supplier = lineitem.groupBy("l_suppkey").agg(
-        F.count("*").alias("lines"), total_quantity().alias("quantity")
+        F.count("*").alias("lines"), total_quantity(places).alias("quantity")
     )
     return (
         with_vendor(per_supplier, supplier, nation, region)

@@ -13,24 +13,30 @@ from palletwatch.functions.columns import count_if, lead_days, lookup, order_day
 DEFAULT_LIMITS = {"1-URGENT": 30, "2-HIGH": 60, "3-MEDIUM": 90, "4-NOT SPECIFIED": 120, "5-LOW": 120}
 
 
-def with_lead(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """Receipt lines with the priority and lead time of their order."""
-    return lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey).withColumn("lead", lead_days())
+def with_lead(lineitem: DataFrame, orders: DataFrame, how: str = "inner") -> DataFrame:
+    """Receipt lines with the priority and lead time of their order; a left join keeps lines of unknown orders."""
+    return lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey, how).withColumn("lead", lead_days())
 
 
-def _spread(leads: DataFrame, key: str) -> DataFrame:
+def _spread(leads: DataFrame, key: str, counted: bool = False) -> DataFrame:
     """Exact quantiles of lead time per key, interpolated and given to six places.
 
     ``percentile`` counts equal values on the map side, so a key brings as many
-    entries to the shuffle as it has distinct numbers of days, not lines.
+    entries to the shuffle as it has distinct numbers of days, not lines. Where keys are
+    few, ``counted`` counts lines per key and number of days first: those counts are spread over all
+    tasks, and what reaches a key does not grow with the number of map tasks.
     """
+    leads = leads.filter("lead >= 0")
+    lines, times = F.count("*"), F.lit(1)
+    if counted:
+        leads = leads.groupBy(key, "lead").agg(F.count("*").alias("times"))
+        lines, times = F.sum("times"), F.col("times")
     return (
-        leads.filter("lead >= 0")
-        .groupBy(key)
+        leads.groupBy(key)
         .agg(
-            F.count("*").alias("lines"),
+            lines.alias("lines"),
             F.min("lead").alias("min_lead"),
-            F.percentile("lead", F.array(F.lit(0.5), F.lit(0.9))).alias("quantiles"),
+            F.percentile("lead", F.array(F.lit(0.5), F.lit(0.9)), times).alias("quantiles"),
             F.max("lead").alias("max_lead"),
         )
         .select(
@@ -49,7 +55,7 @@ def lead_time_stats(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 
 def suggest_limits(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """Lead time per order priority, from which to choose the limits of late_receipts."""
-    return _spread(with_lead(lineitem, orders), "o_orderpriority")
+    return _spread(with_lead(lineitem, orders), "o_orderpriority", counted=True)
 
 
 def lead_time_quarantine(lineitem: DataFrame, orders: DataFrame) -> DataFrame:

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palletwatch.functions.columns import as_decimal, hundredths, net_units, order_day, receipt_day, total, total_quantity
+from palletwatch.functions.columns import (
+    PLACES,
+    Places,
+    as_decimal,
+    net_places,
+    net_units,
+    order_day,
+    quantity,
+    receipt_day,
+    total,
+    total_quantity,
+)
 
 RECEIPT_KEY = ("l_orderkey", "l_linenumber")
 # (l_orderkey, l_linenumber) repeats; with these and the part, a line is unique.
@@ -28,7 +39,7 @@ def with_vendor(receipts: DataFrame, supplier: DataFrame, nation: DataFrame, reg
 
 def receipt_fact(
     lineitem: DataFrame, orders: DataFrame, part: DataFrame,
-    supplier: DataFrame, nation: DataFrame, region: DataFrame,
+    supplier: DataFrame, nation: DataFrame, region: DataFrame, places: Places = PLACES,
 ) -> DataFrame:
     """Each receipt line with its order, part, vendor and geography.
 
@@ -43,36 +54,37 @@ def receipt_fact(
         receipt_day().alias("receipt_day"),
         order_day().alias("order_day"),
         "o_orderpriority", "p_name", "p_brand", "s_name", "n_name", "r_name",
-        as_decimal(hundredths("l_quantity"), 2).alias("quantity"),
-        as_decimal(net_units(), 4).alias("net_value"),
+        quantity(places).alias("quantity"),
+        as_decimal(net_units(places), net_places(places)).alias("net_value"),
     )
 
 
-def daily_receipts(lineitem: DataFrame) -> DataFrame:
+def daily_receipts(lineitem: DataFrame, places: Places = PLACES) -> DataFrame:
     """Lines, quantity and net value per supplier and day of receipt."""
     return lineitem.groupBy("l_suppkey", receipt_day().alias("receipt_day")).agg(
         F.count("*").alias("lines"),
-        total_quantity().alias("quantity"),
-        total(net_units(), 4).alias("net_value"),
+        total_quantity(places).alias("quantity"),
+        total(net_units(places), net_places(places)).alias("net_value"),
     )
 
 
-def repeated_keys(lineitem: DataFrame) -> DataFrame:
+def repeated_keys(lineitem: DataFrame, places: Places = PLACES) -> DataFrame:
     """Receipt keys booked more than once."""
     return (
         lineitem.groupBy(*RECEIPT_KEY)
-        .agg(F.count("*").alias("times"), total_quantity().alias("quantity"))
+        .agg(F.count("*").alias("times"), total_quantity(places).alias("quantity"))
         .filter("times > 1")
     )
 
 
-def latest_per_part(lineitem: DataFrame) -> DataFrame:
+def latest_per_part(lineitem: DataFrame, places: Places = PLACES) -> DataFrame:
     """The newest receipt of each part, ties going to the highest line key, then quantity.
 
     The maximum of a struct is an ordinary aggregate: each map task sends one
-    row per part, however often that part was received.
+    row per part, however often that part was received. Spark sorts the lines of a
+    task for it, since a struct is not kept in a hash aggregate's fixed-width buffer.
     """
-    newest = F.max(F.struct(*LINE_ORDER, as_decimal(hundredths("l_quantity"), 2).alias("quantity")))
+    newest = F.max(F.struct(*LINE_ORDER, quantity(places).alias("quantity")))
     return (
         lineitem.groupBy("l_partkey")
         .agg(newest.alias("newest"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palletwatch.functions.columns import as_decimal, hundredths, receipt_day, total_quantity
+from palletwatch.functions.columns import PLACES, Places, as_decimal, receipt_day, total_quantity, units
 from palletwatch.operators.receipts import with_vendor
 
 
@@ -18,16 +18,16 @@ def _supplier_days(lineitem: DataFrame) -> DataFrame:
     return lineitem.select("l_suppkey", receipt_day().alias("receipt_day")).distinct()
 
 
-def rolling_quantity(lineitem: DataFrame, days: int = 7) -> DataFrame:
+def rolling_quantity(lineitem: DataFrame, days: int = 7, places: Places = PLACES) -> DataFrame:
     """Quantity of the day and the days before it, ``days`` calendar days in all, per supplier."""
     recent = Window.partitionBy("l_suppkey").orderBy(F.unix_date("receipt_day")).rangeBetween(1 - days, 0)
     return (
         lineitem.groupBy("l_suppkey", receipt_day().alias("receipt_day"))
-        .agg(F.sum(hundredths("l_quantity")).alias("units"))
+        .agg(F.sum(units("l_quantity", places)).alias("units"))
         .select(
             "l_suppkey", "receipt_day",
-            as_decimal(F.col("units"), 2).alias("quantity"),
-            as_decimal(F.sum("units").over(recent), 2).alias("rolling_quantity"),
+            as_decimal(F.col("units"), places["l_quantity"]).alias("quantity"),
+            as_decimal(F.sum("units").over(recent), places["l_quantity"]).alias("rolling_quantity"),
         )
     )
 
@@ -45,11 +45,11 @@ def receipt_gaps(lineitem: DataFrame, more_than: int = 30) -> DataFrame:
 
 
 def _empty_days(lineitem: DataFrame, seen: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """Days between the first and last receipt of all on which a member of ``key`` is not ``seen``.
+    """Stretches of days, between the first and last receipt of all, on which a member of ``key`` is not ``seen``.
 
-    The calendar is not multiplied out: each member gets a mark just outside
-    either end, and only days missing between neighbouring rows are generated.
-    Rows of unknown members have no mark before them and are left out.
+    No day is generated: each member gets a mark just outside either end, and what
+    lies between neighbouring rows is a stretch. There are at most as many as days
+    seen and members. Rows of unknown members have no mark before them and are left out.
     """
     first = lineitem.agg(F.date_sub(F.min(receipt_day()), 1)).scalar()
     last = lineitem.agg(F.date_add(F.max(receipt_day()), 1)).scalar()
@@ -64,7 +64,9 @@ def _empty_days(lineitem: DataFrame, seen: DataFrame, members: DataFrame, key: s
         .filter(F.col("is_member") & (F.datediff("next_day", "receipt_day") > 1))
         .select(
             key,
-            F.explode(F.sequence(F.date_add("receipt_day", 1), F.date_sub("next_day", 1))).alias("empty_day"),
+            F.date_add("receipt_day", 1).alias("first_day"),
+            F.date_sub("next_day", 1).alias("last_day"),
+            (F.datediff("next_day", "receipt_day") - 1).cast("bigint").alias("days"),
         )
     )
 
@@ -72,7 +74,7 @@ def _empty_days(lineitem: DataFrame, seen: DataFrame, members: DataFrame, key: s
 def empty_days_by_region(
     lineitem: DataFrame, supplier: DataFrame, nation: DataFrame, region: DataFrame
 ) -> DataFrame:
-    """Days without any receipt per region.
+    """Stretches of days without any receipt per region.
 
     Lines meet the vendor tables first: distinct regions and days are so few that
     little is left to shuffle after that, while supplier days are almost as many
@@ -87,19 +89,21 @@ def empty_days_by_region(
 
 
 def empty_days_by_supplier(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
-    """Days without any receipt per supplier."""
+    """Stretches of days without any receipt per supplier."""
     members = supplier.select(F.col("s_suppkey").alias("l_suppkey"))
     return _empty_days(lineitem, _supplier_days(lineitem), members, "l_suppkey")
 
 
-def volume_anomalies(lineitem: DataFrame, *by: str, history: int = 28, threshold: float = 3.0) -> DataFrame:
+def volume_anomalies(
+    lineitem: DataFrame, *by: str, history: int = 28, threshold: float = 3.0, places: Places = PLACES
+) -> DataFrame:
     """Days whose quantity is far from the ``history`` receipt days before it.
 
     Days with less history, or with a history of equal quantities, have no z
     score and are not reported. Without ``by`` there is one series for all
     receipts, a row per calendar day.
     """
-    daily = lineitem.groupBy(*by, receipt_day().alias("receipt_day")).agg(total_quantity().alias("quantity"))
+    daily = lineitem.groupBy(*by, receipt_day().alias("receipt_day")).agg(total_quantity(places).alias("quantity"))
     before = Window.partitionBy(*by).orderBy("receipt_day").rowsBetween(-history, -1)
     amount = F.col("quantity").cast("double")
     return (

@@ -18,14 +18,15 @@ def supplier_scorecard(
 ) -> DataFrame:
     """Share of returned and of late lines per supplier, each ranked with the worst first.
 
-    The late share counts only lines for which lateness is defined. The scores,
+    The late share counts only lines for which lateness is defined, so not those of an
+    unknown order, which still count as lines and as returned. The scores,
     one row per supplier, are checkpointed: both rankings read them again, and
     the join below them should run once.
     """
     shared_dir(lineitem.sparkSession)
     late = is_late(limits)
     scores = (
-        with_lead(lineitem, orders)
+        with_lead(lineitem, orders, "left")
         .groupBy("l_suppkey")
         .agg(
             F.count("*").alias("lines"),

@@ -13,8 +13,9 @@ from palletwatch.operators import geography, leadtime, orders, parts, quality, r
 from palletwatch.sources.tables import Tables
 from palletwatch.streaming import dedupe, sessions, silence, windows
 
-AS_OF = dt.date(2002, 1, 1)
-EVENTS_AS_OF = dt.datetime(2024, 2, 1)
+# Inside the range of the data, so that what comes later matters.
+AS_OF = dt.date(1997, 6, 30)
+EVENTS_AS_OF = dt.datetime(2024, 1, 20)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -14,9 +14,10 @@ limits(priority, limit_days) AS (
     VALUES ('1-URGENT', 30), ('2-HIGH', 60), ('3-MEDIUM', 90), ('4-NOT SPECIFIED', 120), ('5-LOW', 120)
 )"""
 
-NET = "l_extendedprice::DECIMAL(12,2) * (1 - l_discount::DECIMAL(4,2))"
-GROSS = f"{NET} * (1 + l_tax::DECIMAL(4,2))"
-QTY = "sum(l_quantity::DECIMAL(12,2))"
+# Declared places: quantity 3, price 2, discount and tax 4.
+NET = "l_extendedprice::DECIMAL(12,2) * (1 - l_discount::DECIMAL(6,4))"
+GROSS = f"{NET} * (1 + l_tax::DECIMAL(6,4))"
+QTY = "sum(l_quantity::DECIMAL(12,3))"
 
 
 def _lead_spread(key: str) -> str:
@@ -58,24 +59,29 @@ FROM (
 GROUP BY user_id, session"""
 
 
-def _silence(end: str) -> str:
+def _silence(end: str, until: str = "TRUE") -> str:
     return f"""
 SELECT user_id, last_event, last_event + INTERVAL 24 HOUR AS alert_at
 FROM (
     SELECT user_id, ts AS last_event,
            coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), {end}) AS next_event
-    FROM events
+    FROM events WHERE {until}
 )
 WHERE next_event > last_event + INTERVAL 24 HOUR"""
 
 
 def _empty_days(members: str, key: str, seen: str) -> str:
     return f"""
-SELECT {key}, day::DATE AS empty_day
-FROM {members}, (
-    SELECT unnest(generate_series(min(l_shipdate), max(l_shipdate), INTERVAL 1 DAY)) AS day FROM lineitem
+WITH days AS (
+    SELECT {key}, day::DATE AS day
+    FROM {members}, (
+        SELECT unnest(generate_series(min(l_shipdate)::DATE, max(l_shipdate)::DATE, INTERVAL 1 DAY)) AS day FROM lineitem
+    )
+    WHERE ({key}, day::DATE) NOT IN ({seen})
 )
-WHERE ({key}, day::DATE) NOT IN ({seen})"""
+SELECT {key}, min(day) AS first_day, max(day) AS last_day, count(*) AS days
+FROM (SELECT {key}, day, day - row_number() OVER (PARTITION BY {key} ORDER BY day)::INTEGER AS stretch FROM days)
+GROUP BY {key}, stretch"""
 
 
 BATCH = {
@@ -92,8 +98,10 @@ SELECT l_suppkey, l_shipdate::DATE AS receipt_day, count(*) AS lines, {QTY}::DOU
 FROM lineitem GROUP BY ALL""",
     "open_orders": """
 SELECT o_orderkey, o_orderpriority, o_orderdate::DATE AS order_day,
-       date_diff('day', o_orderdate::DATE, DATE '2002-01-01') AS days_open
-FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""",
+       date_diff('day', o_orderdate::DATE, DATE '1997-06-30') AS days_open
+FROM orders WHERE o_orderdate::DATE <= DATE '1997-06-30' AND NOT EXISTS (
+    SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate::DATE <= DATE '1997-06-30'
+)""",
     "order_progress": f"""
 SELECT l_orderkey, count(*) AS lines, {QTY}::DOUBLE AS quantity,
        min(l_shipdate)::DATE AS first_receipt, max(l_shipdate)::DATE AS last_receipt
@@ -112,7 +120,11 @@ SELECT o_orderpriority, count(*) AS lines, count(*) FILTER (lead > limit_days) A
 FROM leads LEFT JOIN limits ON priority = o_orderpriority
 WHERE lead >= 0 GROUP BY o_orderpriority""",
     "supplier_scorecard": f"""
-WITH {LEADS}, {LIMITS},
+WITH {LIMITS},
+leads AS (
+    SELECT l.*, o_orderpriority, date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS lead
+    FROM lineitem l LEFT JOIN orders ON o_orderkey = l_orderkey
+),
 scores AS (
     SELECT l_suppkey, count(*) AS lines, count(*) FILTER (l_returnflag = 'R') AS returned_lines,
            count(*) FILTER (lead >= 0) AS eligible_lines,
@@ -203,6 +215,11 @@ UNION ALL SELECT 'null l_suppkey', count(*) FROM lineitem WHERE l_suppkey IS NUL
 UNION ALL SELECT 'null l_linenumber', count(*) FROM lineitem WHERE l_linenumber IS NULL
 UNION ALL SELECT 'quantity not positive', count(*) FROM lineitem WHERE l_quantity <= 0
 UNION ALL SELECT 'discount outside 0 to 1', count(*) FROM lineitem WHERE l_discount < 0 OR l_discount > 1
+UNION ALL SELECT 'l_quantity finer than 3 places', count(*) FROM lineitem WHERE l_quantity <> round(l_quantity, 3)
+UNION ALL SELECT 'l_extendedprice finer than 2 places', count(*) FROM lineitem WHERE l_extendedprice <> round(l_extendedprice, 2)
+UNION ALL SELECT 'l_discount finer than 4 places', count(*) FROM lineitem WHERE l_discount <> round(l_discount, 4)
+UNION ALL SELECT 'l_tax finer than 4 places', count(*) FROM lineitem WHERE l_tax <> round(l_tax, 4)
+UNION ALL SELECT 'o_totalprice finer than 2 places', count(*) FROM orders WHERE o_totalprice <> round(o_totalprice, 2)
 UNION ALL SELECT 'orphan l_orderkey', count(*) FROM lineitem
     WHERE l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT o_orderkey FROM orders)
 UNION ALL SELECT 'orphan l_partkey', count(*) FROM lineitem
@@ -214,7 +231,7 @@ UNION ALL SELECT 'orphan l_suppkey', count(*) FROM lineitem
     "dock_sessions": SESSIONS,
     "unique_events": """
 SELECT DISTINCT ON (event_id) * FROM events ORDER BY event_id, ts, user_id, event_type, value, props""",
-    "silent_docks": _silence("TIMESTAMP '2024-02-01'"),
+    "silent_docks": _silence("TIMESTAMP '2024-01-20'", "ts <= TIMESTAMP '2024-01-20'"),
 }
 
 STREAM = {

@@ -15,7 +15,7 @@ TABLES = (
 ).split()
 TYPES = {
     "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "date": "DATE",
-    "double": "DOUBLE", "timestamp_ntz": "TIMESTAMP",
+    "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP",
 }
 
 

@@ -40,6 +40,39 @@ def test_latest_per_part_breaks_ties_by_line_key(spark):
     ]
 
 
+def test_odd_rates_and_fine_quantities_are_not_rounded(spark):
+    table = lines(
+        spark, line(price=100.0, discount=0.125, quantity=1.005), line(price=100.0, discount=0.0, quantity=0.004)
+    )
+    got = receipts.daily_receipts(table).first()
+    assert (got.net_value, got.quantity) == (Decimal("187.50"), Decimal("1.009"))
+    one = order_table(spark, order(1, total=287.64375))
+    taxed = lines(spark, line(price=100.0, discount=0.125, tax=0.0825), line(price=200.0, discount=0.05, tax=0.0125))
+    assert orders.value_reconciliation(one, taxed).first().received_value == Decimal("287.09375")
+
+
+def test_more_places_can_be_asked_for(spark):
+    fine = {"l_quantity": 5, "l_extendedprice": 3, "l_discount": 5, "l_tax": 5, "o_totalprice": 3}
+    table = lines(spark, line(price=10.125, discount=0.00001, quantity=0.00001))
+    got = receipts.daily_receipts(table, fine).first()
+    assert (got.net_value, got.quantity) == (Decimal("10.125") * Decimal("0.99999"), Decimal("0.00001"))
+
+
+def test_large_values_do_not_run_over(spark):
+    table = lines(spark, *(line(price=999_999_999.99, discount=0.0001, tax=0.9999) for _ in range(5)))
+    got = orders.value_reconciliation(order_table(spark, order(1, total=1.0)), table).first()
+    assert got.received_value == 5 * Decimal("999999999.99") * Decimal("0.9999") * Decimal("1.9999")
+
+
+def test_open_orders_as_of_a_day(spark):
+    """A receipt after the day does not close an order, and an order placed after it is not yet open."""
+    table = lines(spark, line(order=1, received="2000-02-10"), line(order=4, received="2000-01-15"))
+    placed = order_table(
+        spark, order(1), order(2, ordered="2000-03-01"), order(3, ordered="2000-01-15"), order(4), order(5, ordered="2000-01-16")
+    )
+    assert rows(orders.open_orders(placed, table, dt.date(2000, 1, 15)), "o_orderkey", "days_open") == [(1, 14), (3, 0)]
+
+
 def test_open_orders_with_many_lines_of_one_order(spark):
     table = lines(spark, *(line(order=1, number=n) for n in range(50)))
     late = order_table(spark, order(1), order(2, ordered="2000-01-05"))
@@ -72,6 +105,14 @@ def test_lead_time_quantiles_and_quarantine(spark):
     assert rows(leadtime.lead_time_quarantine(table, one), "lead") == [(-2,)]
 
 
+def test_limits_from_counts_equal_those_from_lines(spark):
+    table = lines(spark, *(line(received=f"2000-01-{1 + n * n % 28:02d}", number=n) for n in range(60)), line(received="1999-01-01"))
+    one = order_table(spark, order(1))
+    counted = rows(leadtime.suggest_limits(table, one))
+    assert counted == rows(leadtime._spread(leadtime.with_lead(table, one), "o_orderpriority"))
+    assert counted[0][1] == 60
+
+
 def test_late_receipts_at_the_limit_and_without_limit(spark):
     table = lines(
         spark, line(order=1, received="2000-01-31"), line(order=1, received="2000-02-01"),
@@ -95,6 +136,12 @@ def test_scorecard_ranks_with_ties_and_undefined_shares(spark):
     ]
 
 
+def test_scorecard_keeps_lines_of_unknown_orders(spark):
+    table = lines(spark, line(order=77, returned="R"), line(order=1))
+    got = suppliers.supplier_scorecard(table, order_table(spark, order(1)))
+    assert rows(got, "lines", "returned_share", "eligible_lines") == [(2, 0.5, 1)]
+
+
 def test_value_classes_at_the_exact_boundary(spark):
     """The part before which exactly 80 % has passed is the first of class B."""
     table = lines(
@@ -132,8 +179,8 @@ def test_empty_days_cover_edges_and_unseen_suppliers(spark):
     )
     got = series.empty_days_by_supplier(table, vendor_table(spark, 1, 2, 3))
     assert rows(got) == [
-        (1, d("2000-01-01")), (1, d("2000-01-03")), (2, d("2000-01-02")),
-        (3, d("2000-01-01")), (3, d("2000-01-02")), (3, d("2000-01-03")),
+        (1, d("2000-01-01"), d("2000-01-01"), 1), (1, d("2000-01-03"), d("2000-01-03"), 1),
+        (2, d("2000-01-02"), d("2000-01-02"), 1), (3, d("2000-01-01"), d("2000-01-03"), 3),
     ]
 
 
@@ -178,12 +225,15 @@ def test_rules_see_null_and_orphan_keys(spark):
     table = lines(
         spark, line(), line(order=None), line(part=9), line(supplier=None, quantity=0.0), line(supplier=8),
         line(supplier=8, discount=1.5), line(number=None, discount=-0.1, quantity=None),
+        line(quantity=0.0005, price=0.005, discount=0.00001, tax=0.12345), line(price=None),
     )
     got = quality.rule_violations(
-        table, order_table(spark, order(1)), part_table(spark, 1), vendor_table(spark, 1)
+        table, order_table(spark, order(1, total=1.001)), part_table(spark, 1), vendor_table(spark, 1)
     )
     assert dict(rows(got)) == {
         "null l_orderkey": 1, "null l_partkey": 0, "null l_suppkey": 1, "null l_linenumber": 1,
         "quantity not positive": 1, "discount outside 0 to 1": 2,
+        "l_quantity finer than 3 places": 1, "l_extendedprice finer than 2 places": 1,
+        "l_discount finer than 4 places": 1, "l_tax finer than 4 places": 1, "o_totalprice finer than 2 places": 1,
         "orphan l_orderkey": 0, "orphan l_partkey": 1, "orphan l_suppkey": 2,
     }
