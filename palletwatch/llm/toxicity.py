@@ -27,12 +27,13 @@ ROWS = 1 << 18
 DIM = 8
 SAMPLE = 2000  # labelled texts of class 1 that training uses at most
 CLEAN = 6000  # and of class 0
-EPOCHS = 6
+EPOCHS = 8
 MIN_TEXTS = 5  # training texts a row must occur in to have a vector
 BATCH = 64
 RATE = 0.05
 GAIN = 200.0  # the mean is multiplied by this, since few of a text's n-grams tell
-DECAY = 1e-3
+DECAY = 3e-3
+PADDING = 300  # n-grams without a vector that every mean also counts, so that a few words are no strong evidence
 THRESHOLD = 0.3
 SLICE_CHARS = 1 << 19
 
@@ -88,7 +89,7 @@ class Model:
                 counts += valid
             total = np.add.reduceat(sums, begin[:-1])
             count = np.add.reduceat(counts, begin[:-1], dtype=np.int64)
-            out[at:end] = total / np.maximum(count, 1)
+            out[at:end] = total / (count + PADDING)
             at = end
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -60, 60)))
 
@@ -100,7 +101,7 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Model:
         grams, _ = ngrams([text])
         found, counts = np.unique(np.concatenate([rows[valid] for rows, valid in grams]), return_counts=True)
         kept_rows.append(found.astype(np.int32))
-        kept_weights.append((counts * (GAIN / max(counts.sum(), 1))).astype(np.float32))
+        kept_weights.append((counts * (GAIN / (counts.sum() + PADDING))).astype(np.float32))
     used_by = np.bincount(np.concatenate([np.empty(0, np.int32), *kept_rows]), minlength=ROWS)
     often = used_by >= MIN_TEXTS
     kept_weights = [w[often[r]] for r, w in zip(kept_rows, kept_weights, strict=True)]
@@ -149,14 +150,20 @@ def fitted(docs: DataFrame, known: DataFrame, sample: int = SAMPLE, clean: int =
     """A model from ``known`` (``doc_id``, ``label`` 0 or 1), whose texts are looked up in ``docs``.
 
     At most ``sample`` labelled ids of class 1 and ``clean`` of class 0 are used, those least by the hash of their
-    id; only their texts reach the driver. An id with both labels counts as class 1, other labels are passed over.
+    id; only their texts reach the driver. The bias is then moved by as much as the odds of the classes among
+    all labelled ids differ from those in the sample. An id with both labels counts as class 1, other labels are passed over.
     """
     known = known.filter("label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     place = F.xxhash64("doc_id")
     chosen = known.filter("label = 1").orderBy(place).limit(sample).unionByName(known.filter("label = 0").orderBy(place).limit(clean))
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
     rows = sorted(((r["doc_id"], r["text"] or "", r["label"]) for r in found.collect()))
-    return train([text for _, text, _ in rows], [label for _, _, label in rows])
+    model = train([text for _, text, _ in rows], [label for _, _, label in rows])
+    used = sum(label for _, _, label in rows)
+    ones, zeros = known.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
+    if 0 < used < len(rows):
+        model.bias += float(np.log(ones / zeros * (len(rows) - used) / used))
+    return model
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, drop: Sequence[str] = ()) -> DataFrame:

@@ -1,0 +1,36 @@
+from __future__ import annotations
+
+import math
+
+import pytest
+
+from palletwatch.llm import lm_scoring
+from palletwatch.llm.lm_scoring import scores
+from tests.llm import brute, odd
+
+
+def check(df, **settings):
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    want = brute.backoff([t for _, t in rows], settings.get("order", 2), settings.get("alpha", 0.4), settings.get("min_count", 2))
+    got = sorted(((r["doc_id"] is None, r["doc_id"], r["n_words"], r["log_score"]) for r in scores(df, **settings).collect()), key=repr)
+    assert len(got) == len(rows)
+    expected = sorted(((doc is None, doc, len(brute.words(text)), score) for (doc, text), score in zip(rows, want, strict=True)), key=repr)
+    for a, b in zip(got, expected, strict=True):
+        assert a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-9, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("order, min_count", [(1, 1), (2, 2), (3, 2), (4, 1)])
+def test_odd_documents(spark, monkeypatch, order, min_count):
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(lm_scoring, "PARTITION_BYTES", 1000)
+    check(odd.documents(spark, "n_words string, lang string"), order=order, min_count=min_count, alpha=0.5)
+
+
+def test_given_documents(spark):
+    check(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), order=3)
+
+
+def test_empty_tables(spark):
+    assert scores(odd.empty(spark)).count() == 0
+    one = scores(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()
+    assert (one["n_words"], one["log_score"]) == (0, 0.0)
