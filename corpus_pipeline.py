@@ -20,11 +20,21 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
     return docs.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
+def _set_aside(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with its own columns of these names, which an operator would replace, under others."""
+    return docs.withColumnsRenamed({name: f"own {name}" for name in names if name in docs.columns})
+
+
+def _restored(result: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, those set aside under their own names again."""
+    return result.select(*(F.col(f"own {c}").alias(c) if f"own {c}" in result.columns else F.col(c) for c in docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not taken for toxic. The classifier learns from labelled documents of the input, none held out."""
     labels = _table(spark, sf_dir, "labels").filter("toxic is not null").select("doc_id", F.col("toxic").alias("label"))
-    scored = toxicity.scored(docs, toxicity.fitted(docs, labels))
-    return scored.filter("predicted = 0").select(*docs.columns)
+    scored = toxicity.scored(_set_aside(docs, "score", "predicted"), toxicity.fitted(docs, labels))
+    return _restored(scored.filter("predicted = 0"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +47,17 @@ def drop_repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Documents of which no word is left go; those that had none stay.
     """
-    found = substring_dedup.removed_words(docs).filter("n_removed = 0 or n_removed < n_words")
-    return _with_text(found, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))).select(*docs.columns)
+    found = substring_dedup.removed_words(_set_aside(docs, "n_words", "n_removed", "kept", "_chunk"))
+    found = found.filter("n_removed = 0 or n_removed < n_words")
+    return _restored(_with_text(found, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))), docs)
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the spans they share with test items; documents made of such spans only go."""
-    found = decontaminate.decontaminated(docs, _table(spark, sf_dir, "benchmark"))
+    plain = _set_aside(docs, "n_words", "hits", "items", "cleaned")
+    found = decontaminate.decontaminated(plain, _table(spark, sf_dir, "benchmark"))
     found = found.filter((F.size("hits") == 0) | (F.size("hits") < F.col("n_words")))
-    return _with_text(decontaminate.cleaned(found), F.col("cleaned")).select(*docs.columns)
+    return _restored(_with_text(decontaminate.cleaned(found), F.col("cleaned")), docs)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
