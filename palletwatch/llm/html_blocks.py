@@ -29,21 +29,23 @@ INLINE = set(
 )
 # Elements whose extent is followed; others only part blocks.
 FOLLOWED = set(
-    "article main nav header footer aside form menu dialog section div ul ol table figure fieldset address details head "
-    "span".split()
+    "article main nav header footer aside form menu dialog section div ul ol li table blockquote figure fieldset address "
+    "details head span".split()
 )
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ASIDE_TAGS = set("nav footer aside form menu dialog head".split())
 MAIN_TAGS = {"article", "main"}
 # Words in class, id or role that name what stands beside an article, or the article.
 ASIDE_WORDS = set(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu "
-    "sidebar aside complementary comment comments commentlist reply replies disqus respond footer contentinfo masthead topbar "
-    "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login "
-    "share sharing social related recommended breadcrumb breadcrumbs pagination pager search widget toolbar copyright legal "
+    "ad ads advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promoted promotion nav navbar "
+    "subnav topnav sidenav mainnav navigation menu mainmenu menubar sidebar rail aside complementary comment comments commentlist "
+    "discussion reply replies responses disqus respond footer contentinfo masthead topbar cookie cookies consent gdpr notice "
+    "notices notification alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social "
+    "related recommended popular trending breadcrumb breadcrumbs pagination pager search widget widgets toolbar copyright legal "
     "disclaimer tags form".split()
 )
-MAIN_WORDS = set("article articlebody main maincontent entry post story".split())
+HEADER_WORDS = {"header", "siteheader", "pageheader"}  # as the element of that name
+MAIN_WORDS = set("article articlebody main maincontent content entry post story".split())
 WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -65,8 +67,8 @@ def _sort(name: str, tag: str, inside_main: bool) -> tuple[bool, bool]:
         for match in HINTS.findall(tag):
             words.update(WORD.findall("".join(match).lower()))
     aside = (
-        name in ASIDE_TAGS or name == "header" and not inside_main
-        or bool(words & ASIDE_WORDS) and not (name in MAIN_TAGS) or bool(HIDDEN.search(tag))
+        name in ASIDE_TAGS or not inside_main and (name == "header" or bool(words & HEADER_WORDS) and name not in MAIN_TAGS)
+        or bool(words & ASIDE_WORDS) and name not in MAIN_TAGS or bool(HIDDEN.search(tag))
     )
     return aside, not aside and (name in MAIN_TAGS or bool(words & MAIN_WORDS))
 
@@ -77,6 +79,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[tuple[str, bool]] = []
     open_: list[tuple[str, bool, bool]] = []  # followed elements: name, and what was in force before
     aside = main = heading = False
+    alone = False  # the block that is open is an aside by itself
     links = False
 
     def flush() -> None:
@@ -84,7 +87,7 @@ def blocks(page: str) -> list[Block]:
         words = (html.unescape(whole) if "&" in whole else whole).split()
         if words:
             linked = sum([len(part.split()) for part, inside in parts if inside])
-            found.append(Block(" ".join(words), len(words), min(linked, len(words)), aside, main, heading))
+            found.append(Block(" ".join(words), len(words), min(linked, len(words)), aside or alone, main, heading))
         parts.clear()
 
     pieces = TOKEN.split(page)
@@ -107,6 +110,7 @@ def blocks(page: str) -> list[Block]:
                 flush()
             links = False
             heading = not closing and name in HEADINGS
+            alone = not closing and name not in FOLLOWED and "=" in tag and _sort(name, tag, main)[0]
             if name == "body":
                 open_, aside, main = [], False, False
         if name not in FOLLOWED:
@@ -120,6 +124,8 @@ def blocks(page: str) -> list[Block]:
                     del open_[depth:]
                     break
         else:
+            if name == "li" and open_ and open_[-1][0] == "li":  # the one before was left open
+                _, aside, main = open_.pop()
             to_aside, to_main = _sort(name, tag, main)
             open_.append((name, aside, main))
             if to_aside and not aside:

@@ -36,6 +36,26 @@ def test_blocks_of_a_page_without_names():
     assert main_text(f"<div><a href=a>Home</a></div><div>{long}</div><div>{long}</div><div><a href=b>Next</a></div>") == f"{long}\n{long}"
 
 
+@pytest.mark.parametrize("aside", [
+    '<p class="ad">{}</p>', '<div id=sidebar><p>{}</p><p>{}</p></div>', '<ol class="commentlist"><li>{}<li>{}</ol>',
+    '<ul><li class="comment"><p>{}</p><li class=comment>{}</ul>', '<section class="user-comments"><h2>Comments</h2><div>{}</div></section>',
+    '<div role="alert">{}</div>', '<form action=/x><p>{}</p></form>', '<div style="display:none">{}</div>', '<aside>{}</aside>',
+    '<noscript>{}</noscript>', '<div class="related-posts"><a href=x>{}</a></div>', '<textarea>{}</textarea>', '<div hidden>{}</div>',
+])
+@pytest.mark.parametrize("inside", [True, False])
+def test_asides_of_many_kinds(aside, inside):
+    text = "Some words that could be part of the article, if they were not where they are, and so on and on."
+    first, last = "The first paragraph of the article with its words.", "And a last one."
+    aside = aside.replace("{}", text)
+    page = f"<article><p>{first}</p>{aside if inside else ''}<p>{last}</p></article>{'' if inside else aside}"
+    assert main_text(page) == f"{first}\n{last}"
+
+
+def test_header_of_the_page_and_of_the_article():
+    page = '<div id="header">Our site</div><article><header><h1>Title</h1></header><ul><li>one<li>two</ul></article>'
+    assert main_text(page) == "Title\none\ntwo"
+
+
 def test_long_page_is_not_cut():
     page = "<article>" + "".join(f"<p>paragraph {i} " + "x " * 30 + "</p>" for i in range(20000)) + "</article>"
     assert main_text(page).count("\n") == 19999
