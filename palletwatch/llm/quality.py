@@ -91,7 +91,7 @@ def measured(texts: Sequence[bytes | None]) -> list:
 
     def arrays(counts: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(
-            pa.array(np.arange(n + 1) * counts.shape[1], pa.int32()), pa.array(counts.ravel().astype(np.int64))
+            pa.array(np.arange(n + 1) * counts.shape[1], pa.int32()), pa.array(counts.ravel().astype(np.int32))
         )
 
     return [
@@ -103,25 +103,22 @@ def measured(texts: Sequence[bytes | None]) -> list:
 
 FIELDS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "char_counts array<long>, word_counts array<long>"
+    "char_counts array<int>, word_counts array<int>"
 )
 
 
-def distance(a: Column, b: Column) -> Column:
-    """The Jensen-Shannon distance of two histograms, 0 to 1: the root of the divergence in bits."""
-
-    def total(x: Column) -> Column:
-        return F.greatest(F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v), F.lit(1)).cast("double")
+def distance(counts: Column, total: Column, shares: Column) -> Column:
+    """The Jensen-Shannon distance of counts of that total to a reference's shares, 0 to 1: the root of the divergence in bits."""
 
     def toward(p: Column, q: Column) -> Column:
         return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(F.lit(0.0))
 
-    parts = F.zip_with(a, b, lambda x, y: toward(x / total(a), y / total(b)) + toward(y / total(b), x / total(a)))
+    parts = F.zip_with(counts, shares, lambda n, q: toward(n / total, q) + toward(q, n / total))
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v) / 2, F.lit(0.0)))
 
 
-def _summed(column: str, bins: int) -> Column:
-    return F.array(*(F.sum(F.col(column)[i]) for i in range(bins)))
+def _shares(column: str, bins: int, total: Column) -> Column:
+    return F.array(*(F.sum(F.col(column)[i]) / F.sum(total) for i in range(bins)))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -137,16 +134,16 @@ def judged(docs: DataFrame) -> DataFrame:
     counted = with_columns(docs, FIELDS, lambda: measured, drop=("text",)).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     ).checkpoint()
+    chars, words = F.col("word_chars") + F.col("char_counts")[3], F.col("n_words")
     references = (
         counted.filter(~F.col("base_failed")).groupBy(F.col("lang").alias("ref_lang"))
-        .agg(F.sum("n_words").alias("ref_words"), _summed("char_counts", CLASSES).alias("ref_chars"),
-             _summed("word_counts", len(WORDS) + 1).alias("ref_common"))
+        .agg(F.sum(words).alias("ref_words"), _shares("char_counts", CLASSES, chars).alias("ref_chars"),
+             _shares("word_counts", len(WORDS) + 1, words).alias("ref_common"))
         .filter(F.col("ref_words") >= REFERENCE_WORDS)
     )
-    chars = F.aggregate("char_counts", F.lit(0).cast("long"), lambda s, v: s + v)
     found = counted.join(references, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").withColumns({
-        "char_distance": F.when(chars >= JUDGED_CHARS, distance(F.col("char_counts"), F.col("ref_chars"))),
-        "word_distance": F.when(F.col("n_words") >= JUDGED_WORDS, distance(F.col("word_counts"), F.col("ref_common"))),
+        "char_distance": F.when(chars >= JUDGED_CHARS, distance(F.col("char_counts"), chars, F.col("ref_chars"))),
+        "word_distance": F.when(words >= JUDGED_WORDS, distance(F.col("word_counts"), words, F.col("ref_common"))),
     })
     strange = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (
         F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE
