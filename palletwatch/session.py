@@ -74,7 +74,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="palletwatch-")
     if not local and spark.conf.get("spark.palletwatch.mountedFolder", "false") != "true":
-        if _is_local_file(folder, spark.conf.get("spark.hadoop.fs.defaultFS", "file:")):
+        if _is_local_file(folder, context._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")):
             raise ValueError(f"spark.checkpoint.dir names a folder of the local file system, {folder}")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)

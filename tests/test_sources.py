@@ -67,7 +67,7 @@ class Cluster:
 
     def __init__(self, **settings):
         self.settings, self.folder = settings, None
-        self.sparkContext = self.conf = self
+        self.sparkContext = self.conf = self._jsc = self
 
     master = "yarn"
 
@@ -77,6 +77,9 @@ class Cluster:
     def setCheckpointDir(self, folder):
         self.folder = folder
 
+    def hadoopConfiguration(self):
+        return self
+
     def get(self, key, default):
         return self.settings.get(key.replace(".", "_"), default)
 
@@ -89,6 +92,6 @@ def test_cluster_without_shared_folder_is_refused(folder):
 
 def test_cluster_with_shared_folder():
     assert session.shared_dir(Cluster(spark_checkpoint_dir="hdfs://a/b")) == "hdfs://a/b"
-    assert session.shared_dir(Cluster(spark_checkpoint_dir="/b", spark_hadoop_fs_defaultFS="hdfs://a")) == "/b"
+    assert session.shared_dir(Cluster(spark_checkpoint_dir="/b", fs_defaultFS="hdfs://a")) == "/b"
     mounted = Cluster(spark_checkpoint_dir="file:///mnt/b", spark_palletwatch_mountedFolder="true")
     assert session.shared_dir(mounted) == "file:///mnt/b"
