@@ -94,18 +94,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -60, 60)))
 
 
+def _counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a text's n-grams, each once, and how often they occur."""
+    grams, _ = ngrams([text])
+    rows, counts = np.unique(np.concatenate([rows[valid] for rows, valid in grams]), return_counts=True)
+    return rows.astype(np.int32), counts
+
+
 def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Model:
     """Vectors and softmax by stochastic gradients (Adagrad) over shuffled batches."""
-    kept_rows, kept_weights = [], []
+    used_by = np.zeros(ROWS, np.int64)
     for text in texts:
-        grams, _ = ngrams([text])
-        found, counts = np.unique(np.concatenate([rows[valid] for rows, valid in grams]), return_counts=True)
-        kept_rows.append(found.astype(np.int32))
-        kept_weights.append((counts * (GAIN / (counts.sum() + PADDING))).astype(np.float32))
-    used_by = np.bincount(np.concatenate([np.empty(0, np.int32), *kept_rows]), minlength=ROWS)
+        used_by[_counted(text)[0]] += 1
     often = used_by >= MIN_TEXTS
-    kept_weights = [w[often[r]] for r, w in zip(kept_rows, kept_weights, strict=True)]
-    kept_rows = [r[often[r]] for r in kept_rows]
+    kept_rows, kept_counts, scale = [], [], []
+    for text in texts:  # once more, so that only what is kept is ever held
+        rows, counts = _counted(text)
+        scale.append(GAIN / (counts.sum() + PADDING))
+        kept_rows.append(rows[often[rows]])
+        kept_counts.append(counts[often[rows]].astype(np.float32))
     y = np.asarray(labels, np.int64)
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (ROWS, DIM)).astype(np.float32) * 0.1
@@ -119,7 +126,7 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Model:
         rate = RATE * (1 - epoch / EPOCHS)
         for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
             rows = np.concatenate([kept_rows[i] for i in batch])
-            weights = np.concatenate([kept_weights[i] for i in batch])
+            weights = np.concatenate([kept_counts[i] * np.float32(scale[i]) for i in batch])
             lengths = np.array([len(kept_rows[i]) for i in batch])
             text = np.repeat(np.arange(len(batch)), lengths)
             used, inverse = np.unique(rows, return_inverse=True)
