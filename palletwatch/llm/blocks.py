@@ -12,11 +12,14 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # An odd multiplier and its inverse modulo 2**64, for spans of a prefix sum.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
+PIECE = 1 << 19  # values hashed at a time
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -28,7 +31,7 @@ def _power(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 1 << 23:
+        if size <= 4 * PIECE:
             _powers[base] = have
     return have[:n]
 
@@ -51,6 +54,19 @@ def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * _power(BASE_INVERSE, len(sums))[starts] + (ends - starts).astype(np.uint64))
 
 
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each span, for spans in ascending order of both ends; in pieces, of bounded memory."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, low + PIECE, side="right")))
+        sums = prefix(values[low : int(ends[j - 1])])
+        out[i:j] = spans(sums, starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return out
+
+
 @dataclass
 class Words:
     """The words of some texts in one buffer, separated by single spaces."""
@@ -61,9 +77,19 @@ class Words:
     @classmethod
     def of(cls, texts: Sequence[bytes | None], lower: bytes | None = None) -> Words:
         """``lower``: a translation table applied before the words are cut."""
-        cut = [(text.translate(lower) if lower else text).split() if text else [] for text in texts]
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        return cls(b" ".join([b" ".join(words) for words in cut if words]), counts)
+        counts, parts = np.zeros(len(texts), np.int64), []
+        for i, text in enumerate(texts):
+            words = (text.translate(lower) if lower else text).split() if text else None
+            if words:
+                counts[i] = len(words)
+                parts.append(b" ".join(words))
+        return cls(b" ".join(parts), counts)
+
+    @classmethod
+    def spaced(cls, texts: Sequence[bytes]) -> Words:
+        """Of texts that have words, with single spaces between them."""
+        counts = np.fromiter((text.count(b" ") + 1 for text in texts), np.int64, len(texts))
+        return cls(b" ".join(texts), counts)
 
     @cached_property
     def bytes(self) -> np.ndarray:
@@ -93,7 +119,7 @@ class Words:
 
     @cached_property
     def hashes(self) -> np.ndarray:
-        return spans(prefix(self.bytes), self.starts, self.ends)
+        return span_hashes(self.bytes, self.starts, self.ends)
 
     def windows(self, size: int) -> np.ndarray:
         """Places of the first word of each run of ``size`` words inside one text."""
@@ -101,11 +127,7 @@ class Words:
         return np.flatnonzero(left >= size)
 
     def window_hashes(self, size: int, at: np.ndarray) -> np.ndarray:
-        return spans(self._word_sums, at, at + size)
-
-    @cached_property
-    def _word_sums(self) -> np.ndarray:
-        return prefix(self.hashes)
+        return span_hashes(self.hashes, at, at + size)
 
     def slice(self, start: int, words: int) -> bytes:
         return self.buffer[self.starts[start] : self.ends[start + words - 1]]
@@ -161,14 +183,13 @@ def binary(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def pieces(texts: Sequence[bytes | None], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about ``most`` bytes, one text at least."""
+def pieces(texts: pa.Array, most: int) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """Ranges of consecutive texts of about ``most`` bytes, one text at least, and these texts in UTF-8."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start = size = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
-        if size and size + n > most:
-            yield start, i
+    for i, n in enumerate([*sizes, most + 1]):
+        if i == len(sizes) or size and size + n > most:
+            if i > start:
+                yield start, i, binary(texts.slice(start, i - start))
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from palletwatch.llm.blocks import binary, pieces
+from palletwatch.llm.blocks import pieces
 
 SLICE_BYTES = 2 << 20
 
@@ -37,13 +37,13 @@ def with_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = work()
         for batch in batches:
-            texts = binary(batch[text])
-            for lo, hi in pieces(texts, SLICE_BYTES):
+            for lo, hi, texts in pieces(batch[text], SLICE_BYTES):
                 made = [
                     column if isinstance(column, pa.Array) else pa.array(column, kind)
-                    for column, kind in zip(columns(texts[lo:hi]), kinds, strict=True)
+                    for column, kind in zip(columns(texts), kinds, strict=True)
                 ]
                 kept = [batch[name].slice(lo, hi - lo) for name in stay]
                 yield pa.RecordBatch.from_arrays(kept + made, stay + new.names)
+        pa.default_memory_pool().release_unused()  # the worker process goes on to other tasks
 
     return docs.mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from sentencepiece import sentencepiece_model_pb2
 from palletwatch.llm.rows import with_columns
 
 MARK = "▁"
-TABLE_ENTRIES = 300_000  # distinct words a task keeps; a full table is begun anew
+TABLE_ENTRIES = 150_000  # distinct words a task keeps; a full table is begun anew
 
 
 def splits_at_marks(model: bytes) -> bool:

@@ -42,7 +42,7 @@ from palletwatch.session import shared_dir
 
 WINDOW = 20
 INNER = 5
-BUCKET_BYTES = 4 << 20  # of texts, for each bucket
+BUCKET_BYTES = 2 << 20  # of texts, for each bucket
 LONGEST = 256  # windows of one packed string
 HEAVY = 4096  # a run of words is frequent if it is the minimiser of one in so many strings
 
@@ -131,13 +131,12 @@ def _frequent(docs: DataFrame, size: int, inner: int) -> tuple[int, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = binary(batch["text"])
-            for lo, hi in pieces(texts, CHUNK_BYTES):
-                words = Words.of(texts[lo:hi])
+            for _, _, texts in pieces(batch["text"], CHUNK_BYTES):
+                words = Words.of(texts)
                 found = super_kmers(words, size, inner, np.empty(0, np.uint64)).key
                 keys, n = np.unique(found, return_counts=True)
                 many = n >= max(4, len(found) / HEAVY * 4)
-                total = [sum(len(t) for t in texts[lo:hi] if t), len(found)]
+                total = [sum(len(t) for t in texts if t), len(found)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([[-2, -1], keys[many].astype(np.int64)])),
@@ -196,7 +195,7 @@ def removed_words(docs: DataFrame, size: int = WINDOW, inner: int = INNER) -> Da
             ids.append(np.frombuffer(unpack(row["ids"]), np.int64))
             chunk.append(row["chunk"])
             count.append(len(mine))
-        words, ids = Words.of(lines), np.concatenate(ids)
+        words, ids = Words.spaced(lines), np.concatenate(ids)
         del lines
         at = words.windows(size)
         line = words.text[at]

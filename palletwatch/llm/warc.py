@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palletwatch.llm.blocks import binary, pieces
+from palletwatch.llm.blocks import pieces
 from palletwatch.llm.html_blocks import blocks
 from palletwatch.llm.rows import SLICE_BYTES
 
@@ -94,12 +94,11 @@ def derived_records(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            messages = binary(batch["block"])
             facts = [batch[name].to_pylist() for name in ("record_id", "target_uri", "date")]
-            for lo, hi in pieces(messages, SLICE_BYTES):
+            for lo, hi, messages in pieces(batch["block"], SLICE_BYTES):
                 rows, source = [], []
                 for i in range(lo, hi):
-                    block = messages[i] or b""
+                    block = messages[i - lo] or b""
                     target, date = facts[1][i] or "", facts[2][i] or ""
                     own = facts[0][i] or record_id("response", f"{target} {digest(block)}")
                     new = list(derive(own, target, date, block))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from palletwatch.llm import blocks
 from palletwatch.llm.blocks import Words, classes, pieces
@@ -35,6 +36,8 @@ def _ranks(numbers):
 
 
 def test_pieces_cover_all_texts_once():
-    texts = [None, b"", b"x" * 9, b"y" * 2, b"", b"z"]
-    assert [i for lo, hi in pieces(texts, 4) for i in range(lo, hi)] == list(range(6))
-    assert list(pieces([], 4)) == []
+    texts = [None, "", "x" * 9, "y" * 2, "", "é"]
+    found = list(pieces(pa.array(texts), 4))
+    assert [i for lo, hi, _ in found for i in range(lo, hi)] == list(range(6)) and len(found) == 2
+    assert [t for _, _, part in found for t in part] == [t.encode() if t is not None else None for t in texts]
+    assert list(pieces(pa.array([], pa.string()), 4)) == []
