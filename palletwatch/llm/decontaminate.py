@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -177,12 +178,15 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[t
     ]
 
 
-def _cut(text: bytes, gone: np.ndarray) -> bytes:
-    """A text without the stretches from the first to the last word of each removed span."""
+def _cut(text: bytes, hits: np.ndarray, words: int) -> bytes:
+    """A text without the stretches from the first to the last word of neighbouring hit words."""
+    if not len(hits):
+        return text
+    gone = np.zeros(words + 2, np.int8)
+    gone[np.asarray(hits) + 1] = 1
     found = [word.span() for word in re.finditer(rb"[^ ]+", text.translate(NORMAL))]
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]).astype(np.int8))).reshape(-1, 2)
     parts, at = [], 0
-    for a, b in edges.tolist():
+    for a, b in np.flatnonzero(np.diff(gone)).reshape(-1, 2).tolist():
         parts.append(text[at : found[a][0]])
         at = found[b - 1][1]
     return b"".join([*parts, text[at:]])
@@ -194,6 +198,7 @@ def decontaminated(
     span: int = SPAN_WORDS,
     coverage: float = COVERAGE,
     block_bytes: int = BLOCK_BYTES,
+    clean: bool = False,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``hits`` (places of words in spans to remove) and ``items`` found.
 
@@ -201,11 +206,15 @@ def decontaminated(
     least. Every word in an occurrence of a marked run is hit. ``items`` has the distinct ids of items
     with an occurrence, in ascending order. Null texts and items without words match
     nothing; a null item id is not listed among the items found. Columns of ``docs`` with
-    the names of the added ones give way to them.
+    the names of the added ones give way to them. With ``clean`` there is also ``cleaned``, the text
+    without its hit stretches: from the first to the last letter of neighbouring hit words; what stands around
+    them stays.
     """
-    docs = docs.drop("n_words", "hits", "items")
+    docs = docs.drop("n_words", "hits", "items", *["cleaned"] * clean)
     last = "n_words long, hits array<int>, items array<long>"
-    for block in item_blocks(items, block_bytes):
+    blocks = item_blocks(items, block_bytes)
+    at_once = clean and len(blocks) == 1
+    for block in blocks:
         earlier = "hits" in docs.columns
         if earlier:
             docs = docs.withColumnsRenamed({"hits": "_hits", "items": "_items"})
@@ -224,35 +233,27 @@ def decontaminated(
                 offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
                 within = (places - words.first[text]).astype(np.int32)
                 whose = [sorted(i for i in found.get(n, ()) if i is not None) for n in range(len(texts))]
-                return words.counts, pa.ListArray.from_arrays(pa.array(offsets), pa.array(within)), whose
+                made = [words.counts, pa.ListArray.from_arrays(pa.array(offsets), pa.array(within)), whose]
+                if at_once:
+                    made.append([
+                        _cut(t, within[a:b], n).decode() if t is not None else None
+                        for t, a, b, n in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), words.counts.tolist(), strict=True)
+                    ])
+                return made
 
             return columns
 
-        docs = with_columns(docs, last, work)
+        docs = with_columns(docs, last + ", cleaned string" * at_once, work)
         if earlier:
             docs = docs.withColumns({
                 "hits": F.array_sort(F.array_union("hits", "_hits")), "items": F.array_sort(F.array_union("items", "_items")),
             }).drop("_hits", "_items")
+    if clean and not at_once:
+        docs = docs.withColumn("cleaned", F.pandas_udf(_cut_rows, "string")("text", "hits", "n_words"))
     return docs
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
-    """The rows of ``decontaminated`` with a column ``cleaned``: the text without its hit stretches.
-
-    A stretch reaches from the first to the last letter of neighbouring hit words; what
-    stands around it stays.
-    """
-
-    @F.pandas_udf("string")
-    def cut(text, hits):
-        def one(t, places):
-            if t is None or not len(places):
-                return t
-            data = t.encode()
-            gone = np.zeros(len(normal_words(data)), np.int8)
-            gone[places] = 1
-            return _cut(data, gone).decode()
-
-        return type(text)([one(t, p) for t, p in zip(text, hits, strict=True)], dtype=object)
-
-    return docs.withColumn("cleaned", cut("text", "hits"))
+def _cut_rows(text: pd.Series, hits: pd.Series, words: pd.Series) -> pd.Series:
+    return pd.Series(
+        [_cut(t.encode(), h, n).decode() if t is not None else None for t, h, n in zip(text, hits, words, strict=True)], dtype=object
+    )

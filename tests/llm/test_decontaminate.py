@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from palletwatch.llm.decontaminate import Automaton, NORMAL, cleaned, decontaminated
+from palletwatch.llm.decontaminate import NORMAL, Automaton, decontaminated
 from palletwatch.llm.blocks import Words
 from tests.llm import brute, odd
 
@@ -46,8 +46,9 @@ def test_odd_documents_in_one_and_in_many_blocks(spark):
 def test_cleaned_text_keeps_what_stands_around(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = spark.createDataFrame([(1, "Héllo, (Short item  HERE)! Rest."), (2, "none"), (3, None), (4, "short item here")], "doc_id long, text string")
-    got = {r["doc_id"]: r["cleaned"] for r in cleaned(decontaminated(docs, items)).collect()}
-    assert got == {1: "Héllo, ()! Rest.", 2: "none", 3: None, 4: ""}
+    for block in (1 << 20, 10):
+        got = {r["doc_id"]: r["cleaned"] for r in decontaminated(docs, items, block_bytes=block, clean=True).collect()}
+        assert got == {1: "Héllo, ()! Rest.", 2: "none", 3: None, 4: ""}
 
 
 def test_empty_tables(spark):
