@@ -55,9 +55,9 @@ def drop_repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the spans they share with test items; documents made of such spans only go."""
     plain = _set_aside(docs, "n_words", "hits", "items", "cleaned")
-    found = decontaminate.decontaminated(plain, _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.decontaminated(plain, _table(spark, sf_dir, "benchmark"), clean=True)
     found = found.filter((F.size("hits") == 0) | (F.size("hits") < F.col("n_words")))
-    return _restored(_with_text(decontaminate.cleaned(found), F.col("cleaned")), docs)
+    return _restored(_with_text(found, F.col("cleaned")), docs)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
