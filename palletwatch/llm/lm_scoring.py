@@ -7,6 +7,9 @@ own counts. The partition adds the counts up and joins them to each chunk's list
 that a very frequent n-gram arrives once per chunk. The chunk takes the counts back to the
 places of its n-grams and sums the scores of each document.
 
+Words and pairs are counted first, then one order at a time. An n-gram is as rare as either run of n-1 words
+inside it, so one with a run seen once has a count of one and is not sent.
+
 Two n-grams of equal hash would share a count; among n distinct n-grams some n**2 / 2**65 pairs
 do so.
 """
@@ -14,6 +17,7 @@ do so.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palletwatch.llm.blocks import Words, binary
-from palletwatch.llm.chunks import CHUNK_BYTES, in_chunks
+from palletwatch.llm.chunks import in_chunks
 
+CHUNK_BYTES = 8 << 20  # of texts; the larger, the more of a chunk's n-grams are alike and are sent once
 ORDER = 2
 ALPHA = 0.4
 MIN_COUNT = 2
+PAIRS = 2  # orders up to this one are counted together
 PARTITION_BYTES = 4 << 20  # of texts, for each partition of the count table
 
 
@@ -50,6 +56,32 @@ def _grams(words: Words, order: int) -> tuple[np.ndarray, np.ndarray, list[np.nd
     return distinct, counts, at, np.split(inverse, np.cumsum([len(h) for h in hashes])[:-1])
 
 
+def _asked(words: Words, n: int, at: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of n-grams, and which of these may have a count over one, by places and counts of the order below."""
+    places = words.windows(n)
+    left = np.searchsorted(at, places)
+    return places, (seen[left] > 1) & (seen[np.minimum(left + 1, len(at) - 1)] > 1) if len(at) else np.zeros(0, bool)
+
+
+def _seen(words: Words, order: int, answers: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each order the first words of n-grams and their counts in all documents, from the answers to a chunk."""
+    count: dict[int, list[np.ndarray]] = {}
+    for row in sorted(answers.select(["level", "part", "counts"]).to_pylist(), key=lambda row: (row["level"], row["part"])):
+        count.setdefault(row["level"], [np.empty(0, np.uint64)]).append(_unpack(row["counts"]))
+    whole = {level: np.concatenate(found).astype(np.float64) for level, found in count.items()}
+    nothing = np.empty(0)
+    _, _, at, which = _grams(words, min(order, PAIRS))
+    seen = [whole.get(PAIRS, nothing)[w] for w in which]
+    for n in range(PAIRS + 1, order + 1):
+        places, asked = _asked(words, n, at[-1], seen[-1])
+        counts = np.ones(len(places))
+        _, inverse = np.unique(words.window_hashes(n, places[asked]), return_inverse=True)
+        counts[asked] = whole.get(n, nothing)[inverse]
+        at.append(places)
+        seen.append(counts)
+    return at, seen
+
+
 def _edges(distinct: np.ndarray, partitions: int) -> tuple[np.ndarray, np.ndarray]:
     """The hash partitions that have some of the sorted hashes, and where each begins."""
     part = ((distinct >> np.uint64(32)) * np.uint64(partitions)) >> np.uint64(32)
@@ -79,19 +111,33 @@ def scores(
         table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
         return table, Words.of(binary(table["text"].combine_chunks()))
 
-    def send(table: pa.Table) -> pa.Table:
-        _, words = ordered(table)
-        distinct, counts, _, _ = _grams(words, order)
+    def sent(chunk: int, level: int, distinct: np.ndarray, counts: np.ndarray) -> pa.Table:
         part, begin = _edges(distinct, partitions)
         gaps, own = np.split(distinct, begin[1:]), np.split(counts, begin[1:])
         n = len(part)
         return pa.table({
             "part": pa.array(part, pa.int64()),
-            "chunk": pa.array([table["_chunk"][0].as_py()] * n, pa.int64()),
+            "chunk": pa.array([chunk] * n, pa.int64()),
+            "level": pa.array([level] * n, pa.int32()),
             "hashes": pa.array([_pack(np.diff(g, prepend=np.uint64(0))) for g in gaps[:n]], pa.binary()),
             "counts": pa.array([_pack(c) for c in own[:n]], pa.binary()),
         })
 
+    def send(table: pa.Table) -> pa.Table:
+        _, words = ordered(table)
+        distinct, counts, _, _ = _grams(words, min(order, PAIRS))
+        return sent(table["_chunk"][0].as_py(), PAIRS, distinct, counts)
+
+    def sender(n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def send_more(left: pa.Table, right: pa.Table) -> pa.Table:
+            _, words = ordered(left)
+            at, seen = _seen(words, n - 1, right)
+            places, asked = _asked(words, n, at[-1], seen[-1])
+            distinct, counts = np.unique(words.window_hashes(n, places[asked]), return_counts=True)
+            return sent(left["_chunk"][0].as_py(), n, distinct, counts)
+
+        return send_more
+
     def join(table: pa.Table) -> pa.Table:
         rows = table.select(["chunk", "hashes", "counts"]).to_pylist()
         hashes = [np.cumsum(_unpack(row["hashes"]), dtype=np.uint64) for row in rows]
@@ -102,16 +148,14 @@ def scores(
         answers = np.split(whole[inverse], np.cumsum([len(h) for h in hashes])[:-1])
         return pa.table({
             "chunk": pa.array([row["chunk"] for row in rows], pa.int64()),
+            "level": table["level"],
             "part": table["part"],
             "counts": pa.array([_pack(a) for a in answers], pa.binary()),
         })
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         table, words = ordered(left)
-        distinct, _, at, which = _grams(words, order)
-        parts = sorted(right.select(["part", "counts"]).to_pylist(), key=lambda row: row["part"])
-        count = np.concatenate([np.empty(0, np.uint64), *(_unpack(row["counts"]) for row in parts)]).astype(np.float64)
-        seen = [count[w] for w in which]
+        at, seen = _seen(words, order, right)
         score = np.log(seen[0] / max(total, 1))
         below = seen[0]
         for n in range(2, order + 1):
@@ -125,8 +169,12 @@ def scores(
             "doc_id": table["doc_id"], "n_words": pa.array(words.counts), "log_score": pa.array(sums, pa.float64()),
         })
 
-    sent = chunks.groupBy("_chunk").applyInArrow(send, "part long, chunk long, hashes binary, counts binary")
-    answers = sent.groupBy("part").applyInArrow(join, "chunk long, part long, counts binary")
+    grams = "part long, chunk long, level int, hashes binary, counts binary"
+    counted = "chunk long, level int, part long, counts binary"
+    answers = chunks.groupBy("_chunk").applyInArrow(send, grams).groupBy("part").applyInArrow(join, counted)
+    for n in range(PAIRS + 1, order + 1):
+        more = chunks.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(sender(n), grams)
+        answers = answers.unionByName(more.groupBy("part").applyInArrow(join, counted))
     return (
         chunks.groupBy("_chunk")
         .cogroup(answers.groupBy("chunk"))

@@ -160,6 +160,33 @@ SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(sum(s), 0
 FROM words LEFT JOIN scored USING (doc_id) GROUP BY ALL
 """
 
+# Every count is used and every document counted, so that no order is given up.
+OP8_TRIGRAMS = rf"""
+WITH {WORDS},
+places AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words),
+triples AS (
+    SELECT *, lag(word) OVER in_order AS b, lag(word, 2) OVER in_order AS a
+    FROM places WINDOW in_order AS (PARTITION BY doc_id ORDER BY i)
+),
+ones AS (SELECT word, count(*) AS n FROM places GROUP BY word),
+twos AS (SELECT b, word, count(*) AS n FROM triples WHERE b IS NOT NULL GROUP BY ALL),
+threes AS (SELECT a, b, word, count(*) AS n FROM triples WHERE a IS NOT NULL GROUP BY ALL),
+total AS (SELECT count(*) AS n FROM places),
+scored AS (
+    SELECT doc_id, CASE
+        WHEN t.a IS NOT NULL THEN ln(threes.n / pair_before.n)
+        WHEN t.b IS NOT NULL THEN ln(twos.n / word_before.n)
+        ELSE ln(ones.n / total.n) END AS s
+    FROM triples t JOIN ones USING (word) CROSS JOIN total
+    LEFT JOIN ones AS word_before ON word_before.word = t.b
+    LEFT JOIN twos ON twos.b = t.b AND twos.word = t.word
+    LEFT JOIN twos AS pair_before ON pair_before.b = t.a AND pair_before.word = t.b
+    LEFT JOIN threes ON threes.a = t.a AND threes.b = t.b AND threes.word = t.word
+)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(sum(s), 0.0), 6) AS log_score
+FROM words LEFT JOIN scored USING (doc_id) GROUP BY ALL
+"""
+
 NORMAL = r"""list_filter(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'
 ), lambda x: x <> '')"""
@@ -197,6 +224,7 @@ ORACLE: dict[str, str] = {
     "op1_lookup_sharding": OP1,
     "op2_language_divergence": OP2,
     "op5_super_kmer_dedup": OP5,
+    "op8_trigram_backoff": OP8_TRIGRAMS,
     "op8_stupid_backoff": OP8,
     "op9_suffix_automaton": OP9,
 }

@@ -82,8 +82,14 @@ def op7_warc_derivatives(spark: SparkSession, path: str) -> DataFrame:
     return warc.derived_records(responses, keep=("page_id",))
 
 
+def op8_trigram_backoff(spark: SparkSession, path: str) -> DataFrame:
+    """The score of every document, from every count of the n-grams up to three words of all of them."""
+    scores = lm_scoring.scores(texts(spark, path), order=3, min_count=1)
+    return scores.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"))
+
+
 def op8_stupid_backoff(spark: SparkSession, path: str) -> DataFrame:
-    """The score of every document, from the n-gram counts of all of them."""
+    """The score of every document, from the counts of words and of pairs seen twice or more."""
     scores = lm_scoring.scores(texts(spark, path))
     return scores.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"))
 
@@ -113,6 +119,6 @@ QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_lookup_sharding, op2_language_divergence, op3_subword_toxicity, op4_block_tree_extraction, op5_super_kmer_dedup,
-        op6_pigeonring_simhash, op7_warc_derivatives, op8_stupid_backoff, op9_suffix_automaton, op10_chunk_table_pieces,
+        op6_pigeonring_simhash, op7_warc_derivatives, op8_trigram_backoff, op8_stupid_backoff, op9_suffix_automaton, op10_chunk_table_pieces,
     )
 }

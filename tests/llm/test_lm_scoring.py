@@ -6,6 +6,7 @@ import pytest
 
 from palletwatch.llm import lm_scoring
 from palletwatch.llm.lm_scoring import scores
+from palletwatch.llm.queries import QUERIES
 from tests.llm import brute, odd
 
 
@@ -34,3 +35,11 @@ def test_empty_tables(spark):
     assert scores(odd.empty(spark)).count() == 0
     one = scores(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()
     assert (one["n_words"], one["log_score"]) == (0, 0.0)
+
+
+def test_registered_query_uses_every_count_of_three_words(spark, tmp_path):
+    texts = ["a b c d", "a b c e", "x b c d", "a b q", "once only here"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    query = next(query for name, query in QUERIES.items() if name.startswith("op8_"))
+    got = [r["log_score"] for r in query(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == pytest.approx(brute.backoff(texts, 3, 0.4, 1), abs=1e-6)
