@@ -7,14 +7,17 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
-# Elements whose content is never text of the page; an unclosed one takes the rest.
-UNSEEN = "script style noscript template svg math iframe object canvas audio video textarea select datalist button".split()
+# Elements whose content is never text of the page. Raw ones hold no tags, and an unclosed one takes the rest.
+RAW = "script style noscript iframe textarea".split()
+UNSEEN = set("template svg math object canvas audio video select datalist button".split())
+NESTING = {"template", "svg", "math", "object"}  # others end where the next of their name begins
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 
 TOKEN = re.compile(
     r"(<(?:"
-    r"/?(?!(?:" + "|".join(UNSEEN) + r")\b)[a-z](?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*>"
+    r"/?(?!(?:" + "|".join(RAW) + r")(?![^\s/>]))[a-z](?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*>"
     r"|!--.*?(?:--!?>|\Z)"
-    r"|(" + "|".join(UNSEEN) + r")\b[^<>]*>.*?(?:</\2\b[^<>]*(?:>|\Z)|\Z)"
+    r"|(" + "|".join(RAW) + r")(?![^\s/>])[^<>]*>.*?(?:</\2\b[^<>]*(?:>|\Z)|\Z)"
     r"|/?[a-z][^<>]*>"
     r"|[!?/][^<>]*>))",
     re.I | re.S,
@@ -47,6 +50,10 @@ ASIDE_WORDS = set(
 HEADER_WORDS = {"header", "siteheader", "pageheader"}  # as the element of that name
 MAIN_WORDS = set("article articlebody main maincontent content entry post story".split())
 WORD = re.compile(r"[a-z0-9]+")
+# Where an unclosed unseen element ends at the latest.
+PARTING = FOLLOWED - {"span", "head"} | HEADINGS | set("p pre hr body html tr td th dl dt dd tbody thead tfoot caption figcaption summary".split())
+FULL_NAME = re.compile(r"<(/?)([a-z][^\s/>]*)", re.I)
+HAS_UNSEEN = re.compile(r"<(?:" + "|".join(sorted(UNSEEN)) + r")(?![^\s/>])", re.I)
 
 
 @dataclass
@@ -73,6 +80,67 @@ def _sort(name: str, tag: str, inside_main: bool) -> tuple[bool, bool]:
     return aside, not aside and (name in MAIN_TAGS or bool(words & MAIN_WORDS))
 
 
+def _unseen(tags: list[str]) -> tuple[set[int], set[int]]:
+    """Which tags are part of unseen elements, and before which tags the text is.
+
+    An element ends at its end tag. One that has none before an enclosing element ends, or before the
+    next of its name begins, ends at the next block or there, whichever is first.
+    """
+    open_: list[tuple[str, int, int]] = []  # name, its tag, and the first block after it
+    number: dict[str, int] = {}
+    waiting: list[int] = []  # places in open_ of unseen elements without a block after them
+    hidden: set[int] = set()
+    before: set[int] = set()
+    until = -1  # all up to this tag is hidden
+
+    def hide(first: int, last: int, closed: bool) -> None:
+        nonlocal until
+        hidden.update(range(max(first, until), last + closed))
+        before.update(range(max(first, until) + 1, last + 1))
+        until = max(until, last)
+
+    def pop(to: int, at: int, closed: bool) -> None:
+        ends = []
+        while len(open_) > to:
+            name, start, block = open_.pop()
+            number[name] -= 1
+            if name in UNSEEN:
+                ends.append((start, at if closed and len(open_) == to else min(block, at), closed and len(open_) == to))
+        for start, end, whole in reversed(ends):  # the outer one first
+            if end > until or start > until:
+                hide(start, end, whole)
+        while waiting and waiting[-1] >= to:
+            waiting.pop()
+
+    for i, tag in enumerate(tags):
+        match = FULL_NAME.match(tag)
+        if not match:
+            continue
+        name = match[2].lower()
+        if match[1]:
+            if number.get(name):
+                to = next(k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name)
+                pop(to, i, True)
+            continue
+        if name in PARTING:
+            for k in waiting:
+                open_[k] = (*open_[k][:2], i)
+            waiting.clear()
+        if name in VOID:
+            continue
+        if name in UNSEEN:
+            if name in ("svg", "math") and tag.endswith("/>"):
+                hidden.add(i)
+                continue
+            if name not in NESTING and number.get(name):
+                pop(next(k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name), i, False)
+            waiting.append(len(open_))
+        open_.append((name, i, len(tags)))
+        number[name] = number.get(name, 0) + 1
+    pop(0, len(tags), False)
+    return hidden, before
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order: references decoded, white space made one space, ends trimmed."""
     found: list[Block] = []
@@ -91,10 +159,11 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
 
     pieces = TOKEN.split(page)
-    for text, tag, unseen in zip(pieces[::3], [*pieces[1::3], ""], [*pieces[2::3], ""], strict=True):
-        if text:
+    hidden, before = _unseen(pieces[1::3]) if HAS_UNSEEN.search(page) else (set(), set())
+    for i, (text, tag, unseen) in enumerate(zip(pieces[::3], [*pieces[1::3], ""], [*pieces[2::3], ""], strict=True)):
+        if text and i not in before:
             parts.append((text, links))
-        match = None if unseen else NAME.match(tag)
+        match = None if unseen or i in hidden else NAME.match(tag)
         if not match:
             continue
         name = match[1].lower()

@@ -93,3 +93,17 @@ def test_odd_pages(spark):
     got = extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r["text"] != "") for r in got) == [False, False, False, True]
     assert extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("tag", [
+    '<svg class="i"/>', "<math/>", "<svg/><svg><path d=x><title>no</title></svg>", "<button>ok", "<object data=x>no", "<canvas>no", "<video src=x>no",
+    "<audio>no", "<select><option>no", "<datalist><option>no", "<button>ok<button>no</button>", "<object><p>no</p></object>",
+    "<svg><g><svg></svg><text>no</text></g></svg>", "<template><button><p>no</p></template>", "<video-player></video-player>",
+])
+def test_unclosed_elements_leave_what_follows(tag):
+    assert main_text(f"<article><p>one two</p>{tag}<p>three four</p></article>") == "one two\nthree four"
+    assert main_text(f"<article><p>one two</p><div>{tag}</div>three four</article><button>x</button>") == "one two\nthree four"
+
+
+def test_raw_elements_take_the_rest():
+    assert main_text("<article><p>one two</p><textarea><p>three four</p></article>") == "one two"
