@@ -23,7 +23,7 @@ TOKEN = re.compile(
     re.I | re.S,
 )
 NAME = re.compile(r"</?\s*([a-z][a-z0-9]*)", re.I)
-HINTS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+HINTS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 HIDDEN = re.compile(r"\s(?:hidden(?=[\s/>=])|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 
 INLINE = set(
@@ -49,6 +49,8 @@ ASIDE_WORDS = set(
 )
 HEADER_WORDS = {"header", "siteheader", "pageheader"}  # as the element of that name
 MAIN_WORDS = set("article articlebody main maincontent content entry post story".split())
+# Beside one of the words above, these name a layout around it: has-sidebar, content-sidebar-wrap.
+LAYOUT_WORDS = set("has with no wrap layout content".split())
 WORD = re.compile(r"[a-z0-9]+")
 # Where an unclosed unseen element ends at the latest.
 PARTING = FOLLOWED - {"span", "head"} | HEADINGS | set("p pre hr body html tr td th dl dt dd tbody thead tfoot caption figcaption summary".split())
@@ -67,17 +69,34 @@ class Block:
 
 
 @lru_cache(4096)
-def _sort(name: str, tag: str, inside_main: bool) -> tuple[bool, bool]:
-    """Whether an element begins something beside an article, or an article."""
+def _sort(name: str, tag: str, inside_main: bool) -> tuple[bool, bool, bool]:
+    """Whether an element begins something beside an article, for more than its class or id, or begins an article."""
     words: set[str] = set()
+    roles: set[str] = set()
     if "=" in tag:
-        for match in HINTS.findall(tag):
-            words.update(WORD.findall("".join(match).lower()))
+        for kind, *values in HINTS.findall(tag):
+            for value in "".join(values).lower().split():
+                found = set(WORD.findall(value))
+                if kind.lower() == "role":
+                    roles |= found
+                elif not (found & LAYOUT_WORDS and found & (ASIDE_WORDS | HEADER_WORDS)):
+                    words |= found
+    inner = name in MAIN_TAGS
+    firm = (
+        name in ASIDE_TAGS or not inside_main and name == "header" or bool(roles & ASIDE_WORDS) and not inner
+        or bool(HIDDEN.search(tag))
+    )
     aside = (
-        name in ASIDE_TAGS or not inside_main and (name == "header" or bool(words & HEADER_WORDS) and name not in MAIN_TAGS)
-        or bool(words & ASIDE_WORDS) and name not in MAIN_TAGS or bool(HIDDEN.search(tag))
+        firm or not inside_main and bool((words | roles) & HEADER_WORDS) and not inner
+        or bool(words & ASIDE_WORDS) and not inner
     )
-    return aside, not aside and (name in MAIN_TAGS or bool(words & MAIN_WORDS))
+    return aside, firm, not aside and (inner or bool((words | roles) & MAIN_WORDS))
+
+
+@lru_cache(4096)
+def _is_named_aside(tag: str) -> bool:
+    """Whether an article's own class, id or role names it as something beside the article of the page."""
+    return _sort("div", tag, True)[0]
 
 
 def _unseen(tags: list[str]) -> tuple[set[int], set[int]]:
@@ -145,8 +164,8 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order: references decoded, white space made one space, ends trimmed."""
     found: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    open_: list[tuple[str, bool, bool]] = []  # followed elements: name, and what was in force before
-    aside = main = heading = False
+    open_: list[tuple[str, bool, bool, bool]] = []  # followed elements: name, and what was in force before
+    aside = firm = main = heading = False  # firm: an aside for more than a class or id
     alone = False  # the block that is open is an aside by itself
     links = False
 
@@ -181,26 +200,30 @@ def blocks(page: str) -> list[Block]:
             heading = not closing and name in HEADINGS
             alone = not closing and name not in FOLLOWED and "=" in tag and _sort(name, tag, main)[0]
             if name == "body":
-                open_, aside, main = [], False, False
+                open_, aside, firm, main = [], False, False, False
         if name not in FOLLOWED:
             continue
         if closing:
             for depth in range(len(open_) - 1, -1, -1):
                 if open_[depth][0] == name:
-                    if name == "span" and (aside, main) != open_[depth][1:] and parts:
+                    if name == "span" and (aside, firm, main) != open_[depth][1:] and parts:
                         flush()
-                    aside, main = open_[depth][1:]
+                    aside, firm, main = open_[depth][1:]
                     del open_[depth:]
                     break
         else:
             if name == "li" and open_ and open_[-1][0] == "li":  # the one before was left open
-                _, aside, main = open_.pop()
-            to_aside, to_main = _sort(name, tag, main)
-            open_.append((name, aside, main))
+                _, aside, firm, main = open_.pop()
+            to_aside, to_firm, to_main = _sort(name, tag, main)
+            open_.append((name, aside, firm, main))
             if to_aside and not aside:
                 if name == "span" and parts:
                     flush()
-                aside = True
+                aside, firm = True, to_firm
+            elif to_firm:
+                firm = True
+            elif aside and not firm and not main and name in MAIN_TAGS and not _is_named_aside(tag):
+                aside, main = False, True
             elif to_main and name != "span":
                 main = True
     if parts:

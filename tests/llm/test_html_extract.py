@@ -107,3 +107,20 @@ def test_unclosed_elements_leave_what_follows(tag):
 
 def test_raw_elements_take_the_rest():
     assert main_text("<article><p>one two</p><textarea><p>three four</p></article>") == "one two"
+
+
+@pytest.mark.parametrize("names", [
+    "class=content-sidebar-wrap", "class=has-sidebar", "id=no-sidebar", "class='site-with-ads wide'", "class='post has-comments'",
+])
+def test_layouts_named_after_an_aside(names):
+    long = " ".join(["word"] * 60)
+    assert main_text(f"<div {names}><p>{long}</p><p>{long}</p></div>") == f"{long}\n{long}"
+    assert main_text(f"<div {names}><article><p>one two</p></article></div>") == "one two"
+
+
+def test_article_inside_what_only_a_class_names():
+    page = '<div class="widget"><main><p>one two</p></main><p>Some words beside it, as many as there are in a paragraph.</p></div>'
+    assert main_text(page) == "one two"
+    assert main_text('<div class=comments><article class="comment-body"><p>one two</p></article></div>') == ""
+    assert main_text("<aside class=widget><article><p>one two</p></article></aside>") == ""
+    assert main_text("<div class=widget><nav><article><p>one two</p></article></nav></div>") == ""
