@@ -5,11 +5,13 @@ several languages, the last bin being all other words. The sum over all document
 pass the fixed limits is that language's reference. A document whose Jensen-Shannon
 distance to its reference is too large is not kept. Documents too short for a
 distance to say anything, and languages without enough text, are not judged by it.
+A language can be given a fixed reference instead, which the judged documents cannot move.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -121,27 +123,39 @@ def _shares(column: str, bins: int, total: Column) -> Column:
     return F.array(*(F.sum(F.col(column)[i]) / F.sum(total) for i in range(bins)))
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def _fixed(column: str, fixed: Mapping[str, Sequence[int]]) -> Column:
+    """The shares of the fixed reference of ``lang``, or of the column for a language without one."""
+    shares = ((lang, F.lit([n / sum(counts) for n in counts])) for lang, counts in fixed.items())
+    return reduce(lambda rest, one: F.when(F.col("lang") == one[0], one[1]).otherwise(rest), shares, F.col(column))
+
+
+def judged(docs: DataFrame, references: Mapping[str, tuple[Sequence[int], Sequence[int]]] | None = None) -> DataFrame:
     """``docs`` without its text, with the counts, ``base_failed``, the two distances and ``kept``.
 
     Words are runs of anything but white space in ASCII. ``n_repeat_words`` are the words in 8-word windows found twice
     or more in the text. ``base_failed``: fewer than 20 words, or over 30 in 100 repeated. A null text has no words
     and fails. Languages are compared as they are written in ``lang``; a null one is a language of its own.
-    Distances are null where they are not judged. Rows that repeat are judged alike, each for itself. The table of
+    ``references`` has fixed counts by language, of characters and of words; languages that it lacks are compared with
+    the sum of their documents. Distances are null where they are not judged. Rows that repeat are judged alike, each for itself. The table of
     counts is checkpointed, so that texts are read once.
     """
     shared_dir(docs.sparkSession)
+    references = references or {}
     counted = with_columns(docs, FIELDS, lambda: measured, drop=("text",)).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     ).checkpoint()
     chars, words = F.col("word_chars") + F.col("char_counts")[3], F.col("n_words")
-    references = (
-        counted.filter(~F.col("base_failed")).groupBy(F.col("lang").alias("ref_lang"))
+    moving = ~F.coalesce(F.col("lang").isin(list(references)), F.lit(False))
+    sums = (
+        counted.filter(~F.col("base_failed") & moving).groupBy(F.col("lang").alias("ref_lang"))
         .agg(F.sum(words).alias("ref_words"), _shares("char_counts", CLASSES, chars).alias("ref_chars"),
              _shares("word_counts", len(WORDS) + 1, words).alias("ref_common"))
         .filter(F.col("ref_words") >= REFERENCE_WORDS)
     )
-    found = counted.join(references, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").withColumns({
+    found = counted.join(sums, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").withColumns({
+        "ref_chars": _fixed("ref_chars", {lang: counts for lang, (counts, _) in references.items()}),
+        "ref_common": _fixed("ref_common", {lang: counts for lang, (_, counts) in references.items()}),
+    }).withColumns({
         "char_distance": F.when(chars >= JUDGED_CHARS, distance(F.col("char_counts"), chars, F.col("ref_chars"))),
         "word_distance": F.when(words >= JUDGED_WORDS, distance(F.col("word_counts"), words, F.col("ref_common"))),
     })

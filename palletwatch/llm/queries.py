@@ -20,6 +20,7 @@ from palletwatch.llm import (
     toxicity,
     warc,
 )
+from palletwatch.llm.quality_references import REFERENCES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,8 +42,16 @@ def op1_lookup_sharding(spark: SparkSession, path: str) -> DataFrame:
     return sharding.sharded(table(spark, path, "documents").select("doc_id"), F.col("doc_id"), SHARDS)
 
 
+def op2_fixed_divergence(spark: SparkSession, path: str) -> DataFrame:
+    """Counts, limits and the verdict of the distances to fixed references for every document."""
+    docs = table(spark, path, "documents").select("doc_id", "lang", "text")
+    return quality.judged(docs, REFERENCES).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op2_language_divergence(spark: SparkSession, path: str) -> DataFrame:
-    """Counts, limits and the verdict of the distances for every document."""
+    """Counts, limits and the verdict of the distances to what the documents of a language sum up to."""
     judged = quality.judged(table(spark, path, "documents").select("doc_id", "lang", "text"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -118,7 +127,7 @@ def op10_chunk_table_pieces(spark: SparkSession, path: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
-        op1_lookup_sharding, op2_language_divergence, op3_subword_toxicity, op4_block_tree_extraction, op5_super_kmer_dedup,
-        op6_pigeonring_simhash, op7_warc_derivatives, op8_trigram_backoff, op8_stupid_backoff, op9_suffix_automaton, op10_chunk_table_pieces,
+        op1_lookup_sharding, op2_fixed_divergence, op2_language_divergence, op3_subword_toxicity, op4_block_tree_extraction,
+        op5_super_kmer_dedup, op6_pigeonring_simhash, op7_warc_derivatives, op8_trigram_backoff, op8_stupid_backoff, op9_suffix_automaton, op10_chunk_table_pieces,
     )
 }

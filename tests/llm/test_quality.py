@@ -3,6 +3,8 @@ from __future__ import annotations
 from collections import Counter
 
 from palletwatch.llm.quality import CLASSES, SENTENCE, SYMBOLS, WORDS, judged, measured
+from palletwatch.llm.quality_references import REFERENCES
+from palletwatch.llm.queries import QUERIES
 from tests.llm import brute, odd
 
 
@@ -49,3 +51,20 @@ def test_odd_documents_and_empty_table(spark):
     assert got.count() == len(odd.TEXTS) + 3 and got.filter("kept is null").count() == 0
     assert "text" not in got.columns and "lang" in got.columns
     assert judged(spark.createDataFrame([], "doc_id long, lang string, text string")).count() == 0
+
+
+def test_copies_and_small_tables_do_not_move_the_registered_verdict(spark, tmp_path):
+    junk = " ".join(f"zork{j} #{j * 37 % 1009}" for j in range(200))
+    query = next(query for name, query in QUERIES.items() if name.startswith("op2_"))
+    for n in (1, 300):
+        rows = [(i, "en", junk) for i in range(n)]
+        spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        assert {(r["base_failed"], r["kept"]) for r in query(spark, f"{tmp_path}/{n}").collect()} == {(False, False)}
+
+
+def test_language_without_a_fixed_reference_is_compared_with_its_documents(spark):
+    rows = [(i, lang, " ".join(f"w{i * j % 89}" for j in range(1, 200))) for i in range(1, 40) for lang in ("xx", None)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    key = lambda r: (r["doc_id"], r["lang"] or "")
+    assert sorted(judged(df, REFERENCES).collect(), key=key) == sorted(judged(df).collect(), key=key)
+    assert judged(df, REFERENCES).filter("word_distance is null and n_words >= 100").count() == 0
