@@ -172,7 +172,8 @@ distances AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND NOT (length(text) >= 400 AND coalesce(char_distance, 0) > 0.31)
-        AND NOT (n_words >= 100 AND coalesce(word_distance, 0) > 0.335) AS kept
+        AND NOT coalesce(word_distance, 0) > CASE
+            WHEN n_words >= 200 THEN 0.25 WHEN n_words >= 100 THEN 0.30 WHEN n_words >= 50 THEN 0.36 WHEN n_words >= 20 THEN 0.40 ELSE 1 END AS kept
 FROM failing LEFT JOIN distances USING (doc_id)
 """
 

@@ -30,6 +30,8 @@ JUDGED_CHARS = 400
 REFERENCE_WORDS = 2000  # words a language must have to be a reference
 MAX_CHAR_DISTANCE = 0.31
 MAX_WORD_DISTANCE = 0.335
+# Limits of the word distance from so many words on: the fewer words, the further their shares are from any reference.
+WORD_LIMITS = ((200, 0.25), (100, 0.30), (50, 0.36), (20, 0.40))
 
 # Character classes: ASCII small and capital letters, digits, white space,
 # marks of a sentence, other ASCII, all beyond ASCII.
@@ -129,14 +131,17 @@ def _fixed(column: str, fixed: Mapping[str, Sequence[int]]) -> Column:
     return reduce(lambda rest, one: F.when(F.col("lang") == one[0], one[1]).otherwise(rest), shares, F.col(column))
 
 
-def judged(docs: DataFrame, references: Mapping[str, tuple[Sequence[int], Sequence[int]]] | None = None) -> DataFrame:
+def judged(
+    docs: DataFrame, references: Mapping[str, tuple[Sequence[int], Sequence[int]]] | None = None,
+    word_limits: Sequence[tuple[int, float]] = ((JUDGED_WORDS, MAX_WORD_DISTANCE),),
+) -> DataFrame:
     """``docs`` without its text, with the counts, ``base_failed``, the two distances and ``kept``.
 
     Words are runs of anything but white space in ASCII. ``n_repeat_words`` are the words in 8-word windows found twice
     or more in the text. ``base_failed``: fewer than 20 words, or over 30 in 100 repeated. A null text has no words
     and fails. Languages are compared as they are written in ``lang``; a null one is a language of its own.
     ``references`` has fixed counts by language, of characters and of words; languages that it lacks are compared with
-    the sum of their documents. Distances are null where they are not judged. Rows that repeat are judged alike, each for itself. The table of
+    the sum of their documents. ``word_limits`` has numbers of words and the largest word distance from there on. Distances are null where they are not judged. Rows that repeat are judged alike, each for itself. The table of
     counts is checkpointed, so that texts are read once.
     """
     shared_dir(docs.sparkSession)
@@ -157,10 +162,11 @@ def judged(docs: DataFrame, references: Mapping[str, tuple[Sequence[int], Sequen
         "ref_common": _fixed("ref_common", {lang: counts for lang, (_, counts) in references.items()}),
     }).withColumns({
         "char_distance": F.when(chars >= JUDGED_CHARS, distance(F.col("char_counts"), chars, F.col("ref_chars"))),
-        "word_distance": F.when(words >= JUDGED_WORDS, distance(F.col("word_counts"), words, F.col("ref_common"))),
+        "word_distance": F.when(words >= min(word_limits)[0], distance(F.col("word_counts"), words, F.col("ref_common"))),
     })
+    limit = reduce(lambda rest, one: F.when(words >= one[0], F.lit(one[1])).otherwise(rest), sorted(word_limits), F.lit(1.0))
     strange = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (
-        F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE
+        F.coalesce("word_distance", F.lit(0.0)) > limit
     )
     return found.withColumn("kept", ~F.col("base_failed") & ~strange).drop(
         "char_counts", "word_counts", "ref_lang", "ref_words", "ref_chars", "ref_common"

@@ -45,7 +45,7 @@ def op1_lookup_sharding(spark: SparkSession, path: str) -> DataFrame:
 def op2_fixed_divergence(spark: SparkSession, path: str) -> DataFrame:
     """Counts, limits and the verdict of the distances to fixed references for every document."""
     docs = table(spark, path, "documents").select("doc_id", "lang", "text")
-    return quality.judged(docs, REFERENCES).select(
+    return quality.judged(docs, REFERENCES, quality.WORD_LIMITS).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 

@@ -68,3 +68,14 @@ def test_language_without_a_fixed_reference_is_compared_with_its_documents(spark
     key = lambda r: (r["doc_id"], r["lang"] or "")
     assert sorted(judged(df, REFERENCES).collect(), key=key) == sorted(judged(df).collect(), key=key)
     assert judged(df, REFERENCES).filter("word_distance is null and n_words >= 100").count() == 0
+
+
+def test_registered_verdict_against_labels_not_fitted(spark):
+    path = "/root/testdata/sf0.1"
+    query = next(query for name, query in QUERIES.items() if name.startswith("op2_"))
+    labels = spark.read.parquet(f"{path}/labels.parquet").filter("doc_id % 2 = 1")
+    rows = query(spark, path).join(labels, "doc_id").filter("not base_failed").collect()
+    kept = lambda quality, least, most: [r["kept"] for r in rows if r["quality"] == quality and least <= r["n_words"] < most]
+    assert not any(kept(0, 200, 10**9)) and sum(kept(0, 100, 200)) <= 2 and sum(kept(0, 20, 100)) <= 10
+    good = kept(1, 20, 10**9)
+    assert len(good) > 1600 and sum(good) >= 0.998 * len(good)
