@@ -17,6 +17,7 @@ from palletwatch.llm import (
     sharding,
     simhash,
     substring_dedup,
+    tokenizer_alignment,
     toxicity,
     warc,
 )
@@ -26,6 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 PIECES = "piece_bpe_32k.model"
+BYTES = "byte_bpe_50k.json"
 CRAWL_DATE = "2024-01-01T00:00:00Z"
 
 
@@ -124,10 +126,19 @@ def op10_chunk_table_pieces(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def op11_pointer_jumping(spark: SparkSession, path: str) -> DataFrame:
+    """How the tokens of two tokenizers line up in every document."""
+    found = tokenizer_alignment.aligned(
+        texts(spark, path), public_tokenizers.path(BYTES), public_tokenizers.path(PIECES), drop=("text",)
+    )
+    return found.select("doc_id", *tokenizer_alignment.FIGURES, "groups_sha256")
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_lookup_sharding, op2_fixed_divergence, op2_language_divergence, op3_subword_toxicity, op4_block_tree_extraction,
         op5_super_kmer_dedup, op6_pigeonring_simhash, op7_warc_derivatives, op8_trigram_backoff, op8_stupid_backoff, op9_suffix_automaton, op10_chunk_table_pieces,
+        op11_pointer_jumping,
     )
 }
