@@ -256,6 +256,33 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIG
 FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+# Equal sets are one class; classes are linked by counting the shingles that each two of them share.
+OP12 = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'
+    ), lambda x: x <> '') AS w
+    FROM documents
+),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) < 2 THEN w
+        ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s
+    FROM words
+),
+classes AS (SELECT s, min(doc_id) AS id, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+members AS (SELECT id, n, unnest(s) AS x FROM classes),
+links AS (
+    SELECT a.id AS a, b.id AS b FROM members a JOIN members b ON a.x = b.x AND a.id < b.id
+    GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT id AS a, id AS b FROM classes UNION SELECT reached.a, ways.b FROM reached JOIN ways ON reached.b = ways.a),
+components AS (SELECT a AS id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+    doc_id = coalesce(component_id, doc_id) AS kept
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN components USING (id)
+"""
+
 # Scores of a trained model, trees, fingerprints, records and token ids are beyond SQL; tests check them by brute force.
 ORACLE: dict[str, str] = {
     "op1_lookup_sharding": OP1,
@@ -265,4 +292,5 @@ ORACLE: dict[str, str] = {
     "op8_trigram_backoff": OP8_TRIGRAMS,
     "op8_stupid_backoff": OP8,
     "op9_suffix_automaton": OP9,
+    "op12_tensored_minhash": OP12,
 }

@@ -12,6 +12,7 @@ from palletwatch.llm import (
     decontaminate,
     html_extract,
     lm_scoring,
+    minhash_tables,
     quality,
     sentencepiece_ids,
     sharding,
@@ -134,11 +135,16 @@ def op11_pointer_jumping(spark: SparkSession, path: str) -> DataFrame:
     return found.select("doc_id", *tokenizer_alignment.FIGURES, "groups_sha256")
 
 
+def op12_tensored_minhash(spark: SparkSession, path: str) -> DataFrame:
+    """Set size and component of every document."""
+    return minhash_tables.near_duplicates(texts(spark, path))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_lookup_sharding, op2_fixed_divergence, op2_language_divergence, op3_subword_toxicity, op4_block_tree_extraction,
         op5_super_kmer_dedup, op6_pigeonring_simhash, op7_warc_derivatives, op8_trigram_backoff, op8_stupid_backoff, op9_suffix_automaton, op10_chunk_table_pieces,
-        op11_pointer_jumping,
+        op11_pointer_jumping, op12_tensored_minhash,
     )
 }
