@@ -283,6 +283,29 @@ SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component_id,
 FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN components USING (id)
 """
 
+OP13 = f"""
+WITH terms AS (SELECT doc_id, {NORMAL} AS w FROM documents),
+total AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM terms),
+counted AS (
+    SELECT doc_id, term, count(*)::BIGINT AS tf, any_value(n)::BIGINT AS n
+    FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM terms) GROUP BY doc_id, term
+),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(total.n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM counted, total GROUP BY term
+),
+asked AS (
+    SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest({NORMAL}) AS term FROM benchmark) GROUP BY ALL
+),
+scored AS (
+    SELECT item_id, doc_id,
+        sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * counted.n * total.n) // total.l))))::BIGINT AS score
+    FROM asked JOIN counted USING (term) JOIN weights USING (term), total GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
 # Scores of a trained model, trees, fingerprints, records and token ids are beyond SQL; tests check them by brute force.
 ORACLE: dict[str, str] = {
     "op1_lookup_sharding": OP1,
@@ -293,4 +316,5 @@ ORACLE: dict[str, str] = {
     "op8_stupid_backoff": OP8,
     "op9_suffix_automaton": OP9,
     "op12_tensored_minhash": OP12,
+    "op13_block_max_maxscore": OP13,
 }

@@ -14,6 +14,7 @@ from palletwatch.llm import (
     lm_scoring,
     minhash_tables,
     quality,
+    ranked_search,
     sentencepiece_ids,
     sharding,
     simhash,
@@ -140,11 +141,16 @@ def op12_tensored_minhash(spark: SparkSession, path: str) -> DataFrame:
     return minhash_tables.near_duplicates(texts(spark, path))
 
 
+def op13_block_max_maxscore(spark: SparkSession, path: str) -> DataFrame:
+    """The twenty best documents for every test item."""
+    return ranked_search.ranked(texts(spark, path), table(spark, path, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_lookup_sharding, op2_fixed_divergence, op2_language_divergence, op3_subword_toxicity, op4_block_tree_extraction,
         op5_super_kmer_dedup, op6_pigeonring_simhash, op7_warc_derivatives, op8_trigram_backoff, op8_stupid_backoff, op9_suffix_automaton, op10_chunk_table_pieces,
-        op11_pointer_jumping, op12_tensored_minhash,
+        op11_pointer_jumping, op12_tensored_minhash, op13_block_max_maxscore,
     )
 }

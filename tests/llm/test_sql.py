@@ -20,7 +20,7 @@ def test_query_equals_sql(spark, name, sf):
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 13)} == {name.partition("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.partition("_")[0] for name in QUERIES}
     assert {*QUERIES, "pipeline"} <= set(entry_point.queries())
     assert set(ORACLE) <= set(entry_point.oracle_sql())
     assert [name for name, _ in corpus_pipeline.STAGES] == [
