@@ -5,7 +5,7 @@ it and reaches farthest to the right; a token that ends where that one ends is i
 pointers (each to where its target points) takes every token to the last one of its group, which labels it.
 
 A text is cut where white space begins with a space; neither tokenizer has a token across such a place. Each distinct
-chunk is encoded and aligned once in a task, and its figures are joined back by position. How often an id pair is linked
+chunk is encoded and aligned once in a task, new ones together as one text, and its figures are joined back by position. How often an id pair is linked
 is counted in a first pass over the texts and used in a second one. One id's bytes end with the other's in every linked
 pair, so there are never more of them than ``most_pairs``, however many texts there are.
 """
@@ -21,6 +21,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -33,6 +34,9 @@ TABLE_ENTRIES = 120_000  # distinct chunks a task keeps; a full table is begun a
 FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 ADDED = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
+#: Fixed value: how byte-level vocabularies of this kind cut texts before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 #: A space, white space, what follows up to the next white space, and so on while that does not begin with a space.
 CHUNK = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
 
@@ -57,6 +61,21 @@ def byte_level_tokens(definition: str) -> list[bytes]:
     return out
 
 
+def in_merge_order(definition: str, tokens: Sequence[bytes]) -> bool:
+    """Whether ids are in the order of the merges behind those of single bytes, so that they serve as ranks."""
+    whole = json.loads(definition)
+    cut, model = whole["pre_tokenizer"], whole["model"]
+    plain = (
+        whole["normalizer"] is None and cut == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": cut.get("trim_offsets"), "use_regex": True}
+        and not any(model.get(name) for name in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    )
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    vocabulary = model["vocab"]
+    return plain and sorted(tokens[:256]) == [bytes([b]) for b in range(256)] and all(
+        vocabulary["".join(merge)] == 256 + i for i, merge in enumerate(merges)
+    )
+
+
 def piece_tokens(processor: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     """The bytes of each piece; none for control and unknown pieces."""
     out = []
@@ -116,6 +135,9 @@ class AlignmentTable:
         self.a_length = np.array([len(t) for t in self.a_bytes], np.int64)
         self.b_length = np.array([len(t) for t in self.b_bytes], np.int64)
         self.by_chunk = splits_at_marks(b_model)
+        ranks = {token: i for i, token in enumerate(self.a_bytes) if token}
+        self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if in_merge_order(a_definition, self.a_bytes) else None
+        self.marked = [f"{i}{mark}" for i in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in (",", "|", ";", "")]
         self.clear()
 
     def clear(self) -> None:
@@ -131,48 +153,68 @@ class AlignmentTable:
             return []
         return CHUNK.findall(" " + text) if self.by_chunk else [" " + text]
 
+    def _alone(self, chunk: str) -> tuple[list[int], list[int]]:
+        """Both sides of one chunk; nothing if either does not give its bytes."""
+        a = self.a.encode(chunk, add_special_tokens=False).ids
+        # the library gives nothing for an empty text, but the marker at the end of a longer one
+        b = [self.b.piece_to_id(MARK)] if chunk == " " and self.by_chunk else self.b.encode(chunk[1:])
+        data = chunk.encode()
+        same = b"".join([self.a_bytes[t] for t in a]) == data == b"".join([self.b_bytes[t] for t in b])
+        return (a, b) if same else ([], [])
+
+    def _together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Both sides of chunks that may stand in one text, and how many ids each has; None if a side does not give the bytes."""
+        text = "".join(chunks)
+        a = np.array(self.ranks.encode_ordinary(text), np.int64)
+        b = np.array(self.b.encode(text[1:], out_type=int), np.int64)
+        data = text.encode()
+        if not b"".join(map(self.a_bytes.__getitem__, a.tolist())) == data == b"".join(map(self.b_bytes.__getitem__, b.tolist())):
+            return None
+        ends = np.cumsum(np.fromiter((len(chunk.encode()) for chunk in chunks), np.int64, len(chunks)))
+        to = [np.searchsorted(np.cumsum(length[ids]), ends) + 1 for ids, length in ((a, self.a_length), (b, self.b_length))]
+        return a, np.diff(to[0], prepend=0), b, np.diff(to[1], prepend=0)
+
     def add(self, chunks: Sequence[str]) -> None:
         """Encodes and aligns the chunks that are new, each once."""
         new = list({chunk: None for chunk in chunks if chunk not in self.place})
         if not new:
             return
-        a_ids = [found.ids for found in self.a.encode_batch(new, add_special_tokens=False)]
-        b_ids = self.b.encode([chunk[1:] for chunk in new], out_type=int, num_threads=1)
-        whole = np.zeros(len(new), bool)
-        for i, chunk in enumerate(new):
-            if chunk == " ":  # the library gives nothing for an empty text, but the marker at the end of a longer one
-                b_ids[i] = [self.b.piece_to_id(MARK)]
-            data = chunk.encode()
-            whole[i] = b"".join([self.a_bytes[t] for t in a_ids[i]]) == data == b"".join([self.b_bytes[t] for t in b_ids[i]])
-            if not whole[i]:
-                a_ids[i], b_ids[i] = [], []
-        n_a = np.fromiter(map(len, a_ids), np.int64, len(new))
-        n_b = np.fromiter(map(len, b_ids), np.int64, len(new))
-        a = np.fromiter((t for ids in a_ids for t in ids), np.int64, int(n_a.sum()))
-        b = np.fromiter((t for ids in b_ids for t in ids), np.int64, int(n_b.sum()))
+        # one that ends with white space, or holds B's own marker, may not stand before others
+        plain = [chunk for chunk in new if not chunk[-1].isspace() and MARK not in chunk] if self.by_chunk and self.ranks else []
+        found = self._together(plain) if plain else None
+        if found is None:
+            plain, found = [], (np.empty(0, np.int64),) * 4
+        done = set(plain)
+        others = [chunk for chunk in new if chunk not in done]
+        apart = [self._alone(chunk) for chunk in others]
+        new = plain + others
+        sides = []
+        for side in (0, 1):
+            n = np.concatenate([found[2 * side + 1], np.fromiter((len(x[side]) for x in apart), np.int64, len(apart))])
+            ids = np.concatenate([found[2 * side], np.fromiter((t for x in apart for t in x[side]), np.int64)])
+            sides.append((ids, n))
+        self._align(new, *sides[0], *sides[1])
+
+    def _align(self, new: list[str], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> None:
         last = last_tokens(np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b]))
         of_a, of_b = last[: len(a)], last[len(a) :]
         ends_group = np.flatnonzero(of_a == np.arange(len(a)))  # the last token of A in each group
-        a_to = ends_group + 1
         b_to = np.searchsorted(of_b, ends_group, side="right")
-        groups = self._groups(a.tolist(), b.tolist(), a_to.tolist(), b_to.tolist())
         n_groups = np.diff(np.searchsorted(ends_group, np.concatenate([[0], np.cumsum(n_a)])))
-        stop = np.cumsum(n_groups)
-        self.groups += [";".join(groups[lo:hi]) for lo, hi in zip((stop - n_groups).tolist(), stop.tolist(), strict=True)]
+        # ids in order of their groups, those of A first, each with the mark behind it: , | ; or none at the end of a chunk
+        after_a, after_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        after_a[ends_group], after_b[b_to - 1] = 1, 2
+        after_b[(np.cumsum(n_b) - 1)[n_b > 0]] = 3
+        order = np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")
+        parts = list(map(self.marked.__getitem__, np.concatenate([4 * a + after_a, 4 * b + after_b])[order].tolist()))
+        stop = np.cumsum(n_a + n_b)
+        self.groups += ["".join(parts[lo:hi]) for lo, hi in zip((stop - n_a - n_b).tolist(), stop.tolist(), strict=True)]
         self.pairs = np.concatenate([self.pairs, a[ends_group] * len(self.b_bytes) + b[b_to - 1]])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + stop])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n_groups)])
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-        self.whole = np.concatenate([self.whole, whole])
+        self.whole = np.concatenate([self.whole, n_a > 0])
         self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, n_groups], 1)])
 
-    @staticmethod
-    def _groups(a: list[int], b: list[int], a_to: list[int], b_to: list[int]) -> list[str]:
-        out, i, j = [], 0, 0
-        for k, m in zip(a_to, b_to, strict=True):
-            out.append(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}")
-            i, j = k, m
-        return out
-
     def found(self, texts: Sequence[str]) -> tuple[list[np.ndarray], np.ndarray]:
         """The table's places of each text's chunks, and whether both sides give the text's bytes."""
         cut = [self.cut(text) for text in texts]

@@ -121,6 +121,17 @@ def same(texts):
             assert pairs == want[1]
 
 
+def test_new_chunks_together_are_as_each_by_itself(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).collect()]
+    assert TABLE.ranks
+    TABLE.clear()
+    places, _ = TABLE.found(texts)
+    have = {chunk: (TABLE.groups[i], TABLE.counts[i].tolist()) for chunk, i in TABLE.place.items()}
+    assert len(have) > 20_000
+    for (chunk, (found, counts)), ids in zip(have.items(), A.encode_batch(list(have), add_special_tokens=False), strict=True):
+        assert [int(i) for part in found.split(";") for i in part.split("|")[0].split(",")] == ids.ids and counts[0] == len(ids.ids), chunk
+
+
 def test_odd_texts():
     same(ODD + [t or "" for t in odd.TEXTS])
 
