@@ -30,6 +30,7 @@ PERCENT = 80  # of the union that the intersection must have
 SIDE = 16  # entries of a collection
 DEPTH = 3  # minhashes of an entry
 GROUP_BYTES = 4 << 20  # of sets that are compared in one place
+BROADCAST_IDS = 1 << 20  # documents up to which their ids are sent to all tasks, instead of all texts to their ids
 SEED = 0x5DEECE66D
 
 
@@ -119,6 +120,20 @@ def meetings(nodes: DataFrame) -> DataFrame:
     return shared(tables).select("place", "node").distinct()
 
 
+def different(met: DataFrame) -> DataFrame:
+    """``met`` without places that hold the very nodes of another one: small groups of copies meet again and again.
+
+    Two places are taken for the same if number, least, greatest, sum and exclusive or of their nodes' hashes agree.
+    """
+    own, other = F.xxhash64("node"), F.xxhash64("node", F.lit(1))
+    places = met.groupBy("place").agg(
+        F.count("*").alias("n"), F.min(own).alias("low"), F.max(own).alias("high"), F.sum(other.cast("decimal(20,0)")).alias("sum"),
+        F.bit_xor(other).alias("xor"),
+    )
+    first = places.groupBy("n", "low", "high", "sum", "xor").agg(F.min("place").alias("place"))
+    return met.join(first.select("place"), "place")
+
+
 def similar(own: np.ndarray, sizes: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether sets of these sizes, with so many hashes in common with one of size ``own``, are linked."""
     return 100 * common >= percent * (own + sizes - common)
@@ -181,10 +196,11 @@ def _confirmed(percent: int):
 
 def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``a``, ``b``: links among the nodes that meet in a table, confirmed on their whole sets, that span all their components."""
-    met = meetings(nodes).checkpoint()
-    needed = met.select("node").distinct().join(nodes, "node").select("least").distinct()
+    met = different(meetings(nodes).checkpoint()).checkpoint()
+    needed = met.select("node").distinct().join(nodes, "node").select("least").distinct().checkpoint()
+    few = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
     whole = (
-        with_sets(docs.join(needed, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi"), shingle)
+        with_sets(docs.join(few, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi"), shingle)
         .groupBy("node").agg(F.first("set").alias("set"))
     )
     large = (
