@@ -8,10 +8,15 @@ most n-grams with its right form.
 
 Since the classifier is linear in the mean, a trained model is one number per row,
 the difference of its two class scores; scoring adds these up over all n-grams of a text.
+
+How much a mean says depends on how many n-grams it is over: a few words are no strong evidence, and in a long text a few telling
+words hardly move it. A curve is therefore fitted over the margin, the number of n-grams and what single words add, from texts of the training
+rows that the vectors were not trained on (in turn, a part of them is left out).
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -32,25 +37,33 @@ MIN_TEXTS = 5  # training texts a row must occur in to have a vector
 BATCH = 64
 RATE = 0.05
 GAIN = 200.0  # the mean is multiplied by this, since few of a text's n-grams tell
-DECAY = 3e-3
+DECAY = 1e-3
 PADDING = 300  # n-grams without a vector that every mean also counts, so that a few words are no strong evidence
 THRESHOLD = 0.3
+PARTS = 4  # of the training texts, each left out once for the curve
+FEW = 20  # texts of either class that a curve needs at least
+TELLING = 3  # words of a text that add most
 SLICE_CHARS = 1 << 19
 
 _LETTER = np.ones(128, bool)
 _LETTER[[i for i in range(128) if not chr(i).isalnum()]] = False
 
 
+def _letters(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of the lower-cased texts, which of them are inside a word, and where each text begins."""
+    data = np.frombuffer((" " + "  ".join(t.lower() for t in texts) + " " * max(SIZES)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = (data >= 128) | _LETTER[np.minimum(data, 127)]
+    return data, inside, np.concatenate([[0], np.cumsum([len(t.lower()) + 2 for t in texts])]).astype(np.int64)
+
+
 def ngrams(texts: Sequence[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Row numbers and validity of the n-gram at each character, for each size; where each text begins.
 
     Anything in ASCII that is no letter or digit parts words and stands for a word's
     end; an n-gram may begin or end with one, but have none inside.
     """
-    data = np.frombuffer((" " + "  ".join(t.lower() for t in texts) + " " * max(SIZES)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = (data >= 128) | _LETTER[np.minimum(data, 127)]
+    data, inside, begin = _letters(texts)
     codes = np.where(inside, data, np.uint32(32)).astype(np.uint64)
-    begin = np.concatenate([[0], np.cumsum([len(t.lower()) + 2 for t in texts])])
     n = int(begin[-1])
     out, factor = [], 1
     hashes = np.zeros(n, np.uint64)
@@ -65,33 +78,88 @@ def ngrams(texts: Sequence[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], n
     return out, begin
 
 
+@dataclass
+class Curve:
+    """A logistic regression over standardised features."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray  # the constant first
+
+    @classmethod
+    def fit(cls, features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> Curve:
+        mean, scale = features.mean(0), features.std(0) + 1e-9
+        x = np.column_stack([np.ones(len(features)), (features - mean) / scale])
+        weights, less = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
+        less[0, 0] = 0
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + less + 1e-9 * np.eye(len(weights)), x.T @ (p - labels) + less @ weights)
+            weights = weights - step
+            if np.abs(step).max() < 1e-8:
+                break
+        return cls(mean, scale, weights)
+
+    def margin(self, features: np.ndarray) -> np.ndarray:
+        return self.weights[0] + (features - self.mean) / self.scale @ self.weights[1:]
+
+
 @dataclass
 class Model:
-    """What a row adds to the class difference, and the difference without any."""
+    """What a row adds to the class difference, the difference without any, and the curve over both, if there is one."""
 
     rows: np.ndarray
     bias: float
+    curve: Curve | None = None
 
-    def score(self, texts: Sequence[bytes | None]) -> np.ndarray:
-        """The probability of class 1 for each text; the bias alone decides where there is no n-gram."""
-        plain = [(t or b"").decode() for t in texts]
-        out, at = np.empty(len(plain)), 0
-        while at < len(plain):
+    def features(self, texts: Sequence[str]) -> np.ndarray:
+        """For each text the margin of its mean, the number of n-grams and their product, the sum over its root, and what single words add."""
+        out, at = np.empty((len(texts), 6)), 0
+        while at < len(texts):
             end, size = at, 0
-            while end < len(plain) and (end == at or size + len(plain[end]) <= SLICE_CHARS):
-                size += len(plain[end])
+            while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE_CHARS):
+                size += len(texts[end])
                 end += 1
-            grams, begin = ngrams(plain[at:end])
+            grams, begin = ngrams(texts[at:end])
             sums = np.zeros(begin[-1])
             counts = np.zeros(begin[-1], np.int8)
             for rows, valid in grams:
                 sums += np.where(valid, self.rows[rows], np.float32(0))
                 counts += valid
             total = np.add.reduceat(sums, begin[:-1])
-            count = np.add.reduceat(counts, begin[:-1], dtype=np.int64)
-            out[at:end] = total / (count + PADDING)
+            count = np.add.reduceat(counts, begin[:-1], dtype=np.int64) + PADDING
+            number, added, most = self._words(texts[at:end], sums, counts)
+            length = np.log(count)
+            out[at:end] = np.stack([
+                total / count, length, total / count * length, total / np.sqrt(count), added / np.sqrt(number + 10), most,
+            ], 1)
             at = end
-        return 1 / (1 + np.exp(-np.clip(out + self.bias, -60, 60)))
+        return out
+
+    @staticmethod
+    def _words(texts: Sequence[str], sums: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words with n-grams in each text, what those that add something add, and what the ``TELLING`` words add."""
+        _, inside, begin = _letters(texts)
+        starts = np.diff(inside.astype(np.int8), prepend=0) == 1
+        word = np.cumsum(starts)[1 : len(sums) + 1]  # an n-gram may begin at the end of the word before
+        worth, has = np.bincount(word, sums), np.bincount(word, counts) > 0
+        first = np.append(np.flatnonzero(starts), len(inside))[: len(worth) - 1]
+        text = np.concatenate([[0], np.searchsorted(begin, first, side="right") - 1])[: len(worth)]
+        worth, text = worth[has], text[has]
+        number = np.bincount(text, minlength=len(texts))
+        added = np.bincount(text, np.maximum(worth, 0), len(texts))
+        order = np.lexsort((-worth, text))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(number) - number, number)
+        telling = order[rank < TELLING]
+        return number, added, np.bincount(text[telling], worth[telling], len(texts))
+
+    def score(self, texts: Sequence[bytes | None]) -> np.ndarray:
+        """The probability of class 1 for each text; without an n-gram it is the same for all."""
+        if not len(texts):
+            return np.empty(0)
+        features = self.features([(t or b"").decode() for t in texts])
+        margin = self.curve.margin(features) if self.curve else features[:, 0]
+        return 1 / (1 + np.exp(-np.clip(margin + self.bias, -60, 60)))
 
 
 def _counted(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -102,36 +170,34 @@ def _counted(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Model:
-    """Vectors and softmax by stochastic gradients (Adagrad) over shuffled batches."""
+    """Vectors and softmax by stochastic gradients (Adagrad) over shuffled batches; no curve."""
     used_by = np.zeros(ROWS, np.int64)
     for text in texts:
         used_by[_counted(text)[0]] += 1
     often = used_by >= MIN_TEXTS
-    kept_rows, kept_counts, scale = [], [], []
+    place = np.cumsum(often) - 1
+    kept_rows, kept_weights = [], []
     for text in texts:  # once more, so that only what is kept is ever held
         rows, counts = _counted(text)
-        scale.append(GAIN / (counts.sum() + PADDING))
-        kept_rows.append(rows[often[rows]])
-        kept_counts.append(counts[often[rows]].astype(np.float32))
+        kept_rows.append(place[rows[often[rows]]].astype(np.int32))
+        kept_weights.append((counts[often[rows]] * (GAIN / (counts.sum() + PADDING))).astype(np.float32))
     y = np.asarray(labels, np.int64)
-    rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (ROWS, DIM)).astype(np.float32) * 0.1
-    softmax = np.stack([-np.ones(DIM), np.ones(DIM)], 1).astype(np.float32) * rng.uniform(0.5, 1.0, (DIM, 1)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    square_v, square_s, square_b = np.full(ROWS, 1e-4, np.float32), np.full_like(softmax, 1e-4), np.full_like(bias, 1e-4)
     share = np.bincount(y, minlength=2) / max(len(y), 1)
     if not len(y) or not share.all():  # nothing to tell apart
         return Model(np.zeros(ROWS, np.float32), 0.0 if not len(y) else 4.0 * (1 if share[1] else -1))
+    n = int(often.sum())
+    rng = np.random.default_rng(seed)
+    vectors = rng.uniform(-1 / DIM, 1 / DIM, (n, DIM)).astype(np.float32) * 0.1
+    softmax = np.stack([-np.ones(DIM), np.ones(DIM)], 1).astype(np.float32) * rng.uniform(0.5, 1.0, (DIM, 1)).astype(np.float32)
+    bias = np.zeros(2, np.float32)
+    square_v, square_s, square_b = np.full(n, 1e-4, np.float32), np.full_like(softmax, 1e-4), np.full_like(bias, 1e-4)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
             rows = np.concatenate([kept_rows[i] for i in batch])
-            weights = np.concatenate([kept_counts[i] * np.float32(scale[i]) for i in batch])
-            lengths = np.array([len(kept_rows[i]) for i in batch])
-            text = np.repeat(np.arange(len(batch)), lengths)
-            used, inverse = np.unique(rows, return_inverse=True)
-            here = vectors[used]
-            spread = weights[:, None] * here[inverse]
+            weights = np.concatenate([kept_weights[i] for i in batch])
+            text = np.repeat(np.arange(len(batch)), [len(kept_rows[i]) for i in batch])
+            spread = weights[:, None] * vectors[rows]
             mean = np.stack([np.bincount(text, spread[:, d], len(batch)) for d in range(DIM)], 1).astype(np.float32)
             logits = mean @ softmax + bias
             odds = np.exp(logits - logits.max(1, keepdims=True))
@@ -140,24 +206,43 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Model:
             error /= len(batch)
             grad_s, grad_b = mean.T @ error, error.sum(0)
             back = (error @ softmax.T)[text] * weights[:, None]
-            grad_v = np.stack([np.bincount(inverse, back[:, d], len(used)) for d in range(DIM)], 1).astype(np.float32)
-            grad_v += DECAY * here
+            used = np.flatnonzero(np.bincount(rows, minlength=n))
+            grad_v = np.stack([np.bincount(rows, back[:, d], n)[used] for d in range(DIM)], 1).astype(np.float32)
+            grad_v += DECAY * vectors[used]
             square_v[used] += (grad_v**2).mean(1)
             vectors[used] -= rate * grad_v / np.sqrt(square_v[used])[:, None]
             square_s += grad_s**2
             softmax -= rate * grad_s / np.sqrt(square_s)
             square_b += grad_b**2
             bias -= rate * grad_b / np.sqrt(square_b)
-    difference = softmax[:, 1] - softmax[:, 0]
-    rows = np.where(often, vectors @ difference * GAIN, 0)
-    return Model(rows.astype(np.float32), float(bias[1] - bias[0]))
+    rows = np.zeros(ROWS, np.float32)
+    rows[often] = vectors @ (softmax[:, 1] - softmax[:, 0]) * GAIN
+    return Model(rows, float(bias[1] - bias[0]))
+
+
+def train_with_curve(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Model:
+    """A model of all texts, and a curve from models that had not seen the texts it is fitted on.
+
+    Equal texts are left out together. Fewer than ``FEW`` texts of a class give no curve.
+    """
+    model = train(texts, labels, seed)
+    y = np.asarray(labels, np.int64)
+    part = np.array([zlib.crc32(text.encode("utf-8", "surrogatepass")) % PARTS for text in texts], np.int64)
+    if min(np.bincount(y, minlength=2)) < FEW:
+        return model
+    features = np.empty((len(texts), 6))
+    for k in range(PARTS):
+        rest, left = np.flatnonzero(part != k), np.flatnonzero(part == k)
+        if len(left):
+            features[left] = train([texts[i] for i in rest], y[rest], seed).features([texts[i] for i in left])
+    return Model(model.rows, 0.0, Curve.fit(features, y))
 
 
 def fitted(docs: DataFrame, known: DataFrame, sample: int = SAMPLE, clean: int = CLEAN) -> Model:
     """A model from ``known`` (``doc_id``, ``label`` 0 or 1), whose texts are looked up in ``docs``.
 
     At most ``sample`` labelled ids of class 1 and ``clean`` of class 0 are used, those least by the hash of their
-    id; only their texts reach the driver. The bias is then moved by as much as the odds of the classes among
+    id; only their texts reach the driver, where vectors and curve are trained. The bias is then moved by as much as the odds of the classes among
     all labelled ids differ from those in the sample. An id with both labels counts as class 1, other labels are passed over.
     """
     known = known.filter("label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -165,7 +250,7 @@ def fitted(docs: DataFrame, known: DataFrame, sample: int = SAMPLE, clean: int =
     chosen = known.filter("label = 1").orderBy(place).limit(sample).unionByName(known.filter("label = 0").orderBy(place).limit(clean))
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
     rows = sorted(((r["doc_id"], r["text"] or "", r["label"]) for r in found.collect()))
-    model = train([text for _, text, _ in rows], [label for _, _, label in rows])
+    model = train_with_curve([text for _, text, _ in rows], [label for _, _, label in rows])
     used = sum(label for _, _, label in rows)
     ones, zeros = known.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
     if 0 < used < len(rows):

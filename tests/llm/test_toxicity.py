@@ -74,6 +74,20 @@ def test_held_out_accuracy(spark, sf):
     labels = spark.read.parquet(f"{path}/labels.parquet").select("doc_id", "toxic")
     rows = op3_subword_toxicity(spark, path).filter("held_out").join(labels, "doc_id").collect()
     hit = [r for r in rows if r["toxic"] == 1]
-    assert sum(r["predicted"] for r in hit) > 0.9 * len(hit)
+    assert sum(r["predicted"] for r in hit) > 0.92 * len(hit)
     clean = [r for r in rows if r["toxic"] == 0]
-    assert sum(r["predicted"] for r in clean) < 0.05 * len(clean)
+    assert sum(r["predicted"] for r in clean) < 0.02 * len(clean)
+    words = {r["doc_id"]: len(r["text"].split()) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()}
+    short = [r for r in clean if words[r["doc_id"]] < 20]
+    assert len(short) > 20 and sum(r["predicted"] for r in short) < 0.05 * len(short)
+
+
+def test_the_curve_asks_more_of_short_texts():
+    texts, labels = made_up(400, 1)
+    model = toxicity.train_with_curve(texts, labels)
+    plain, none = "aeio lnrs tute", model.score([b""])[0]
+    assert none < 0.3 and model.score([plain.encode()])[0] < 0.3
+    assert model.score([b"zwkvqaei " + plain.encode() * 3])[0] < model.score([b"zwkvqaei zwkvqlon zwkvqtes " + b" aei lon" * 10])[0]
+    odd_ones = [b"", b" \n", "é\u4e2d".encode(), b"x" * 5000, b"." * 50]
+    together = model.score(odd_ones)
+    assert together == pytest.approx([model.score([t])[0] for t in odd_ones])
