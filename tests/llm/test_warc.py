@@ -1,13 +1,15 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
 import re
+import zlib
 from html.parser import HTMLParser
 
 from palletwatch.llm.queries import op7_warc_derivatives
-from palletwatch.llm.warc import derived_records, page_responses, split_message
+from palletwatch.llm.warc import derive, derived_records, page_responses, split_message
 
 HEAD = "HTTP/1.1 404 Not Found\r\nContent-Type: text/html\r\nX-Two: a: b\r\n\r\n"
 SCHEMA = "record_id string, target_uri string, date string, block string, lang string, header string"
@@ -92,3 +94,67 @@ def test_empty_table_and_null_pages(spark):
 def test_message_parts():
     assert split_message(b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nrest\r\n\r\nmore") == ("HTTP/1.1 200 OK", [("A", "b")], b"rest\r\n\r\nmore")
     assert split_message(html.unescape("&lt;p>").encode()) == ("", [], b"<p>")
+
+
+def made(headers, body):
+    rows = list(derive("<urn:uuid:1>", "http://a", "2024", f"HTTP/1.1 200 OK\r\n{headers}\r\n\r\n".encode() + body))
+    return {row[0]: row[-1] for row in rows}
+
+
+PAGE = "<title>Caf&eacute; &amp; über</title><p>Café über</p>"
+TEXT = "Café & über\nCafé über"
+
+
+def chunked(data, size=7):
+    parts = [data[i : i + size] for i in range(0, len(data), size)]
+    return b"".join(b"%x;x=y\r\n%s\r\n" % (len(p), p) for p in parts) + b"0\r\nTrailer: x\r\n\r\n"
+
+
+def raw(data):
+    make = zlib.compressobj(wbits=-15)
+    return make.compress(data) + make.flush()
+
+
+def test_bodies_as_sent():
+    utf = PAGE.encode()
+    for headers, body in [
+        ("Content-Type: text/html; charset=iso-8859-1", PAGE.encode("latin-1")),
+        ("Content-Type: text/html;\r\n\tcharset=\"ISO-8859-15\"", PAGE.encode("iso-8859-15")),
+        ("Content-Type: text/html", b'<meta http-equiv=x content="text/html; charset=windows-1252">' + PAGE.encode("cp1252")),
+        ("Content-Type: text/html", b"<meta charset='latin1'>" + PAGE.encode("latin-1")),
+        ("Content-Type: text/html; charset=latin1", b"\xef\xbb\xbf" + utf),
+        ("Content-Type: text/html", b"\xff\xfe" + PAGE.encode("utf-16-le")),
+        ("Content-Type: text/html\r\nContent-Encoding: gzip", gzip.compress(utf[:20]) + gzip.compress(utf[20:])),
+        ("Content-Type: text/html\r\nContent-Encoding: deflate", zlib.compress(utf)),
+        ("Content-Type: text/html\r\nContent-Encoding: deflate", raw(utf)),
+        ("Content-Type: text/html\r\nTransfer-Encoding: chunked", chunked(utf)),
+        ("Content-Type: text/html\r\nTransfer-Encoding: chunked\r\nContent-Encoding: x-gzip", chunked(gzip.compress(utf))),
+        ("Content-Type: text/html\r\nTransfer-Encoding: gzip, chunked\r\nContent-Encoding: identity", chunked(gzip.compress(utf))),
+    ]:
+        got = made(headers, body)
+        assert got["conversion"] == TEXT, headers
+        assert "title: Café & über\r\n" in got["metadata"] and "unreadable" not in got["metadata"]
+
+
+def test_bodies_that_cannot_be_read_give_metadata_only():
+    for headers, body, why in [
+        ("Content-Encoding: br", b"xx", "content coding br"), ("Content-Encoding: gzip", b"plain", "broken gzip"),
+        ("Content-Encoding: gzip", gzip.compress(b"x" * 99)[:20], "broken gzip"), ("Transfer-Encoding: chunked", b"zz\r\nx", "broken chunks"),
+        ("Transfer-Encoding: chunked", b"9\r\nx", "broken chunks"), ("Content-Type: text/html; charset=no-such", b"x", "character set no-such"),
+        ("Content-Type: text/plain; charset=hex", b"x", "character set hex"),
+    ]:
+        got = made(headers, body)
+        assert set(got) == {"metadata"} and f"unreadable: {why}\r\n" in got["metadata"], headers
+    assert set(made("Content-Type: image/png\r\nContent-Encoding: br", b"x")) == {"metadata"}
+    assert made("Content-Encoding: gzip", b"")["conversion"] == ""
+
+
+def test_folded_header_lines():
+    assert split_message(b"HTTP/1.1 200 OK\r\nA: b\r\n  c\r\nD: e\r\n\r\nx")[1] == [("A", "b c"), ("D", "e")]
+
+
+def test_kept_columns_give_way_to_those_of_the_records(spark):
+    rows = [("<urn:uuid:1>", "http://a", "2024", HEAD + "x", "en", "mine")]
+    got = derived_records(spark.createDataFrame(rows, SCHEMA), keep=("lang", "header", "record_id", "block", "lang"))
+    assert len(set(got.columns)) == len(got.columns) and got.columns[0] == "lang"
+    assert all(r["header"].startswith("WARC/1.0") and r["record_id"] != "<urn:uuid:1>" for r in got.collect())
