@@ -215,9 +215,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
-    """Each row's ``doc_id`` and ``fingerprint`` (long); each fingerprint's ``root`` and ``component_id``."""
+    """Each row's ``doc_id``, ``text_hash`` and ``fingerprint`` (longs); each fingerprint's ``root`` and ``component_id``."""
     shared_dir(docs.sparkSession)
-    marked = with_fingerprints(docs.select(F.col("doc_id").cast("bigint"), "text"), shingle, drop=("text",)).checkpoint()
+    plain = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_hash"))
+    marked = with_fingerprints(plain, shingle, drop=("text",)).checkpoint()
     points = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     roots = components(links(points, most))
     placed = points.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
@@ -244,16 +245,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BIT
 def representatives(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that stay when each component keeps one: that of the smallest document id.
 
-    Of several rows with that id, the one with the least text (null first) stays. A component in which no row has an id
-    keeps one row, too.
+    Of several rows of a component with that id, one of those whose text has the least hash stays. A component in which no row has an id
+    keeps one row, too. An id that is the smallest of several components keeps a row in each.
     """
     marked, found = grouped(docs, shingle, most)
-    stays = marked.join(found, "fingerprint").filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    kept = docs.join(stays, "doc_id", "left_semi").withColumn("_place", F.row_number().over(first)).filter("_place = 1")
-    nameless = with_fingerprints(docs.filter("doc_id is null").withColumnRenamed("fingerprint", "_own"), shingle).join(
-        found.filter("component_id is null").withColumnRenamed("root", "_root"), "fingerprint"
-    ).dropDuplicates(["_root"])
-    if "fingerprint" in docs.columns:
-        nameless = nameless.drop("fingerprint").withColumnRenamed("_own", "fingerprint")
-    return kept.select(*docs.columns).unionByName(nameless.select(*docs.columns))
+    stays = (
+        marked.join(found, "fingerprint").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("doc_id", "root").agg(F.min("text_hash").alias("text_hash"))
+    )
+    own, place = (next(name for name in (f"{base}{'_' * i}" for i in range(len(docs.columns) + 1)) if name not in docs.columns) for base in ("hash", "place"))
+    marks = stays.select(F.col("doc_id").alias("stays_id"), F.col("text_hash").alias("stays_hash"))
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    named = hashed.join(marks, (hashed["doc_id"] == marks["stays_id"]) & (hashed[own] == marks["stays_hash"]), "left_semi")
+    nameless = hashed.filter("doc_id is null").join(marks.filter("stays_id is null"), F.col(own) == F.col("stays_hash"), "left_semi")
+    some = F.xxhash64(*(name for name, kind in docs.dtypes if "map<" not in kind))
+    first = F.row_number().over(Window.partitionBy("doc_id", own).orderBy(some))
+    return named.unionByName(nameless).withColumn(place, first).filter(F.col(place) == 1).select(*docs.columns)

@@ -112,6 +112,15 @@ def test_one_row_of_each_group_stays(spark):
         (2, "one two three four", "mine"), (None, "quite another text here", "mine"), (8, "", "mine")]))
 
 
+def test_no_group_is_lost_where_one_id_is_in_two(spark):
+    a, b = "zeta alpha beta gamma delta", "one two three four five six"
+    docs = spark.createDataFrame([(5, a), (7, a), (5, b), (6, b), (2, b)], "doc_id long, text string")
+    docs = docs.withColumns({"_own": F.lit("x"), "hash": F.lit("y"), "place": F.lit("z"), "fingerprint": F.lit("w")})
+    got = representatives(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(2, b, "x", "y", "z", "w"), (5, a, "x", "y", "z", "w")]
+
+
 def test_distances_beyond_the_keys_are_refused(spark):
     with pytest.raises(ValueError):
         links(spark.createDataFrame([(1,)], "fingerprint long"), 4)
