@@ -8,8 +8,9 @@ or covers the set share of an item.
 Normalised words are runs of ASCII letters (lower-cased), digits and characters
 beyond ASCII.
 
-Items are dealt into blocks of bounded size; each block has an automaton of its
-own, sent to all tasks, and documents pass one after the other without a shuffle.
+Items are dealt into blocks of bounded size, each with an automaton of its own. One block is all that the driver and a task hold
+at a time. A single block, the usual case, takes one pass over the documents without a shuffle. Of several, each takes a pass
+of its own that writes the hits it has to the shared folder; these are then merged by document, so that no plan grows with the items.
 """
 
 from __future__ import annotations
@@ -26,11 +27,14 @@ from pyspark.sql import functions as F
 
 from palletwatch.llm.blocks import Words
 from palletwatch.llm.rows import with_columns
+from palletwatch.session import fresh_dir, shared_dir
 
 SPAN_WORDS = 10  # length limit
 COVERAGE = 1.0  # coverage limit, as a share of an item's words
 BLOCK_BYTES = 1 << 20  # of item texts in one automaton
 
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 #: Maps UTF-8 bytes to those of normalised words and spaces.
 NORMAL = bytes(
     b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)
@@ -166,16 +170,18 @@ class Automaton:
         return np.array(starts, np.int64), np.array(sizes, np.int64), items
 
 
-def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int, bytes | None]]]:
-    """Items in blocks of about ``block_bytes``, each collected by itself."""
+def in_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[int, DataFrame]:
+    """How many blocks of about ``block_bytes`` there are, and the distinct items with their ``block``."""
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    items = items.filter("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
-    place = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [
-        [(row["item_id"], bytes(row["text"]) if row["text"] is not None else None) for row in items.filter(place == i).collect()]
-        for i in range(n)
-    ]
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    return n, dealt.checkpoint() if n > 1 else dealt
+
+
+def _block(items: DataFrame, i: int) -> list[tuple[int | None, bytes]]:
+    return [(row["item_id"], bytes(row["text"])) for row in items.filter(F.col("block") == i).collect()]
 
 
 def _cut(text: bytes, hits: np.ndarray, words: int) -> bytes:
@@ -205,52 +211,63 @@ def decontaminated(
     An item's marked runs have ``min(span, ceil(coverage * its words))`` words, one at
     least. Every word in an occurrence of a marked run is hit. ``items`` has the distinct ids of items
     with an occurrence, in ascending order. Null texts and items without words match
-    nothing; a null item id is not listed among the items found. Columns of ``docs`` with
-    the names of the added ones give way to them. With ``clean`` there is also ``cleaned``, the text
+    nothing; a null item id is not listed among the items found. Items that repeat count once, documents that repeat each.
+    Columns of ``docs`` with the names of the added ones give way to them. With ``clean`` there is also ``cleaned``, the text
     without its hit stretches: from the first to the last letter of neighbouring hit words; what stands around
-    them stays.
+    them stays. Items beyond one block are searched for while the DataFrame is built.
     """
+    shared_dir(docs.sparkSession)
     docs = docs.drop("n_words", "hits", "items", *["cleaned"] * clean)
-    last = "n_words long, hits array<int>, items array<long>"
-    blocks = item_blocks(items, block_bytes)
-    at_once = clean and len(blocks) == 1
-    for block in blocks:
-        earlier = "hits" in docs.columns
-        if earlier:
-            docs = docs.withColumnsRenamed({"hits": "_hits", "items": "_items"})
-
-        def work(block=block):
-            automaton = Automaton(block, span, coverage)
-
-            def columns(texts):
-                words = Words.of(texts, lower=NORMAL)
-                starts, sizes, found = automaton.search(words)
-                steps = np.zeros(len(words.starts) + 1, np.int64)
-                np.add.at(steps, starts, 1)
-                np.add.at(steps, starts + sizes, -1)
-                places = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
-                text = words.text[places]
-                offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
-                within = (places - words.first[text]).astype(np.int32)
-                whose = [sorted(i for i in found.get(n, ()) if i is not None) for n in range(len(texts))]
-                made = [words.counts, pa.ListArray.from_arrays(pa.array(offsets), pa.array(within)), whose]
-                if at_once:
-                    made.append([
-                        _cut(t, within[a:b], n).decode() if t is not None else None
-                        for t, a, b, n in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), words.counts.tolist(), strict=True)
-                    ])
-                return made
-
-            return columns
-
-        docs = with_columns(docs, last + ", cleaned string" * at_once, work)
-        if earlier:
-            docs = docs.withColumns({
-                "hits": F.array_sort(F.array_union("hits", "_hits")), "items": F.array_sort(F.array_union("items", "_items")),
-            }).drop("_hits", "_items")
-    if clean and not at_once:
-        docs = docs.withColumn("cleaned", F.pandas_udf(_cut_rows, "string")("text", "hits", "n_words"))
-    return docs
+    n, dealt = in_blocks(items, block_bytes)
+    if n == 1:
+        return _searched(docs, _block(dealt, 0), span, coverage, clean)
+    # Rows of one id and text have the same hits; the hash of the text stands for it.
+    own = next(name for name in (f"hash{'_' * i}" for i in range(len(docs.columns) + 1)) if name not in docs.columns)
+    docs = docs.withColumn(own, F.xxhash64("text"))
+    plain = docs.select("doc_id", "text", F.col(own).alias("text_hash"))
+    folder = fresh_dir(docs.sparkSession, "decontamination")
+    for i in range(n):
+        found = _searched(plain, _block(dealt, i), span, coverage, False).filter("size(hits) > 0")
+        found.select("doc_id", "text_hash", "hits", "items", F.lit(i).alias("block")).write.mode("append").parquet(folder)
+    found = docs.sparkSession.read.parquet(folder).dropDuplicates(["doc_id", "text_hash", "block"])
+    merged = found.groupBy(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).agg(*(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name) for name in ("hits", "items")
+    ))
+    joined = docs.join(merged, docs["doc_id"].eqNullSafe(merged["hit_id"]) & (docs[own] == merged["hit_hash"]), "left")
+    none = {"hits": F.array().cast("array<int>"), "items": F.array().cast("array<long>")}
+    count = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")
+    whole = joined.select(*(docs[c] for c in docs.columns if c != own), count, *(F.coalesce(merged[c], none[c]).alias(c) for c in none))
+    return whole.withColumn("cleaned", F.pandas_udf(_cut_rows, "string")("text", "hits", "n_words")) if clean else whole
+
+
+def _searched(docs: DataFrame, items: list[tuple[int | None, bytes]], span: int, coverage: float, clean: bool) -> DataFrame:
+    """``docs`` with the added columns, as far as these items go. No shuffle."""
+
+    def work():
+        automaton = Automaton(items, span, coverage)
+
+        def columns(texts):
+            words = Words.of(texts, lower=NORMAL)
+            starts, sizes, found = automaton.search(words)
+            steps = np.zeros(len(words.starts) + 1, np.int64)
+            np.add.at(steps, starts, 1)
+            np.add.at(steps, starts + sizes, -1)
+            places = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
+            text = words.text[places]
+            offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
+            within = (places - words.first[text]).astype(np.int32)
+            whose = [sorted(i for i in found.get(n, ()) if i is not None) for n in range(len(texts))]
+            made = [words.counts, pa.ListArray.from_arrays(pa.array(offsets), pa.array(within)), whose]
+            if clean:
+                made.append([
+                    _cut(t, within[a:b], n).decode() if t is not None else None
+                    for t, a, b, n in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), words.counts.tolist(), strict=True)
+                ])
+            return made
+
+        return columns
+
+    return with_columns(docs, "n_words long, hits array<int>, items array<long>" + ", cleaned string" * clean, work)
 
 
 def _cut_rows(text: pd.Series, hits: pd.Series, words: pd.Series) -> pd.Series:

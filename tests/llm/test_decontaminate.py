@@ -43,6 +43,17 @@ def test_odd_documents_in_one_and_in_many_blocks(spark):
         assert {r["doc_id"] for r in got if r["hits"]} == {100, 101}
 
 
+def test_plan_and_columns_do_not_depend_on_the_number_of_blocks(spark):
+    items = spark.createDataFrame(ITEMS + ITEMS, "item_id long, text string")
+    docs = odd.documents(spark, "_hits string, hash string, block string, text_hash string")
+    plans = []
+    for block in (60, 1):
+        got = decontaminated(docs, items, block_bytes=block)
+        assert got.columns == [*docs.columns, "n_words", "hits", "items"] and got.count() == len(odd.TEXTS) + 3
+        plans.append(got._jdf.queryExecution().analyzed().toString().count("\n"))
+    assert plans[0] == plans[1]
+
+
 def test_cleaned_text_keeps_what_stands_around(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = spark.createDataFrame([(1, "Héllo, (Short item  HERE)! Rest."), (2, "none"), (3, None), (4, "short item here")], "doc_id long, text string")
