@@ -21,8 +21,9 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def in_chunks(docs: DataFrame, total: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``docs`` with a column ``_chunk`` in front; rows of one id share a chunk."""
+def in_chunks(docs: DataFrame, total: int, chunk_bytes: int = CHUNK_BYTES, spread: bool = False) -> DataFrame:
+    """``docs`` with a column ``_chunk`` in front; rows of one id share a chunk, with ``spread`` only those of one text, too."""
     n = max(1, math.ceil(total / chunk_bytes))
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(n))
+    names = [F.col("doc_id").cast("bigint"), *([F.xxhash64("text")] if spread else [])]
+    place = F.pmod(F.xxhash64(*names), F.lit(n))
     return docs.select(place.alias("_chunk"), "*")

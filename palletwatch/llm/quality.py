@@ -1,11 +1,13 @@
 """Quality rules: counts with fixed limits, and divergence from what a language looks like.
 
 Each document gives two histograms: its characters by class, and its words by a list of common words of
-several languages, the last bin being all other words. The sum over all documents of a language that
-pass the fixed limits is that language's reference. A document whose Jensen-Shannon
-distance to its reference is too large is not kept. Documents too short for a
-distance to say anything, and languages without enough text, are not judged by it.
-A language can be given a fixed reference instead, which the judged documents cannot move.
+several languages, the last bin being all other words. A document whose Jensen-Shannon
+distance to the reference of its language is too large is not kept; one too short for a
+distance to say anything is not judged by it. References are fixed histograms, so that a verdict depends on the document alone:
+neither copies, nor junk sources, nor the size of the table move it, and no document is shuffled.
+
+A language tag counts up to its first - or _, in lower case. A text without a tag is compared with every reference, and the nearest
+counts. One in a language without a reference is compared so by its characters; its words are not judged, since the list has none of that language.
 """
 
 from __future__ import annotations
@@ -19,17 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palletwatch.llm.blocks import Words, classes, covered
+from palletwatch.llm.quality_references import REFERENCES
 from palletwatch.llm.rows import with_columns
-from palletwatch.session import shared_dir
 
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED = 30  # percent of words
-JUDGED_WORDS = 100  # words a document must have for a distance to count
-JUDGED_CHARS = 400
-REFERENCE_WORDS = 2000  # words a language must have to be a reference
+JUDGED_CHARS = 400  # characters a document must have for their distance to count
 MAX_CHAR_DISTANCE = 0.31
-MAX_WORD_DISTANCE = 0.335
 # Limits of the word distance from so many words on: the fewer words, the further their shares are from any reference.
 WORD_LIMITS = ((200, 0.25), (100, 0.30), (50, 0.36), (20, 0.40))
 
@@ -121,53 +120,39 @@ def distance(counts: Column, total: Column, shares: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v) / 2, F.lit(0.0)))
 
 
-def _shares(column: str, bins: int, total: Column) -> Column:
-    return F.array(*(F.sum(F.col(column)[i]) / F.sum(total) for i in range(bins)))
-
-
-def _fixed(column: str, fixed: Mapping[str, Sequence[int]]) -> Column:
-    """The shares of the fixed reference of ``lang``, or of the column for a language without one."""
-    shares = ((lang, F.lit([n / sum(counts) for n in counts])) for lang, counts in fixed.items())
-    return reduce(lambda rest, one: F.when(F.col("lang") == one[0], one[1]).otherwise(rest), shares, F.col(column))
-
-
 def judged(
-    docs: DataFrame, references: Mapping[str, tuple[Sequence[int], Sequence[int]]] | None = None,
-    word_limits: Sequence[tuple[int, float]] = ((JUDGED_WORDS, MAX_WORD_DISTANCE),),
+    docs: DataFrame, references: Mapping[str, tuple[Sequence[int], Sequence[int]]] = REFERENCES,
+    word_limits: Sequence[tuple[int, float]] = WORD_LIMITS,
 ) -> DataFrame:
     """``docs`` without its text, with the counts, ``base_failed``, the two distances and ``kept``.
 
     Words are runs of anything but white space in ASCII. ``n_repeat_words`` are the words in 8-word windows found twice
     or more in the text. ``base_failed``: fewer than 20 words, or over 30 in 100 repeated. A null text has no words
-    and fails. Languages are compared as they are written in ``lang``; a null one is a language of its own.
-    ``references`` has fixed counts by language, of characters and of words; languages that it lacks are compared with
-    the sum of their documents. ``word_limits`` has numbers of words and the largest word distance from there on. Distances are null where they are not judged. Rows that repeat are judged alike, each for itself. The table of
-    counts is checkpointed, so that texts are read once.
+    and fails. ``references`` has fixed counts by language (lower case, no region), of characters and of words;
+    ``word_limits`` has numbers of words and the largest word distance from there on. Distances are null where they are not
+    judged. Columns of ``docs`` with the added names give way; an empty table gives an empty one. Rows that repeat are judged
+    alike, each for itself. One pass, no shuffle.
     """
-    shared_dir(docs.sparkSession)
-    references = references or {}
     counted = with_columns(docs, FIELDS, lambda: measured, drop=("text",)).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    ).checkpoint()
-    chars, words = F.col("word_chars") + F.col("char_counts")[3], F.col("n_words")
-    moving = ~F.coalesce(F.col("lang").isin(list(references)), F.lit(False))
-    sums = (
-        counted.filter(~F.col("base_failed") & moving).groupBy(F.col("lang").alias("ref_lang"))
-        .agg(F.sum(words).alias("ref_words"), _shares("char_counts", CLASSES, chars).alias("ref_chars"),
-             _shares("word_counts", len(WORDS) + 1, words).alias("ref_common"))
-        .filter(F.col("ref_words") >= REFERENCE_WORDS)
     )
-    found = counted.join(sums, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").withColumns({
-        "ref_chars": _fixed("ref_chars", {lang: counts for lang, (counts, _) in references.items()}),
-        "ref_common": _fixed("ref_common", {lang: counts for lang, (_, counts) in references.items()}),
-    }).withColumns({
-        "char_distance": F.when(chars >= JUDGED_CHARS, distance(F.col("char_counts"), chars, F.col("ref_chars"))),
-        "word_distance": F.when(words >= min(word_limits)[0], distance(F.col("word_counts"), words, F.col("ref_common"))),
-    })
+    chars, words = F.col("word_chars") + F.col("char_counts")[3], F.col("n_words")
+    tag = F.lower(F.regexp_extract(F.trim(F.coalesce(F.col("lang").cast("string"), F.lit(""))), "^[^-_]*", 0))
+
+    def nearest(column: str, total: Column, which: int, unknown: Column) -> Column:
+        """The distance to the tag's reference, else the least of all where ``unknown`` holds."""
+        far = {
+            lang: distance(F.col(column), total, F.lit([n / sum(counts[which]) for n in counts[which]]))
+            for lang, counts in references.items()
+        }
+        least = F.least(*far.values()) if len(far) > 1 else next(iter(far.values()), F.lit(None).cast("double"))
+        return reduce(lambda rest, one: F.when(tag == one[0], one[1]).otherwise(rest), far.items(), F.when(unknown, least))
+
+    # a column each, so that nothing is worked out twice
+    found = counted.withColumn("char_distance", F.when(chars >= JUDGED_CHARS, nearest("char_counts", chars, 0, F.lit(True))))
+    found = found.withColumn("word_distance", F.when(words >= min(word_limits)[0], nearest("word_counts", words, 1, tag == "")))
     limit = reduce(lambda rest, one: F.when(words >= one[0], F.lit(one[1])).otherwise(rest), sorted(word_limits), F.lit(1.0))
     strange = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (
         F.coalesce("word_distance", F.lit(0.0)) > limit
     )
-    return found.withColumn("kept", ~F.col("base_failed") & ~strange).drop(
-        "char_counts", "word_counts", "ref_lang", "ref_words", "ref_chars", "ref_common"
-    )
+    return found.withColumn("kept", ~F.col("base_failed") & ~strange).drop("char_counts", "word_counts")

@@ -23,7 +23,6 @@ from palletwatch.llm import (
     toxicity,
     warc,
 )
-from palletwatch.llm.quality_references import REFERENCES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,14 +47,6 @@ def op1_lookup_sharding(spark: SparkSession, path: str) -> DataFrame:
 
 def op2_fixed_divergence(spark: SparkSession, path: str) -> DataFrame:
     """Counts, limits and the verdict of the distances to fixed references for every document."""
-    docs = table(spark, path, "documents").select("doc_id", "lang", "text")
-    return quality.judged(docs, REFERENCES, quality.WORD_LIMITS).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
-    )
-
-
-def op2_language_divergence(spark: SparkSession, path: str) -> DataFrame:
-    """Counts, limits and the verdict of the distances to what the documents of a language sum up to."""
     judged = quality.judged(table(spark, path, "documents").select("doc_id", "lang", "text"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -96,15 +87,8 @@ def op7_warc_derivatives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op8_trigram_backoff(spark: SparkSession, path: str) -> DataFrame:
-    """The score of every document, from every count of the n-grams up to three words of all of them."""
-    scores = lm_scoring.scores(texts(spark, path), order=3, min_count=1)
-    return scores.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"))
-
-
-def op8_stupid_backoff(spark: SparkSession, path: str) -> DataFrame:
-    """The score of every document, from the counts of words and of pairs seen twice or more."""
-    scores = lm_scoring.scores(texts(spark, path))
-    return scores.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"))
+    """The score of every document, from every count of n-grams up to three words in all other documents."""
+    return lm_scoring.scores(texts(spark, path)).select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"))
 
 
 def op9_suffix_automaton(spark: SparkSession, path: str) -> DataFrame:
@@ -149,8 +133,8 @@ def op13_block_max_maxscore(spark: SparkSession, path: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
-        op1_lookup_sharding, op2_fixed_divergence, op2_language_divergence, op3_subword_toxicity, op4_block_tree_extraction,
-        op5_super_kmer_dedup, op6_pigeonring_simhash, op7_warc_derivatives, op8_trigram_backoff, op8_stupid_backoff, op9_suffix_automaton, op10_chunk_table_pieces,
+        op1_lookup_sharding, op2_fixed_divergence, op3_subword_toxicity, op4_block_tree_extraction,
+        op5_super_kmer_dedup, op6_pigeonring_simhash, op7_warc_derivatives, op8_trigram_backoff, op9_suffix_automaton, op10_chunk_table_pieces,
         op11_pointer_jumping, op12_tensored_minhash, op13_block_max_maxscore,
     )
 }

@@ -74,21 +74,29 @@ def hits(text: str | None, items: list[tuple], span: int = 10, coverage: float =
     return len(w), places, found
 
 
-def backoff(texts: list[str | None], order: int, alpha: float, min_count: int) -> list[float]:
+def backoff(texts: list[str | None], order: int, alpha: float) -> list[float]:
+    """Scores from the counts of all other texts."""
     from collections import Counter
 
     tokens = [words(t) for t in texts]
-    counts = Counter(tuple(w[i : i + n]) for w in tokens for n in range(1, order + 1) for i in range(len(w) - n + 1))
-    total = sum(map(len, tokens))
 
-    def score(gram: tuple) -> float:
-        if len(gram) == 1:
-            return counts[gram] / total
-        if counts[gram] >= min_count:
-            return counts[gram] / counts[gram[:-1]]
-        return alpha * score(gram[1:])
+    def grams(w: list[bytes]) -> Counter:
+        return Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
 
-    return [sum(math.log(score(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(len(w))) for w in tokens]
+    whole, out = grams([]), []
+    for w in tokens:
+        whole.update(grams(w))
+    for w in tokens:
+        own, total = grams(w), max(sum(map(len, tokens)) - len(w), 1)
+
+        def score(gram: tuple, own=own, total=total) -> float:
+            c = whole[gram] - own[gram]
+            if c:
+                return c / (whole[gram[:-1]] - own[gram[:-1]] if len(gram) > 1 else total)
+            return alpha * (score(gram[1:]) if len(gram) > 1 else 1 / total)
+
+        out.append(sum(math.log(score(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(len(w))))
+    return out
 
 
 def sha(parts: list[bytes], mark: bytes) -> str:

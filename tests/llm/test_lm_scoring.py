@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 
 from palletwatch.llm import lm_scoring
@@ -12,7 +13,7 @@ from tests.llm import brute, odd
 
 def check(df, **settings):
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
-    want = brute.backoff([t for _, t in rows], settings.get("order", 2), settings.get("alpha", 0.4), settings.get("min_count", 2))
+    want = brute.backoff([t for _, t in rows], settings.get("order", 3), settings.get("alpha", 0.4))
     got = sorted(((r["doc_id"] is None, r["doc_id"], r["n_words"], r["log_score"]) for r in scores(df, **settings).collect()), key=repr)
     assert len(got) == len(rows)
     expected = sorted(((doc is None, doc, len(brute.words(text)), score) for (doc, text), score in zip(rows, want, strict=True)), key=repr)
@@ -20,15 +21,27 @@ def check(df, **settings):
         assert a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-9, abs_tol=1e-9)
 
 
-@pytest.mark.parametrize("order, min_count", [(1, 1), (2, 2), (3, 2), (4, 1)])
-def test_odd_documents(spark, monkeypatch, order, min_count):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_odd_documents(spark, monkeypatch, order):
     monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 2000)
     monkeypatch.setattr(lm_scoring, "PARTITION_BYTES", 1000)
-    check(odd.documents(spark, "n_words string, lang string"), order=order, min_count=min_count, alpha=0.5)
+    check(odd.documents(spark, "n_words string, lang string"), order=order, alpha=0.5)
 
 
 def test_given_documents(spark):
-    check(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), order=3)
+    check(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+
+
+def test_counts_by_text():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 1000):
+        hashes = rng.integers(0, 9, n, dtype=np.int64).astype(np.uint64) << np.uint64(60)  # alike in all but the highest bits
+        hashes = np.concatenate([hashes, hashes + np.uint64(1)])  # and in all but the lowest one, after these
+        text = np.concatenate([np.sort(rng.integers(0, 7, n))] * 2)
+        distinct, counts, which, own = lm_scoring._counted(hashes, text)
+        assert (np.diff(distinct.astype(object)) > 0).all() and (distinct[which] == hashes).all()
+        assert counts.tolist() == [int((hashes == h).sum()) for h in distinct]
+        assert own.tolist() == [int(((hashes == h) & (text == t)).sum()) for h, t in zip(hashes, text, strict=True)]
 
 
 def test_empty_tables(spark):
@@ -37,9 +50,14 @@ def test_empty_tables(spark):
     assert (one["n_words"], one["log_score"]) == (0, 0.0)
 
 
-def test_registered_query_uses_every_count_of_three_words(spark, tmp_path):
-    texts = ["a b c d", "a b c e", "x b c d", "a b q", "once only here"]
+def test_registered_query_backs_off_to_what_others_have(spark, tmp_path):
+    texts = ["a b c d", "a b c e", "x b c d", "a b q", "once only here", "once only here"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     query = next(query for name, query in QUERIES.items() if name.startswith("op8_"))
     got = [r["log_score"] for r in query(spark, str(tmp_path)).orderBy("doc_id").collect()]
-    assert got == pytest.approx(brute.backoff(texts, 3, 0.4, 1), abs=1e-6)
+    assert got == pytest.approx(brute.backoff(texts, 3, 0.4), abs=1e-6)
+    ln = math.log
+    total = 4 + 4 + 4 + 3 + 3 + 3
+    # q is no word of any other document: two orders given up, then the word, over the 18 others
+    assert got[3] == pytest.approx(ln(2 / 18) + ln(2 / 2) + 3 * ln(0.4) + ln(1 / 18), abs=1e-6)
+    assert got[4] == pytest.approx(ln(1 / (total - 3)) + ln(1 / 1) + ln(1 / 1), abs=1e-6)  # a copy of it is another document

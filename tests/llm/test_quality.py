@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from palletwatch.llm.quality import CLASSES, SENTENCE, SYMBOLS, WORDS, judged, measured
-from palletwatch.llm.quality_references import REFERENCES
 from palletwatch.llm.queries import QUERIES
 from tests.llm import brute, odd
 
@@ -36,14 +38,11 @@ def test_counts_of_odd_texts():
 
 
 def test_verdicts(spark):
-    good = [(i, "en", " ".join(["the house of", f"word{i}", "and a tree is in the", f"garden{i * 7 % 13}", "with"] * 1) + f" {i} " + " ".join(f"thing{j * (i + 1) % 97} the" for j in range(90))) for i in range(60)]
-    odd_rows = [(100, "en", " ".join(f"{j}%%%$" for j in range(300))), (101, None, "the " * 30), (102, "xx", "one two " * 3), (103, "en", None), (104, "en", "")]
-    df = spark.createDataFrame(good + odd_rows, "doc_id long, lang string, text string")
-    got = {r["doc_id"]: r for r in judged(df).collect()}
-    assert all(got[i]["kept"] for i in range(60))
+    rows = [(100, "en", " ".join(f"{j}%%%$" for j in range(300))), (101, None, "the " * 30), (102, "xx", "one two " * 3), (103, "en", None), (104, "en", "")]
+    got = {r["doc_id"]: r for r in judged(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
     assert not got[100]["base_failed"] and not got[100]["kept"]
     assert got[101]["base_failed"] and got[102]["base_failed"] and got[103]["base_failed"] and not got[104]["kept"]
-    assert got[102]["char_distance"] is None
+    assert got[102]["char_distance"] is None and got[102]["word_distance"] is None
 
 
 def test_odd_documents_and_empty_table(spark):
@@ -62,12 +61,34 @@ def test_copies_and_small_tables_do_not_move_the_registered_verdict(spark, tmp_p
         assert {(r["base_failed"], r["kept"]) for r in query(spark, f"{tmp_path}/{n}").collect()} == {(False, False)}
 
 
-def test_language_without_a_fixed_reference_is_compared_with_its_documents(spark):
-    rows = [(i, lang, " ".join(f"w{i * j % 89}" for j in range(1, 200))) for i in range(1, 40) for lang in ("xx", None)]
-    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
-    key = lambda r: (r["doc_id"], r["lang"] or "")
-    assert sorted(judged(df, REFERENCES).collect(), key=key) == sorted(judged(df).collect(), key=key)
-    assert judged(df, REFERENCES).filter("word_distance is null and n_words >= 100").count() == 0
+NONSENSE = " ".join("".join(random.Random(j).choices("aeioulnrstzkvbm", k=6)) for j in range(200))
+
+
+def test_a_verdict_depends_on_the_document_alone(spark):
+    tags = ["en", "EN", "en-US", " En_gb", None, "", "xx", "xx-YY"]
+    verdicts = []
+    for copies in (1, 40):
+        rows = [(i, tag, NONSENSE) for i, tag in enumerate(tags)] + [(100 + i, "xx", f"{NONSENSE} and{i}") for i in range(copies)]
+        got = judged(spark.createDataFrame(rows, "doc_id long, lang string, text string")).filter("doc_id < 100")
+        verdicts.append([(r["kept"], r["char_distance"] is None, r["word_distance"] is None) for r in got.orderBy("doc_id").collect()])
+    assert verdicts[0] == verdicts[1] == [(False, False, False)] * 6 + [(True, False, True)] * 2
+
+
+def test_a_text_without_a_tag_is_compared_with_the_nearest_reference(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text")
+    tagged = {r["doc_id"]: r for r in judged(docs).collect()}
+    for r in judged(docs.withColumn("lang", F.lit(None).cast("string"))).collect():
+        for name in ("char_distance", "word_distance"):
+            assert r[name] is None if tagged[r["doc_id"]][name] is None else r[name] <= tagged[r["doc_id"]][name]
+
+
+def test_clashing_columns_and_no_shuffle(spark):
+    names = "ref_lang string, ref_chars string, ref_common string, char_counts string, word_distance string, tag string, lang string"
+    got = judged(odd.documents(spark, names))
+    assert got.filter("ref_lang = '7' and ref_chars = '7' and ref_common = '7' and tag = '7'").count() == len(odd.TEXTS) + 3
+    assert dict(got.dtypes)["word_distance"] == "double"
+    plan = judged(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_registered_verdict_against_labels_not_fitted(spark):
