@@ -35,6 +35,7 @@ FOLLOWED = set(
     "article main nav header footer aside form menu dialog section div ul ol li table blockquote figure fieldset address "
     "details head span".split()
 )
+PARAGRAPHS = set("p li dd dt blockquote td th pre figcaption caption".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ASIDE_TAGS = set("nav footer aside form menu dialog head".split())
 MAIN_TAGS = {"article", "main"}
@@ -47,6 +48,16 @@ ASIDE_WORDS = set(
     "related recommended popular trending breadcrumb breadcrumbs pagination pager search widget widgets toolbar copyright legal "
     "disclaimer tags form".split()
 )
+# Of these, such as are common in names of an article's own parts. Inside an article they count only where all words of the name are
+# of this kind or say nothing: share, post-share-2, related-posts, but not form-description.
+LOOSE_WORDS = set(
+    "form related share sharing social tags search notice notices notification alert alerts discussion reply replies responses "
+    "recommended popular trending legal disclaimer copyright login widget widgets toolbar rail complementary contentinfo footer comment".split()
+)
+EMPTY_WORDS = set(
+    "post posts article articles story stories entry user users reader readers site page box boxes block blocks list section area "
+    "container wrapper inner outer item items button buttons link links bar panel group top bottom left right inline main body".split()
+)
 HEADER_WORDS = {"header", "siteheader", "pageheader"}  # as the element of that name
 MAIN_WORDS = set("article articlebody main maincontent content entry post story".split())
 # Beside one of the words above, these name a layout around it: has-sidebar, content-sidebar-wrap.
@@ -66,6 +77,8 @@ class Block:
     aside: bool  # inside something named as no part of an article
     main: bool  # inside an article
     heading: bool
+    paragraph: bool = False  # a paragraph, an item of a list, a quotation or a cell
+    named: bool = False  # an aside inside an article, for no more than a class or id
 
 
 @lru_cache(4096)
@@ -80,7 +93,8 @@ def _sort(name: str, tag: str, inside_main: bool) -> tuple[bool, bool, bool]:
                 if kind.lower() == "role":
                     roles |= found
                 elif not (found & LAYOUT_WORDS and found & (ASIDE_WORDS | HEADER_WORDS)):
-                    words |= found
+                    plain = {w for w in found - ASIDE_WORDS - EMPTY_WORDS if not any(c.isdigit() for c in w)}
+                    words |= found - LOOSE_WORDS if inside_main and plain else found
     inner = name in MAIN_TAGS
     firm = (
         name in ASIDE_TAGS or not inside_main and name == "header" or bool(roles & ASIDE_WORDS) and not inner
@@ -165,8 +179,9 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[tuple[str, bool]] = []
     open_: list[tuple[str, bool, bool, bool]] = []  # followed elements: name, and what was in force before
-    aside = firm = main = heading = False  # firm: an aside for more than a class or id
-    alone = False  # the block that is open is an aside by itself
+    aside = firm = main = heading = paragraph = False  # firm: an aside for more than a class or id
+    outside = False  # the aside began outside an article
+    alone = alone_firm = False  # the block that is open is an aside by itself
     links = False
 
     def flush() -> None:
@@ -174,7 +189,7 @@ def blocks(page: str) -> list[Block]:
         words = (html.unescape(whole) if "&" in whole else whole).split()
         if words:
             linked = sum([len(part.split()) for part, inside in parts if inside])
-            found.append(Block(" ".join(words), len(words), min(linked, len(words)), aside or alone, main, heading))
+            found.append(Block(" ".join(words), len(words), min(linked, len(words)), aside or alone, main, heading, paragraph, not (firm or alone_firm or aside and outside)))
         parts.clear()
 
     pieces = TOKEN.split(page)
@@ -198,7 +213,8 @@ def blocks(page: str) -> list[Block]:
                 flush()
             links = False
             heading = not closing and name in HEADINGS
-            alone = not closing and name not in FOLLOWED and "=" in tag and _sort(name, tag, main)[0]
+            paragraph = not closing and name in PARAGRAPHS
+            alone, alone_firm = _sort(name, tag, main)[:2] if not closing and name not in FOLLOWED and "=" in tag else (False, False)
             if name == "body":
                 open_, aside, firm, main = [], False, False, False
         if name not in FOLLOWED:
@@ -219,7 +235,7 @@ def blocks(page: str) -> list[Block]:
             if to_aside and not aside:
                 if name == "span" and parts:
                     flush()
-                aside, firm = True, to_firm
+                aside, firm, outside = True, to_firm, not main
             elif to_firm:
                 firm = True
             elif aside and not firm and not main and name in MAIN_TAGS and not _is_named_aside(tag):
@@ -228,4 +244,7 @@ def blocks(page: str) -> list[Block]:
                 main = True
     if parts:
         flush()
+    if not any(block.main and not block.aside for block in found):  # all of an article cannot stand beside it
+        for block in found:
+            block.aside &= not (block.main and block.named)
     return found

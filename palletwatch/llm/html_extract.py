@@ -1,8 +1,9 @@
 """Main text of web pages: flat blocks, each judged by a small decision tree.
 
 A block is described by its words and link density, those of its neighbours, and
-whether it stands inside an article or inside something named as not part of one. The tree is
-grown on the labelled table below.
+whether it stands inside an article or inside something named as not part of one, and whether it is a heading or a paragraph
+(item, quotation, cell), in which links are text, while a bare row of links leads elsewhere. The tree is
+grown on the labelled table below, whose rows are cut from the pages of ``tests/llm/labelled_pages.py``.
 """
 
 from __future__ import annotations
@@ -18,49 +19,85 @@ from palletwatch.llm.html_blocks import Block, blocks
 from palletwatch.llm.rows import with_columns
 
 FEATURES = (
-    "words", "density", "words before", "density before", "words after", "density after", "aside", "main", "heading"
+    "words", "density", "words before", "density before", "words after", "density after", "aside", "main", "heading",
+    "paragraph",
 )
-# Labelled blocks, by hand: the features in the order above, then 1 for text of the article.
+# Labelled blocks: the features in the order above, then 1 for text of the article.
 # fmt: off
 LABELLED = (
-    # menus, in a list or bare
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (2, 1.0, 1, 1.0, 7, 0.0, 1, 0, 0, 0),
-    (3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (6, 1.0, 0, 0.0, 5, 1.0, 0, 0, 0, 0), (8, 0.9, 9, 1.0, 3, 1.0, 0, 0, 0, 0),
-    (1, 1.0, 1, 1.0, 40, 0.0, 0, 0, 0, 0), (4, 1.0, 60, 0.0, 4, 1.0, 0, 0, 0, 0), (30, 0.95, 2, 0.0, 12, 0.0, 0, 0, 0, 0),
-    (12, 1.0, 3, 0.0, 11, 1.0, 0, 0, 0, 0), (25, 0.7, 4, 0.0, 30, 0.8, 0, 0, 0, 0), (18, 0.6, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
-    # adverts, notices, sidebars, forms and comments that are named so, short and long
-    (6, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0), (12, 0.0, 1, 1.0, 60, 0.0, 1, 0, 0, 0), (45, 0.0, 80, 0.0, 70, 0.0, 1, 1, 0, 0),
-    (3, 0.0, 60, 0.0, 45, 0.0, 1, 1, 1, 0), (90, 0.0, 3, 0.0, 4, 0.0, 1, 0, 0, 0), (150, 0.0, 20, 0.0, 9, 0.0, 1, 1, 0, 0),
-    (20, 0.3, 5, 0.0, 9, 0.0, 1, 0, 0, 0), (8, 0.0, 2, 0.0, 3, 0.0, 1, 0, 0, 0), (60, 0.0, 9, 0.0, 50, 0.0, 1, 0, 0, 0),
-    (2, 0.0, 100, 0.0, 30, 0.0, 1, 1, 0, 0), (5, 0.0, 0, 0.0, 2, 1.0, 1, 0, 1, 0), (25, 0.1, 12, 0.0, 0, 0.0, 1, 0, 0, 0),
-    # page headers and footers
-    (5, 0.2, 40, 0.0, 0, 0.0, 1, 0, 0, 0), (11, 0.0, 80, 0.0, 0, 0.0, 1, 0, 0, 0), (16, 0.0, 4, 0.0, 0, 0.0, 1, 0, 0, 0),
-    (4, 0.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0), (7, 0.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0), (9, 0.0, 4, 1.0, 0, 0.0, 0, 0, 0, 0),
-    (5, 0.0, 2, 0.5, 4, 0.5, 0, 0, 0, 0), (10, 0.4, 30, 0.0, 0, 0.0, 0, 0, 0, 0), (6, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (4, 0.0, 5, 0.0, 6, 0.0, 0, 0, 0, 0), (2, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 0),
-    # lists of links inside an article
-    (5, 1.0, 6, 1.0, 4, 1.0, 0, 1, 0, 0), (9, 1.0, 3, 0.0, 8, 1.0, 0, 1, 0, 0), (7, 1.0, 8, 1.0, 90, 0.0, 0, 1, 0, 0),
-    (4, 1.0, 5, 1.0, 0, 0.0, 0, 1, 0, 0), (6, 1.0, 50, 0.0, 7, 1.0, 0, 1, 0, 0), (10, 1.0, 9, 1.0, 12, 0.0, 0, 1, 0, 0),
-    # an article's headings and paragraphs, short ones too
-    (8, 0.0, 12, 0.0, 60, 0.0, 0, 1, 1, 1), (2, 0.0, 6, 0.0, 2, 0.0, 0, 1, 1, 1), (1, 0.0, 7, 0.0, 1, 0.0, 0, 1, 1, 1),
-    (2, 0.0, 2, 0.0, 14, 0.0, 0, 1, 0, 1), (1, 0.0, 9, 0.0, 11, 0.0, 0, 1, 0, 1), (4, 0.0, 30, 0.0, 50, 0.0, 0, 1, 0, 1),
-    (14, 0.0, 9, 0.0, 3, 0.0, 0, 1, 0, 1), (40, 0.0, 14, 0.0, 8, 0.0, 0, 1, 0, 1), (120, 0.0, 40, 0.0, 12, 0.0, 0, 1, 0, 1),
-    (300, 0.0, 2, 0.0, 6, 0.0, 0, 1, 0, 1), (35, 0.2, 20, 0.0, 60, 0.1, 0, 1, 0, 1), (50, 0.4, 60, 0.0, 44, 0.0, 0, 1, 0, 1),
-    (3, 0.0, 1, 1.0, 40, 0.0, 0, 1, 1, 1), (25, 0.0, 3, 1.0, 5, 1.0, 0, 1, 0, 1), (12, 0.5, 30, 0.0, 25, 0.0, 0, 1, 0, 1),
-    (6, 0.3, 6, 0.2, 7, 0.0, 0, 1, 0, 1), (4, 1.0, 60, 0.0, 70, 0.0, 0, 1, 0, 1), (3, 1.0, 25, 0.0, 30, 0.0, 0, 1, 0, 1),
-    # short ones before or after little text, and among asides inside the article
-    (1, 0.0, 2, 0.0, 0, 0.0, 0, 1, 0, 1), (2, 0.0, 1, 0.0, 2, 0.0, 0, 1, 0, 1), (3, 0.0, 40, 0.0, 1, 0.0, 0, 1, 0, 1),
-    (5, 0.0, 5, 0.0, 3, 0.0, 0, 1, 0, 1), (6, 0.0, 15, 0.0, 4, 0.0, 0, 1, 0, 1), (7, 0.0, 3, 0.0, 0, 0.0, 0, 1, 0, 1),
-    (9, 0.0, 9, 0.0, 2, 1.0, 0, 1, 0, 1), (11, 0.0, 1, 1.0, 4, 0.0, 0, 1, 0, 1), (13, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1),
-    (20, 0.0, 5, 1.0, 1, 0.0, 0, 1, 0, 1), (28, 0.0, 28, 0.0, 4, 0.0, 0, 1, 0, 1), (33, 0.0, 4, 0.0, 6, 0.2, 0, 1, 0, 1),
-    (10, 0.0, 4, 0.0, 10, 0.0, 0, 1, 1, 1), (1, 0.0, 60, 0.0, 60, 0.0, 0, 1, 1, 1), (4, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 1),
-    (70, 0.0, 70, 0.0, 5, 0.0, 0, 1, 0, 1), (64, 0.0, 1, 0.0, 2, 0.0, 0, 1, 0, 1), (2, 0.0, 4, 0.0, 4, 0.0, 0, 1, 0, 1),
-    (6, 0.0, 2, 1.0, 2, 1.0, 0, 1, 0, 1), (8, 0.5, 3, 0.0, 4, 0.0, 0, 1, 0, 1), (16, 0.4, 2, 0.0, 3, 1.0, 0, 1, 0, 1),
-    # the same where nothing names an article: long blocks, and short ones between them
-    (80, 0.0, 3, 1.0, 60, 0.0, 0, 0, 0, 1), (60, 0.1, 80, 0.0, 50, 0.0, 0, 0, 0, 1), (45, 0.0, 60, 0.1, 5, 0.5, 0, 0, 0, 1),
-    (150, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 1), (30, 0.0, 8, 0.0, 40, 0.0, 0, 0, 0, 1), (22, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 1),
-    (9, 0.0, 60, 0.0, 80, 0.0, 0, 0, 0, 1), (5, 0.0, 45, 0.0, 60, 0.0, 0, 0, 1, 1), (8, 0.0, 2, 1.0, 70, 0.0, 0, 0, 1, 1),
-    (14, 0.0, 40, 0.0, 30, 0.0, 0, 0, 0, 1), (35, 0.3, 50, 0.0, 60, 0.0, 0, 0, 0, 1), (25, 0.0, 5, 1.0, 30, 0.0, 0, 0, 0, 1),
+    (3, 0.33, 0, 0.0, 1, 1.0, 1, 0, 0, 0, 0), (1, 1.0, 3, 0.33, 2, 1.0, 1, 0, 0, 1, 0), (2, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1, 0),
+    (1, 1.0, 2, 1.0, 30, 0.0, 1, 0, 0, 1, 0), (30, 0.0, 1, 1.0, 5, 0.0, 1, 0, 0, 0, 0), (5, 0.0, 30, 0.0, 60, 0.0, 0, 1, 1, 0, 1),
+    (60, 0.0, 5, 0.0, 3, 0.0, 0, 1, 0, 1, 1), (3, 0.0, 60, 0.0, 12, 0.0, 0, 1, 0, 1, 1),
+    (12, 0.0, 3, 0.0, 25, 0.0, 1, 1, 0, 0, 0), (25, 0.0, 12, 0.0, 8, 0.0, 0, 1, 0, 1, 1),
+    (8, 0.0, 25, 0.0, 45, 0.0, 0, 1, 0, 1, 1), (45, 0.0, 8, 0.0, 1, 0.0, 1, 1, 0, 0, 0),
+    (1, 0.0, 45, 0.0, 140, 0.0, 0, 1, 0, 1, 1), (140, 0.0, 1, 0.0, 4, 0.0, 0, 1, 0, 1, 1),
+    (4, 0.0, 140, 0.0, 90, 0.0, 1, 0, 0, 1, 0), (90, 0.0, 4, 0.0, 6, 0.0, 1, 0, 0, 1, 0),
+    (6, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0, 0, 0), (4, 1.0, 0, 0.0, 10, 1.0, 0, 1, 1, 0, 1),
+    (10, 1.0, 4, 1.0, 21, 0.43, 0, 1, 0, 1, 1), (21, 0.43, 10, 1.0, 1, 0.0, 0, 1, 0, 1, 1),
+    (1, 0.0, 21, 0.43, 5, 1.0, 0, 1, 1, 0, 1), (5, 1.0, 1, 0.0, 9, 1.0, 0, 1, 0, 1, 1), (9, 1.0, 5, 1.0, 7, 1.0, 0, 1, 0, 1, 1),
+    (7, 1.0, 9, 1.0, 1, 1.0, 0, 1, 0, 1, 1), (1, 1.0, 7, 1.0, 6, 0.0, 0, 1, 0, 1, 1), (6, 0.0, 1, 1.0, 17, 0.82, 0, 1, 0, 1, 1),
+    (17, 0.82, 6, 0.0, 20, 1.0, 0, 1, 0, 1, 1), (20, 1.0, 17, 0.82, 3, 1.0, 0, 1, 0, 1, 1),
+    (3, 1.0, 20, 1.0, 6, 1.0, 0, 1, 0, 0, 0), (6, 1.0, 3, 1.0, 7, 1.0, 0, 1, 0, 0, 0), (7, 1.0, 6, 1.0, 0, 0.0, 1, 0, 0, 0, 0),
+    (1, 0.0, 0, 0.0, 4, 1.0, 0, 1, 1, 0, 1), (4, 1.0, 1, 0.0, 2, 0.5, 0, 1, 0, 1, 1), (2, 0.5, 4, 1.0, 5, 0.6, 0, 1, 0, 1, 1),
+    (5, 0.6, 2, 0.5, 2, 1.0, 0, 1, 0, 1, 1), (2, 1.0, 5, 0.6, 0, 0.0, 0, 1, 0, 1, 1), (30, 0.0, 0, 0.0, 10, 0.5, 0, 1, 0, 1, 1),
+    (10, 0.5, 30, 0.0, 7, 0.86, 0, 1, 0, 1, 1), (7, 0.86, 10, 0.5, 0, 0.0, 0, 1, 0, 1, 1),
+    (3, 0.0, 0, 0.0, 2, 1.0, 0, 1, 0, 1, 1), (2, 1.0, 3, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (20, 0.0, 0, 0.0, 9, 0.0, 0, 1, 0, 1, 1),
+    (9, 0.0, 20, 0.0, 3, 1.0, 0, 1, 0, 1, 1), (3, 1.0, 9, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (2, 1.0, 0, 0.0, 50, 0.0, 0, 1, 0, 0, 0),
+    (50, 0.0, 2, 1.0, 1, 1.0, 0, 1, 0, 1, 1), (1, 1.0, 50, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (40, 0.0, 0, 0.0, 12, 1.0, 0, 1, 0, 1, 1),
+    (12, 1.0, 40, 0.0, 60, 0.0, 0, 1, 0, 1, 1), (60, 0.0, 12, 1.0, 15, 0.6, 0, 1, 0, 1, 1),
+    (15, 0.6, 60, 0.0, 30, 0.0, 0, 1, 0, 1, 1), (30, 0.0, 15, 0.6, 30, 0.67, 0, 1, 0, 1, 1),
+    (30, 0.67, 30, 0.0, 2, 1.0, 0, 1, 0, 1, 1), (2, 1.0, 30, 0.67, 5, 0.0, 0, 1, 0, 1, 1),
+    (5, 0.0, 2, 1.0, 9, 0.56, 0, 1, 0, 1, 1), (9, 0.56, 5, 0.0, 90, 0.0, 0, 1, 0, 1, 1),
+    (90, 0.0, 9, 0.56, 14, 1.0, 0, 1, 0, 1, 1), (14, 1.0, 90, 0.0, 3, 1.0, 0, 1, 0, 1, 1),
+    (3, 1.0, 14, 1.0, 7, 0.0, 0, 1, 0, 1, 1), (7, 0.0, 3, 1.0, 0, 0.0, 0, 1, 0, 1, 1), (60, 0.0, 0, 0.0, 14, 0.64, 0, 1, 0, 1, 1),
+    (14, 0.64, 60, 0.0, 70, 0.0, 0, 1, 0, 1, 1), (70, 0.0, 14, 0.64, 11, 0.45, 0, 1, 0, 1, 1),
+    (11, 0.45, 70, 0.0, 55, 0.0, 0, 1, 0, 1, 1), (55, 0.0, 11, 0.45, 11, 0.73, 0, 1, 0, 1, 1),
+    (11, 0.73, 55, 0.0, 80, 0.0, 0, 1, 0, 1, 1), (80, 0.0, 11, 0.73, 27, 0.63, 0, 1, 0, 1, 1),
+    (27, 0.63, 80, 0.0, 3, 0.0, 0, 1, 0, 1, 1), (3, 0.0, 27, 0.63, 0, 0.0, 0, 1, 0, 1, 1),
+    (30, 0.0, 0, 0.0, 14, 0.64, 0, 1, 0, 0, 1), (14, 0.64, 30, 0.0, 44, 0.0, 0, 1, 0, 0, 1),
+    (44, 0.0, 14, 0.64, 23, 0.48, 0, 1, 0, 0, 1), (23, 0.48, 44, 0.0, 0, 0.0, 0, 1, 0, 0, 1),
+    (25, 0.0, 0, 0.0, 30, 0.0, 0, 1, 0, 1, 1), (30, 0.0, 25, 0.0, 4, 1.0, 1, 1, 0, 1, 0),
+    (4, 1.0, 30, 0.0, 10, 1.0, 1, 1, 0, 1, 0), (10, 1.0, 4, 1.0, 2, 1.0, 1, 1, 0, 1, 0),
+    (2, 1.0, 10, 1.0, 33, 0.0, 1, 1, 0, 0, 0), (33, 0.0, 2, 1.0, 2, 1.0, 0, 1, 0, 1, 1), (2, 1.0, 33, 0.0, 1, 1.0, 1, 1, 0, 1, 0),
+    (1, 1.0, 2, 1.0, 0, 0.0, 1, 1, 0, 1, 0), (45, 0.0, 0, 0.0, 60, 0.0, 0, 0, 0, 0, 1),
+    (60, 0.0, 45, 0.0, 14, 0.64, 0, 0, 0, 0, 1), (14, 0.64, 60, 0.0, 5, 0.6, 0, 0, 0, 0, 0),
+    (5, 0.6, 14, 0.64, 2, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 5, 0.6, 0, 0.0, 0, 0, 0, 0, 0), (45, 0.0, 0, 0.0, 60, 0.0, 0, 0, 0, 1, 1),
+    (60, 0.0, 45, 0.0, 11, 0.73, 0, 0, 0, 1, 1), (11, 0.73, 60, 0.0, 6, 0.83, 0, 0, 0, 1, 0),
+    (6, 0.83, 11, 0.73, 2, 1.0, 0, 0, 0, 1, 0), (2, 1.0, 6, 0.83, 0, 0.0, 0, 0, 0, 1, 0), (2, 0.0, 0, 0.0, 4, 0.0, 0, 1, 1, 0, 1),
+    (4, 0.0, 2, 0.0, 2, 0.0, 0, 1, 0, 1, 1), (2, 0.0, 4, 0.0, 1, 0.0, 0, 1, 0, 1, 1), (1, 0.0, 2, 0.0, 0, 0.0, 0, 1, 0, 1, 1),
+    (3, 0.0, 0, 0.0, 3, 1.0, 0, 1, 0, 0, 1), (3, 1.0, 3, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (2, 1.0, 0, 0.0, 18, 0.0, 0, 0, 0, 0, 0),
+    (18, 0.0, 2, 1.0, 1, 1.0, 0, 1, 0, 1, 1), (1, 1.0, 18, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (1, 0.0, 0, 0.0, 1, 0.0, 0, 1, 0, 1, 1),
+    (1, 0.0, 1, 0.0, 2, 0.0, 0, 1, 0, 1, 1), (2, 0.0, 1, 0.0, 9, 0.0, 0, 1, 0, 1, 1), (9, 0.0, 2, 0.0, 0, 0.0, 0, 1, 0, 0, 1),
+    (50, 0.0, 0, 0.0, 9, 0.22, 0, 1, 0, 0, 1), (9, 0.22, 50, 0.0, 2, 0.0, 0, 1, 0, 0, 1),
+    (2, 0.0, 9, 0.22, 1, 1.0, 0, 1, 0, 1, 1), (1, 1.0, 2, 0.0, 0, 0.0, 0, 1, 0, 1, 1), (35, 0.0, 0, 0.0, 70, 0.0, 0, 1, 0, 1, 1),
+    (70, 0.0, 35, 0.0, 20, 0.0, 1, 1, 0, 1, 0), (20, 0.0, 70, 0.0, 8, 1.0, 1, 1, 0, 1, 0),
+    (8, 1.0, 20, 0.0, 40, 0.0, 1, 1, 0, 1, 0), (40, 0.0, 8, 1.0, 25, 0.0, 0, 1, 0, 1, 1),
+    (25, 0.0, 40, 0.0, 0, 0.0, 1, 0, 0, 0, 0), (2, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 2, 0.0, 1, 1.0, 0, 0, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 1, 1.0, 6, 0.0, 0, 0, 0, 0, 0), (6, 0.0, 2, 1.0, 45, 0.0, 0, 0, 1, 0, 1),
+    (45, 0.0, 6, 0.0, 30, 0.0, 0, 0, 0, 1, 1), (30, 0.0, 45, 0.0, 9, 0.0, 0, 0, 0, 1, 1),
+    (9, 0.0, 30, 0.0, 60, 0.0, 0, 0, 0, 1, 1), (60, 0.0, 9, 0.0, 2, 1.0, 0, 0, 0, 1, 1), (2, 1.0, 60, 0.0, 3, 1.0, 0, 0, 0, 0, 0),
+    (3, 1.0, 2, 1.0, 7, 0.0, 0, 0, 0, 0, 0), (7, 0.0, 3, 1.0, 1, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 7, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
+    (3, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 3, 0.0, 2, 1.0, 0, 0, 0, 1, 0), (2, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 1, 0),
+    (1, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 1, 0), (4, 1.0, 1, 1.0, 80, 0.0, 0, 0, 0, 1, 0), (80, 0.0, 4, 1.0, 27, 0.19, 0, 0, 0, 0, 1),
+    (27, 0.19, 80, 0.0, 55, 0.0, 0, 0, 0, 0, 1), (55, 0.0, 27, 0.19, 2, 0.0, 0, 0, 0, 0, 1),
+    (2, 0.0, 55, 0.0, 6, 1.0, 0, 0, 1, 0, 0), (6, 1.0, 2, 0.0, 8, 1.0, 0, 0, 0, 1, 0), (8, 1.0, 6, 1.0, 5, 1.0, 0, 0, 0, 1, 0),
+    (5, 1.0, 8, 1.0, 11, 1.0, 0, 0, 0, 1, 0), (11, 1.0, 5, 1.0, 9, 0.0, 0, 0, 0, 1, 0), (9, 0.0, 11, 1.0, 1, 1.0, 0, 0, 0, 0, 0),
+    (1, 1.0, 9, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 3, 1.0, 0, 0, 0, 1, 0), (3, 1.0, 1, 1.0, 150, 0.0, 0, 0, 0, 1, 0),
+    (150, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 1, 1), (2, 1.0, 150, 0.0, 4, 0.0, 0, 0, 0, 1, 0), (4, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 1, 0),
+    (1, 1.0, 4, 0.0, 12, 1.0, 0, 0, 0, 1, 0), (12, 1.0, 1, 1.0, 0, 0.0, 0, 0, 0, 1, 0), (3, 1.0, 0, 0.0, 25, 1.0, 0, 0, 0, 1, 0),
+    (25, 1.0, 3, 1.0, 4, 0.0, 0, 0, 0, 1, 0), (4, 0.0, 25, 1.0, 35, 0.0, 0, 0, 1, 0, 1),
+    (35, 0.0, 4, 0.0, 14, 0.0, 0, 0, 0, 1, 1), (14, 0.0, 35, 0.0, 40, 0.0, 0, 0, 0, 1, 1),
+    (40, 0.0, 14, 0.0, 5, 0.0, 0, 0, 0, 1, 1), (5, 0.0, 40, 0.0, 70, 0.0, 0, 0, 0, 1, 1),
+    (70, 0.0, 5, 0.0, 9, 1.0, 0, 0, 0, 1, 1), (9, 1.0, 70, 0.0, 11, 0.45, 0, 0, 0, 1, 0),
+    (11, 0.45, 9, 1.0, 0, 0.0, 0, 0, 0, 1, 0), (4, 1.0, 0, 0.0, 25, 0.0, 0, 0, 0, 0, 0),
+    (25, 0.0, 4, 1.0, 20, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 25, 0.0, 2, 1.0, 0, 0, 0, 0, 1),
+    (2, 1.0, 20, 0.0, 10, 0.0, 0, 0, 0, 0, 0), (10, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (3, 1.0, 10, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
+    (7, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (40, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 0, 0.0, 6, 0.0, 0, 0, 0, 1, 1),
+    (6, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 1, 1), (2, 0.0, 0, 0.0, 3, 0.0, 0, 0, 0, 1, 1), (3, 0.0, 2, 0.0, 4, 0.0, 0, 0, 0, 1, 1),
+    (4, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 1, 1), (16, 0.0, 0, 0.0, 11, 0.0, 0, 0, 0, 0, 1), (11, 0.0, 16, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (2, 1.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (3, 1.0, 0, 0.0, 4, 1.0, 0, 0, 0, 1, 0), (4, 1.0, 3, 1.0, 0, 0.0, 0, 0, 0, 1, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 1, 0), (1, 1.0, 1, 1.0, 0, 0.0, 0, 0, 0, 1, 0),
 )
 # fmt: on
 DEPTH = 8
@@ -110,7 +147,7 @@ def describe(found: Sequence[Block]) -> list[tuple[float, ...]]:
     """The features of each block; beyond the first and last there are no words."""
     shape = [(0, 0.0), *((b.words, b.linked / b.words) for b in found), (0, 0.0)]
     return [
-        (*shape[i + 1], *shape[i], *shape[i + 2], b.aside, b.main, b.heading) for i, b in enumerate(found)
+        (*shape[i + 1], *shape[i], *shape[i + 2], b.aside, b.main, b.heading, b.paragraph) for i, b in enumerate(found)
     ]
 
 

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 from palletwatch.llm.html_blocks import blocks
-from palletwatch.llm.html_extract import LABELLED, describe, extracted, main_text, tree
+from palletwatch.llm.html_extract import FEATURES, LABELLED, describe, extracted, main_text, tree
+from tests.llm import labelled_pages
 
 PAGE = """<!DOCTYPE html><html><head><title>Site</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head>
 <body class=home><header class="site-header"><a href=/>Home</a> Our site</header><nav><ul><li><a href="/a">One</a><li><a href='/b'>Two</a></ul></nav>
@@ -71,9 +72,42 @@ def test_tree_learns_its_table():
         assert node.answer == row[-1]
 
 
+def test_the_table_is_cut_from_the_labelled_pages():
+    assert list(LABELLED) == labelled_pages.rows()
+
+
+def test_the_tree_asks_about_neighbours_and_links():
+    asked, left = set(), [tree()]
+    while left:
+        node = left.pop()
+        if node.below:
+            asked.add(FEATURES[node.feature])
+            left += [node.below, node.above]
+    assert {"aside", "main", "density"} <= asked and asked & {"density before", "density after"} and asked & {"words before", "words after"}
+
+
+LINKED = '<p><a href="/r">Read the full report by the committee on this matter</a></p>'
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article><p>one two</p>{LINKED}<p>three</p></article>", "one two\nRead the full report by the committee on this matter\nthree"),
+    ('<article><h2>References</h2><ol><li><a href=a>A first work</a><li><a href=b>Another</a>, 2020</ol></article>', "References\nA first work\nAnother, 2020"),
+    ('<article><h1>How to</h1><div class="form-description"><p>Fill in all fields.</p></div><p>Then send it.</p></article>', "How to\nFill in all fields.\nThen send it."),
+    ('<article><div class="form-description"><p>Fill in all fields.</p></div></article>', "Fill in all fields."),
+    ('<article><div class="post-share-2 related-to-text"><p>one two three</p><p>four five</p></div></article>', "one two three\nfour five"),
+    ('<article><p>one two three</p><div class="related-posts"><p>another story</p></div><div class="social share"><p>tell it</p></div></article>', "one two three"),
+    ('<article><p>one two</p><div class="ad-300x250"><p>buy it</p></div><section class="reader-comments"><p>I agree</p></section></article>', "one two"),
+    ("seven words that stand there without tags", "seven words that stand there without tags"),
+    ("<html><body>one line</body></html>", "one line"),
+    ('<article><p>one two three</p><div><a href=a>Previous</a> <a href=b>Next</a></div></article>', "one two three"),
+])
+def test_links_and_names_inside_an_article(page, want):
+    assert main_text(page) == want
+
+
 def test_neighbours():
     found = blocks("<p>one two</p><p><a href=x>three</a></p>")
-    assert [f[:6] for f in describe(found)] == [(2, 0.0, 0, 0.0, 1, 1.0), (1, 1.0, 2, 0.0, 0, 0.0)]
+    assert [tuple(f[:6]) for f in describe(found)] == [(2, 0.0, 0, 0.0, 1, 1.0), (1, 1.0, 2, 0.0, 0, 0.0)]
 
 
 def test_query_against_the_template(spark):
