@@ -5,7 +5,7 @@ it and reaches farthest to the right; a token that ends where that one ends is i
 pointers (each to where its target points) takes every token to the last one of its group, which labels it.
 
 A text is cut where white space begins with a space; neither tokenizer has a token across such a place. Each distinct
-chunk is encoded and aligned once in a task, new ones together as one text, and its figures are joined back by position. How often an id pair is linked
+chunk is encoded and aligned once in a task, new ones together, and its figures are joined back by position. How often an id pair is linked
 is counted in a first pass over the texts and used in a second one. One id's bytes end with the other's in every linked
 pair, so there are never more of them than ``most_pairs``, however many texts there are.
 """
@@ -17,6 +17,7 @@ import json
 import os
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from palletwatch.llm.blocks import pieces
 from palletwatch.llm.rows import SLICE_BYTES, with_columns
 from palletwatch.llm.sentencepiece_ids import MARK, splits_at_marks
 
-TABLE_ENTRIES = 120_000  # distinct chunks a task keeps; a full table is begun anew
+TABLE_ENTRIES = 300_000  # distinct chunks a task keeps; a full table is begun anew
 FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 ADDED = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -166,13 +167,14 @@ class AlignmentTable:
         """Both sides of chunks that may stand in one text, and how many ids each has; None if a side does not give the bytes."""
         text = "".join(chunks)
         a = np.array(self.ranks.encode_ordinary(text), np.int64)
-        b = np.array(self.b.encode(text[1:], out_type=int), np.int64)
+        each = self.b.encode([chunk[1:] for chunk in chunks], out_type=int, num_threads=1)
+        n_b = np.fromiter(map(len, each), np.int64, len(chunks))
+        b = np.fromiter(chain.from_iterable(each), np.int64, int(n_b.sum()))
         data = text.encode()
         if not b"".join(map(self.a_bytes.__getitem__, a.tolist())) == data == b"".join(map(self.b_bytes.__getitem__, b.tolist())):
             return None
-        ends = np.cumsum(np.fromiter((len(chunk.encode()) for chunk in chunks), np.int64, len(chunks)))
-        to = [np.searchsorted(np.cumsum(length[ids]), ends) + 1 for ids, length in ((a, self.a_length), (b, self.b_length))]
-        return a, np.diff(to[0], prepend=0), b, np.diff(to[1], prepend=0)
+        size = np.add.reduceat(self.b_length[b], np.cumsum(n_b) - n_b)  # of each chunk, whose bytes are B's
+        return a, np.diff(np.searchsorted(np.cumsum(self.a_length[a]), np.cumsum(size)) + 1, prepend=0), b, n_b
 
     def add(self, chunks: Sequence[str]) -> None:
         """Encodes and aligns the chunks that are new, each once."""
