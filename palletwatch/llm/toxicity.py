@@ -40,7 +40,7 @@ GAIN = 200.0  # the mean is multiplied by this, since few of a text's n-grams te
 DECAY = 1e-3
 PADDING = 300  # n-grams without a vector that every mean also counts, so that a few words are no strong evidence
 THRESHOLD = 0.3
-PARTS = 4  # of the training texts, each left out once for the curve
+PARTS = 3  # of the training texts, each left out once for the curve
 FEW = 20  # texts of either class that a curve needs at least
 TELLING = 3  # words of a text that add most
 SLICE_CHARS = 1 << 19
@@ -169,18 +169,35 @@ def _counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     return rows.astype(np.int32), counts
 
 
-def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Model:
-    """Vectors and softmax by stochastic gradients (Adagrad) over shuffled batches; no curve."""
+def _prepared(texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each text the rows of its n-grams that ``MIN_TEXTS`` texts have, how often they occur, and all n-grams."""
     used_by = np.zeros(ROWS, np.int64)
     for text in texts:
         used_by[_counted(text)[0]] += 1
-    often = used_by >= MIN_TEXTS
-    place = np.cumsum(often) - 1
-    kept_rows, kept_weights = [], []
+    often, out = used_by >= MIN_TEXTS, []
     for text in texts:  # once more, so that only what is kept is ever held
         rows, counts = _counted(text)
-        kept_rows.append(place[rows[often[rows]]].astype(np.int32))
-        kept_weights.append((counts[often[rows]] * (GAIN / (counts.sum() + PADDING))).astype(np.float32))
+        kept = often[rows]
+        out.append((rows[kept], counts[kept].astype(np.float32), int(counts.sum())))
+    return out
+
+
+def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Model:
+    """Vectors and softmax by stochastic gradients (Adagrad) over shuffled batches; no curve."""
+    return _train(_prepared(texts), labels, seed)
+
+
+def _train(prepared: Sequence[tuple[np.ndarray, np.ndarray, int]], labels: Sequence[int], seed: int) -> Model:
+    used_by = np.zeros(ROWS, np.int64)
+    for rows, _, _ in prepared:
+        used_by[rows] += 1
+    often = used_by >= MIN_TEXTS
+    place = (np.cumsum(often) - 1).astype(np.int32)
+    kept_rows, kept_weights = [], []
+    for rows, counts, total in prepared:
+        kept = often[rows]
+        kept_rows.append(place[rows[kept]])
+        kept_weights.append(counts[kept] * np.float32(GAIN / (total + PADDING)))
     y = np.asarray(labels, np.int64)
     share = np.bincount(y, minlength=2) / max(len(y), 1)
     if not len(y) or not share.all():  # nothing to tell apart
@@ -225,8 +242,8 @@ def train_with_curve(texts: Sequence[str], labels: Sequence[int], seed: int = 7)
 
     Equal texts are left out together. Fewer than ``FEW`` texts of a class give no curve.
     """
-    model = train(texts, labels, seed)
-    y = np.asarray(labels, np.int64)
+    prepared, y = _prepared(texts), np.asarray(labels, np.int64)
+    model = _train(prepared, y, seed)
     part = np.array([zlib.crc32(text.encode("utf-8", "surrogatepass")) % PARTS for text in texts], np.int64)
     if min(np.bincount(y, minlength=2)) < FEW:
         return model
@@ -234,7 +251,7 @@ def train_with_curve(texts: Sequence[str], labels: Sequence[int], seed: int = 7)
     for k in range(PARTS):
         rest, left = np.flatnonzero(part != k), np.flatnonzero(part == k)
         if len(left):
-            features[left] = train([texts[i] for i in rest], y[rest], seed).features([texts[i] for i in left])
+            features[left] = _train([prepared[i] for i in rest], y[rest], seed).features([texts[i] for i in left])
     return Model(model.rows, 0.0, Curve.fit(features, y))
 
 
