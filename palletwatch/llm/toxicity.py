@@ -166,75 +166,90 @@ def _counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The rows of a text's n-grams, each once, and how often they occur."""
     grams, _ = ngrams([text])
     rows, counts = np.unique(np.concatenate([rows[valid] for rows, valid in grams]), return_counts=True)
-    return rows.astype(np.int32), counts
+    return rows.astype(np.int32), counts.astype(np.int32)
 
 
-def _prepared(texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """For each text the rows of its n-grams that ``MIN_TEXTS`` texts have, how often they occur, and all n-grams."""
-    used_by = np.zeros(ROWS, np.int64)
-    for text in texts:
-        used_by[_counted(text)[0]] += 1
-    often, out = used_by >= MIN_TEXTS, []
-    for text in texts:  # once more, so that only what is kept is ever held
-        rows, counts = _counted(text)
-        kept = often[rows]
-        out.append((rows[kept], counts[kept].astype(np.float32), int(counts.sum())))
-    return out
+@dataclass
+class Counts:
+    """The n-grams of texts, one text after the other: rows and how often they occur; where each text begins; all its n-grams."""
+
+    rows: np.ndarray
+    counts: np.ndarray
+    begin: np.ndarray
+    total: np.ndarray
+
+    @classmethod
+    def of(cls, texts: Sequence[str]) -> Counts:
+        """Rows that fewer than ``MIN_TEXTS`` texts have are left out, but count in ``total``."""
+        found = [_counted(text) for text in texts]
+        total = np.array([counts.sum(dtype=np.int64) for _, counts in found], np.int64)
+        often = np.zeros(ROWS, np.int64)
+        for rows, _ in found:
+            often[rows] += 1
+        often = often >= MIN_TEXTS
+        begin = np.concatenate([[0], np.cumsum([often[rows].sum() for rows, _ in found])]).astype(np.int64)
+        out = cls(np.empty(begin[-1], np.int32), np.empty(begin[-1], np.float32), begin, total)
+        for i in reversed(range(len(found))):  # what is copied is let go
+            rows, counts = found.pop()
+            kept = often[rows]
+            out.rows[begin[i] : begin[i + 1]] = rows[kept]
+            out.counts[begin[i] : begin[i + 1]] = counts[kept]
+        return out
 
 
 def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Model:
     """Vectors and softmax by stochastic gradients (Adagrad) over shuffled batches; no curve."""
-    return _train(_prepared(texts), labels, seed)
-
-
-def _train(prepared: Sequence[tuple[np.ndarray, np.ndarray, int]], labels: Sequence[int], seed: int) -> Model:
-    used_by = np.zeros(ROWS, np.int64)
-    for rows, _, _ in prepared:
-        used_by[rows] += 1
-    often = used_by >= MIN_TEXTS
-    place = (np.cumsum(often) - 1).astype(np.int32)
-    kept_rows, kept_weights = [], []
-    for rows, counts, total in prepared:
-        kept = often[rows]
-        kept_rows.append(place[rows[kept]])
-        kept_weights.append(counts[kept] * np.float32(GAIN / (total + PADDING)))
-    y = np.asarray(labels, np.int64)
-    share = np.bincount(y, minlength=2) / max(len(y), 1)
-    if not len(y) or not share.all():  # nothing to tell apart
-        return Model(np.zeros(ROWS, np.float32), 0.0 if not len(y) else 4.0 * (1 if share[1] else -1))
-    n = int(often.sum())
+    return _train(Counts.of(texts), np.arange(len(texts)), np.asarray(labels, np.int64), seed)
+
+
+def _train(grams: Counts, chosen: np.ndarray, labels: np.ndarray, seed: int) -> Model:
+    """A model of the chosen texts, whose labels these are.
+
+    With two classes the gradients need only one number per n-gram of a text: a vector's is the sum, over the texts that have
+    it, of weight times error, along the difference of the softmax' columns, and that of the softmax is the same sum over the vectors.
+    """
+    share = np.bincount(labels, minlength=2) / max(len(labels), 1)
+    if not len(labels) or not share.all():  # nothing to tell apart
+        return Model(np.zeros(ROWS, np.float32), 0.0 if not len(labels) else 4.0 * (1 if share[1] else -1))
+    often = np.zeros(ROWS, np.int64)
+    for i in chosen:
+        often[grams.rows[grams.begin[i] : grams.begin[i + 1]]] += 1
+    often = often >= MIN_TEXTS
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (n, DIM)).astype(np.float32) * 0.1
+    vectors = np.zeros((DIM, ROWS), np.float32)
+    vectors[:, often] = rng.uniform(-1 / DIM, 1 / DIM, (int(often.sum()), DIM)).astype(np.float32).T * 0.1
     softmax = np.stack([-np.ones(DIM), np.ones(DIM)], 1).astype(np.float32) * rng.uniform(0.5, 1.0, (DIM, 1)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    square_v, square_s, square_b = np.full(n, 1e-4, np.float32), np.full_like(softmax, 1e-4), np.full_like(bias, 1e-4)
+    square_v, square_s, square_b = np.full(ROWS, 1e-4, np.float32), np.full_like(softmax, 1e-4), np.full_like(bias, 1e-4)
+    sides = np.array([-1, 1], np.float32)  # of the two classes' errors
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
-            rows = np.concatenate([kept_rows[i] for i in batch])
-            weights = np.concatenate([kept_weights[i] for i in batch])
-            text = np.repeat(np.arange(len(batch)), [len(kept_rows[i]) for i in batch])
-            spread = weights[:, None] * vectors[rows]
-            mean = np.stack([np.bincount(text, spread[:, d], len(batch)) for d in range(DIM)], 1).astype(np.float32)
-            logits = mean @ softmax + bias
-            odds = np.exp(logits - logits.max(1, keepdims=True))
-            error = odds / odds.sum(1, keepdims=True)
-            error[np.arange(len(batch)), y[batch]] -= 1
-            error /= len(batch)
-            grad_s, grad_b = mean.T @ error, error.sum(0)
-            back = (error @ softmax.T)[text] * weights[:, None]
-            used = np.flatnonzero(np.bincount(rows, minlength=n))
-            grad_v = np.stack([np.bincount(rows, back[:, d], n)[used] for d in range(DIM)], 1).astype(np.float32)
-            grad_v += DECAY * vectors[used]
-            square_v[used] += (grad_v**2).mean(1)
-            vectors[used] -= rate * grad_v / np.sqrt(square_v[used])[:, None]
+        for batch in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // BATCH)):
+            spans = [slice(grams.begin[i], grams.begin[i + 1]) for i in chosen[batch]]
+            sizes = [span.stop - span.start for span in spans]
+            rows = np.concatenate([grams.rows[span] for span in spans])
+            weights = np.concatenate([grams.counts[span] for span in spans])
+            weights *= np.repeat((GAIN / (grams.total[chosen[batch]] + PADDING)).astype(np.float32), sizes)
+            text = np.repeat(np.arange(len(batch)), sizes)
+            apart = softmax[:, 1] - softmax[:, 0]
+            margin = np.bincount(text, weights * (apart @ vectors).take(rows), len(batch)) + (bias[1] - bias[0])
+            error = ((1 / (1 + np.exp(-np.clip(margin, -60, 60))) - labels[batch]) / len(batch)).astype(np.float32)
+            touched = np.zeros(ROWS, bool)
+            touched[rows] = True
+            used = np.flatnonzero(touched & often)
+            pull = np.bincount(rows, weights * np.repeat(error, sizes), ROWS)[used].astype(np.float32)
+            own = vectors.take(used, 1)
+            grad_s, grad_b = np.outer(own @ pull, sides), error.sum() * sides
+            grad_v = np.outer(apart, pull)
+            grad_v += DECAY * own
+            square_v[used] += np.einsum("ij,ij->j", grad_v, grad_v) / DIM
+            grad_v *= rate / np.sqrt(square_v[used])
+            vectors[:, used] = own - grad_v
             square_s += grad_s**2
             softmax -= rate * grad_s / np.sqrt(square_s)
             square_b += grad_b**2
             bias -= rate * grad_b / np.sqrt(square_b)
-    rows = np.zeros(ROWS, np.float32)
-    rows[often] = vectors @ (softmax[:, 1] - softmax[:, 0]) * GAIN
-    return Model(rows, float(bias[1] - bias[0]))
+    return Model((softmax[:, 1] - softmax[:, 0]) @ vectors * GAIN, float(bias[1] - bias[0]))
 
 
 def train_with_curve(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Model:
@@ -242,8 +257,8 @@ def train_with_curve(texts: Sequence[str], labels: Sequence[int], seed: int = 7)
 
     Equal texts are left out together. Fewer than ``FEW`` texts of a class give no curve.
     """
-    prepared, y = _prepared(texts), np.asarray(labels, np.int64)
-    model = _train(prepared, y, seed)
+    grams, y = Counts.of(texts), np.asarray(labels, np.int64)
+    model = _train(grams, np.arange(len(y)), y, seed)
     part = np.array([zlib.crc32(text.encode("utf-8", "surrogatepass")) % PARTS for text in texts], np.int64)
     if min(np.bincount(y, minlength=2)) < FEW:
         return model
@@ -251,7 +266,7 @@ def train_with_curve(texts: Sequence[str], labels: Sequence[int], seed: int = 7)
     for k in range(PARTS):
         rest, left = np.flatnonzero(part != k), np.flatnonzero(part == k)
         if len(left):
-            features[left] = _train([prepared[i] for i in rest], y[rest], seed).features([texts[i] for i in left])
+            features[left] = _train(grams, rest, y[rest], seed).features([texts[i] for i in left])
     return Model(model.rows, 0.0, Curve.fit(features, y))
 
 
