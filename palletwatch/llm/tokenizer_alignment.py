@@ -5,9 +5,9 @@ it and reaches farthest to the right; a token that ends where that one ends is i
 pointers (each to where its target points) takes every token to the last one of its group, which labels it.
 
 A text is cut where white space begins with a space; neither tokenizer has a token across such a place. Each distinct
-chunk is encoded and aligned once in a task, new ones together, and its figures are joined back by position. How often an id pair is linked
-is counted in a first pass over the texts and used in a second one. One id's bytes end with the other's in every linked
-pair, so there are never more of them than ``most_pairs``, however many texts there are.
+chunk is encoded and aligned once in a task, new ones together, and its groups and links are joined back by position. This one pass over the
+texts writes each row's links to the shared folder; how often an id pair is linked is counted from there, and the counts are then looked up for each
+row's links. One id's bytes end with the other's in every linked pair, so there are never more of them than ``most_pairs``, however many texts there are.
 """
 
 from __future__ import annotations
@@ -25,13 +25,15 @@ import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from palletwatch.llm.blocks import pieces
-from palletwatch.llm.rows import SLICE_BYTES, with_columns
+from palletwatch.llm.rows import with_columns
 from palletwatch.llm.sentencepiece_ids import MARK, splits_at_marks
+from palletwatch.session import fresh_dir
 
 TABLE_ENTRIES = 300_000  # distinct chunks a task keeps; a full table is begun anew
+SLICE_LINKS = 1 << 20  # links looked up at a time, or those of one row
 FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 ADDED = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -224,44 +226,43 @@ class AlignmentTable:
         places = [np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks)) for chunks in cut]
         return places, np.array([bool(len(p)) and bool(self.whole[p].all()) for p in places], bool)
 
-    def linked(self, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct id pairs and how often they are linked, if the chunks occur as often as that."""
-        pairs, which = np.unique(self.pairs, return_inverse=True)
-        counts = np.bincount(which, np.repeat(often, np.diff(self.ends)), len(pairs)).astype(np.int64)
-        return pairs[counts > 0], counts[counts > 0]
+    def links(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The linked id pairs of the chunks at these places, one after the other, and how many each has."""
+        sizes = self.ends[places + 1] - self.ends[places]
+        at = np.repeat(self.ends[places] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return self.pairs[at], sizes
 
 
-def link_counts(docs: DataFrame, a_definition: str, b_model: bytes) -> DataFrame:
-    """``a``, ``b`` and ``count``: the id pairs that are linked anywhere in ``docs``, and in how many links.
-
-    Each task adds up what it links; one row per task and pair is shuffled at most.
-    """
+def encoded(docs: DataFrame, a_definition: str, b_model: bytes, links: str, drop: Sequence[str] = ()) -> DataFrame:
+    """``docs`` with the tokens of each side, the groups, their digest, and a column ``links`` of linked id pairs. No shuffle."""
     most = TABLE_ENTRIES
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work():
         table = AlignmentTable(a_definition, b_model)
-        often = np.zeros(0, np.int64)
 
-        def given() -> pa.RecordBatch:
-            pairs, counts = table.linked(np.pad(often, (0, len(table.place) - len(often))))
-            a, b = np.divmod(pairs, len(table.b_bytes))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(counts)], ["a", "b", "count"])
+        def columns(texts):
+            if len(table.place) > most:
+                table.clear()
+            places, whole = table.found([(t or b"").decode() for t in texts])
+            used = [p if good else p[:0] for p, good in zip(places, whole, strict=True)]
+            digests = [
+                hashlib.sha256(";".join([table.groups[i] for i in p.tolist()]).encode()).hexdigest() if len(p) else "" for p in used
+            ]
+            flat, stop = np.concatenate([np.empty(0, np.int64), *used]), np.cumsum([0, *map(len, used)])
+            sums = np.cumsum(np.pad(table.counts[flat], ((1, 0), (0, 0))), axis=0)
+            pairs, sizes = table.links(flat)
+            offsets = np.concatenate([[0], np.cumsum(sizes)])[stop].astype(np.int32)
+            return [*np.diff(sums[stop], axis=0).T, digests, pa.ListArray.from_arrays(pa.array(offsets), pa.array(pairs))]
 
-        for batch in batches:
-            for _, _, texts in pieces(batch["text"], SLICE_BYTES):
-                if len(table.place) > most:
-                    yield given()
-                    table.clear()
-                    often = np.zeros(0, np.int64)
-                places, whole = table.found([(t or b"").decode() for t in texts])
-                used = [p for p, good in zip(places, whole, strict=True) if good]
-                often = np.pad(often, (0, len(table.place) - len(often)))
-                if used:
-                    often += np.bincount(np.concatenate(used), minlength=len(often))
-        yield given()
-
-    linked = docs.select("text").mapInArrow(run, "a long, b long, count long")
-    return linked.groupBy("a", "b").agg(F.sum("count").alias("count"))
+        return columns
+
+    return with_columns(docs, f"n_a long, n_b long, n_groups long, groups_sha256 string, `{links}` array<long>", work, drop=drop)
+
+
+def link_counts(found: DataFrame, links: str, pieces_of_b: int) -> DataFrame:
+    """``a``, ``b`` and ``count``: the id pairs in a column of ``encoded``, and how often each is there."""
+    a, b = F.floor(F.col("pair") / pieces_of_b), F.col("pair") % pieces_of_b
+    return found.select(F.explode(links).alias("pair")).groupBy("pair").count().select(a.alias("a"), b.alias("b"), "count")
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, drop: Sequence[str] = ()) -> DataFrame:
@@ -272,56 +273,44 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, drop: Sequence[str] = ())
     that end there. ``count_sum`` adds up, over the links, how often their id pair is linked in all of ``docs``;
     ``n_best`` counts links whose pair is the most frequent of its B id. Null and empty texts, and those whose bytes either
     side does not give back, have zeros and an empty digest, and no part in the counts. Rows that repeat count
-    each; columns of ``docs`` with the added names give way. Two passes, no shuffle but that of the counts, of which at most
-    ``most_pairs`` rows reach the driver and go on to all tasks.
+    each; columns of ``docs`` with the added names give way. The texts are read and written links counted while the DataFrame is built;
+    the folder stays, since the result reads from it. No shuffle but that of the counts, of which at most ``most_pairs`` rows
+    reach the driver and go on to all tasks.
     """
     with open(a_path, encoding="utf-8") as file:
         a_definition = file.read()
     with open(b_path, "rb") as file:
         b_model = file.read()
-    counted = link_counts(docs, a_definition, b_model).toArrow()
+    spark = docs.sparkSession
+    added = T.StructType.fromDDL(ADDED)
+    docs = docs.drop(*added.names)
+    links = next(name for name in (f"links{'_' * i}" for i in range(len(docs.columns) + 1)) if name not in map(str.lower, docs.columns))
+    found = encoded(docs, a_definition, b_model, links, drop)
+    folder = fresh_dir(spark, "alignment")
+    found.write.parquet(folder)
+    found = spark.read.schema(found.schema).parquet(folder)
     pieces_of_b = sentencepiece.SentencePieceProcessor(model_proto=b_model).get_piece_size()
-    pairs = counted["a"].to_numpy() * pieces_of_b + counted["b"].to_numpy()
+    counted = link_counts(found, links, pieces_of_b).toArrow()
+    pairs, counts = counted["a"].to_numpy() * pieces_of_b + counted["b"].to_numpy(), counted["count"].to_numpy()
     order = np.argsort(pairs)
-    pairs, counts = pairs[order], counted["count"].to_numpy()[order]
+    pairs, counts = pairs[order], counts[order]
     highest = np.zeros(pieces_of_b, np.int64)
     np.maximum.at(highest, pairs % pieces_of_b, counts)
     best = counts == highest[pairs % pieces_of_b]
-    most = TABLE_ENTRIES
-
-    def work():
-        table = AlignmentTable(a_definition, b_model)
-        figures = np.empty((0, len(FIGURES)), np.int64)
+    stay = [name for name in docs.columns if name not in drop]
+    names, most = [*stay, *added.names], SLICE_LINKS
 
-        def columns(texts):
-            nonlocal figures
-            if len(table.place) > most:
-                table.clear()
-                figures = figures[:0]
-            places, whole = table.found([(t or b"").decode() for t in texts])
-            if len(figures) < len(table.place):
-                old = len(figures)
-                links = table.pairs[table.ends[old] :]
-                # a chunk that only texts without tokens hold may have pairs that are not counted
-                at = np.minimum(np.searchsorted(pairs, links), max(len(pairs) - 1, 0))
-                known = pairs[at] == links if len(pairs) else np.zeros(len(links), bool)
-                worth = np.stack([np.where(known, x[at], 0) if len(pairs) else np.zeros(len(links), np.int64) for x in (best, counts)])
-                sums = np.cumsum(np.pad(worth.astype(np.int64), ((0, 0), (1, 0))), axis=1)
-                ends = table.ends[old:] - table.ends[old]
-                more = (sums[:, ends[1:]] - sums[:, ends[:-1]]).T
-                counts_of = table.counts[old:]
-                figures = np.concatenate([figures, np.concatenate([counts_of, counts_of[:, 2:], more], 1)])
-            sizes = np.array([len(p) if good else 0 for p, good in zip(places, whole, strict=True)], np.int64)
-            flat = np.concatenate([np.empty(0, np.int64), *(p for p, good in zip(places, whole, strict=True) if good)])
-            sums = np.cumsum(np.pad(figures[flat], ((1, 0), (0, 0))), axis=0)
-            stop = np.cumsum(sizes)
-            made = sums[stop] - sums[stop - sizes]
-            digests = [
-                hashlib.sha256(";".join([table.groups[i] for i in p.tolist()]).encode()).hexdigest() if good else ""
-                for p, good in zip(places, whole, strict=True)
-            ]
-            return [*made.T, digests]
-
-        return columns
-
-    return with_columns(docs, ADDED, work, drop=drop)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, flat = batch[links].offsets.to_numpy(), batch[links].values.to_numpy()
+            lo = 0
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, side="right")) - 1)
+                rows, at = batch.slice(lo, hi - lo), np.searchsorted(pairs, flat[ends[lo] : ends[hi]])
+                stop = ends[lo : hi + 1] - ends[lo]
+                sums = [np.diff(np.concatenate([[0], np.cumsum(worth[at], dtype=np.int64)])[stop]) for worth in (best, counts)]
+                made = {"n_links": np.diff(stop).astype(np.int64), "n_best": sums[0], "count_sum": sums[1]}
+                yield pa.RecordBatch.from_arrays([pa.array(made[name]) if name in made else rows[name] for name in names], names)
+                lo = hi
+
+    return found.mapInArrow(run, T.StructType([*(found.schema[name] for name in stay), *added]))

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from palletwatch.llm import tokenizer_alignment
 from palletwatch.llm.queries import op11_pointer_jumping
-from palletwatch.llm.tokenizer_alignment import FIGURES, AlignmentTable, aligned, last_tokens, link_counts, most_pairs
+from palletwatch.llm.tokenizer_alignment import FIGURES, AlignmentTable, aligned, encoded, last_tokens, link_counts, most_pairs
 from tests.llm import odd
 
 A_PATH, B_PATH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -153,15 +153,16 @@ def test_every_token_reaches_the_last_of_its_group():
 
 
 def test_odd_documents(spark, monkeypatch):
-    docs = odd.documents(spark, "n_a string, groups_sha256 string, lang string")
+    docs = odd.documents(spark, "n_a string, groups_sha256 string, links string")
     more = spark.createDataFrame([(100 + i, t, "1", "2", "3") for i, t in enumerate(ODD)], docs.schema)
     docs = docs.unionByName(more)
-    for entries in (tokenizer_alignment.TABLE_ENTRIES, 4):
+    for entries, links in ((tokenizer_alignment.TABLE_ENTRIES, tokenizer_alignment.SLICE_LINKS), (4, 3)):
         monkeypatch.setattr(tokenizer_alignment, "TABLE_ENTRIES", entries)
+        monkeypatch.setattr(tokenizer_alignment, "SLICE_LINKS", links)
         got = aligned(docs, A_PATH, B_PATH)
-        assert got.columns == ["doc_id", "text", "lang", *FIGURES, "groups_sha256"]
+        assert got.columns == ["doc_id", "text", "links", *FIGURES, "groups_sha256"]
         counts = check(docs, got)
-    linked = {(r["a"], r["b"]): r["count"] for r in link_counts(docs, DEFINITION, MODEL).collect()}
+    linked = {(r["a"], r["b"]): r["count"] for r in link_counts(encoded(docs, DEFINITION, MODEL, "links"), "links", len(TABLE.b_bytes)).collect()}
     assert linked == dict(counts)
     assert len(linked) <= most_pairs(TABLE.a_bytes, TABLE.b_bytes) < 1_000_000
 
