@@ -62,7 +62,7 @@ def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and the text they decode to."""
-    coded = sentencepiece_ids.encode(docs, public_tokenizers.path(PIECES))
+    coded = sentencepiece_ids.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(PIECES), drop=("text",))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

@@ -2,24 +2,37 @@
 
 In a model whose pieces hold the whitespace marker at their start only, no piece
 crosses from one marked word into the next, so a text is segmented word by word.
-Each distinct marked word (its markers and the characters up to the next one) is
-segmented once, into a table of ids; the ids are joined back by position.
+Documents are read in slices of bounded size. A slice writes the places of its words, in a table of its
+own distinct marked words (the markers and the characters up to the next one), to the shared folder, and sends these words to
+buckets by hash. A bucket sees all slices and segments each of its distinct words once; ids go back to the
+slices, which join them to their texts by position. A very frequent word so reaches its bucket once per slice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
+from palletwatch.llm.blocks import pieces
 from palletwatch.llm.rows import with_columns
+from palletwatch.session import fresh_dir
 
 MARK = "▁"
-TABLE_ENTRIES = 150_000  # distinct words a task keeps; a full table is begun anew
+SLICE_BYTES = 8 << 20  # of texts that share a table of distinct words
+BUCKET_BYTES = 16 << 20  # of texts, for each bucket of words
+
+APART = b"\xff"  # between words in UTF-8, where this byte never occurs
 
 
 def splits_at_marks(model: bytes) -> bool:
@@ -51,69 +64,145 @@ def chunks(text: str) -> list[str]:
     return found
 
 
-class ChunkTable:
-    """Ids and decoded text of each distinct marked word seen."""
-
-    def __init__(self, model: bytes) -> None:
-        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids = np.empty(0, np.int32)
-        self.ends = np.zeros(1, np.int64)
-        self.decoded: list[str] = []
-
-    def add(self, words: Sequence[str]) -> None:
-        """Segments the words that are new, each once."""
-        if len(self.place) > TABLE_ENTRIES:
-            self.clear()
-        new = list({word: None for word in words if word not in self.place})
-        if not new:
-            return
-        ids = self.processor.encode(new, out_type=int, num_threads=1)
-        if "" in new:  # a marker by itself
-            ids[new.index("")] = [self.processor.piece_to_id(MARK)]
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for one in ids for i in one), np.int32, lengths.sum())])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
-        self.decoded += self.processor.decode(ids, num_threads=1)
-
-    def encode(self, texts: Sequence[str]) -> tuple[pa.ListArray, list[str]]:
-        cut = [chunks(text) for text in texts]
-        self.add([word for words in cut for word in words])
-        places = np.fromiter((self.place[w] for words in cut for w in words), np.int64)
-        starts, lengths = self.ends[places], np.diff(self.ends)[places]
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        flat = self.ids[np.repeat(starts - total[:-1], lengths) + np.arange(total[-1])]
-        offsets = total[np.concatenate([[0], np.cumsum([len(words) for words in cut])]).astype(np.int64)]
-        decoded = [" ".join([self.decoded[self.place[w]] for w in words]) for words in cut]
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), decoded
-
-
-def encode(docs: DataFrame, model_path: str, text: str = "text", drop: Sequence[str] = ()) -> DataFrame:
-    """``docs`` with ``ids`` (array of int) and ``decoded`` (what the ids decode to).
+def dealt(texts: Sequence[bytes | None], buckets: int) -> tuple[list[np.ndarray], list[tuple[int, bytes]]]:
+    """The places of each text's words among the distinct ones of all these texts, and those words by bucket.
 
-    The model is read where the job is started and sent along; it is under a few
-    MB. Ids are those of the library for the whole text, without begin or end ids.
-    A null text counts as empty and has no ids. A model whose pieces cross markers, or
-    that rewrites texts, is applied to whole texts instead.
+    The distinct words are in order of their buckets.
     """
-    with open(model_path, "rb") as file:
-        model = file.read()
-    by_chunk = splits_at_marks(model)
-
+    number: dict[str, int] = {}
+    found = [[number.setdefault(word, len(number)) for word in chunks((text or b"").decode())] for text in texts]
+    words = [word.encode() for word in number]
+    bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    used, begin = np.unique(bucket[order], return_index=True)
+    parts = np.split(order, begin)[1:]  # the first is empty
+    sent = [(b, APART.join([words[i] for i in part.tolist()])) for b, part in zip(used.tolist(), parts, strict=True)]
+    return [place[np.array(one, np.int64)] for one in found], sent
+
+
+def segmented(processor: sentencepiece.SentencePieceProcessor, words: list[str]) -> tuple[list[list[int]], list[str]]:
+    """Ids of marked words and what these decode to."""
+    ids = processor.encode(words, out_type=int, num_threads=1)
+    for i, word in enumerate(words):
+        if not word:  # a marker by itself
+            ids[i] = [processor.piece_to_id(MARK)]
+    return ids, processor.decode(ids, num_threads=1)
+
+
+def joined(places: Sequence[np.ndarray], lengths: np.ndarray, ids: np.ndarray, decoded: Sequence[bytes]) -> tuple[pa.ListArray, list[bytes]]:
+    """Ids and decoded text of each text, from the places of its words in a table of ids."""
+    flat = np.concatenate([np.empty(0, np.int64), *places])
+    stop = np.cumsum([0, *map(len, places)])
+    begin, sizes = (np.cumsum(lengths) - lengths)[flat], lengths[flat]
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    whole = ids[np.repeat(begin - total[:-1], sizes) + np.arange(total[-1])]
+    spaced = pa.array([word + b" " for word in decoded], pa.large_binary()).take(pa.array(flat))
+    ends = np.frombuffer(spaced.buffers()[1], np.int64)[spaced.offset : spaced.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+    buffer = memoryview(spaced.buffers()[2]) if len(flat) else b""
+    at = ends[stop].tolist()
+    texts = [bytes(buffer[lo : hi - 1]) if hi > lo else b"" for lo, hi in zip(at[:-1], at[1:], strict=True)]
+    return pa.ListArray.from_arrays(pa.array(total[stop], pa.int32()), pa.array(whole, pa.int32())), texts
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2**32 as byte planes: the high bytes of small numbers compress to nothing."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _whole_texts(docs: DataFrame, model: bytes, text: str, drop: Sequence[str]) -> DataFrame:
     def work():
-        table = ChunkTable(model)
+        processor = sentencepiece.SentencePieceProcessor(model_proto=model)
 
         def columns(texts):
-            plain = [(t or b"").decode() for t in texts]
-            if by_chunk:
-                return table.encode(plain)
-            ids = table.processor.encode(plain, out_type=int, num_threads=1)
-            return ids, [table.processor.decode(one) for one in ids]
+            ids = processor.encode([(t or b"").decode() for t in texts], out_type=int, num_threads=1)
+            return ids, [processor.decode(one) for one in ids]
 
         return columns
 
     return with_columns(docs, "ids array<int>, decoded string", work, text, drop)
+
+
+def encode(docs: DataFrame, model_path: str, text: str = "text", drop: Sequence[str] = ()) -> DataFrame:
+    """``docs`` with ``ids`` (array of int) and ``decoded`` (what the ids decode to), without the columns in ``drop``.
+
+    The model is read where the job is started and sent along; it is under a few
+    MB. Ids are those of the library for the whole text, without begin or end ids.
+    A null or empty text has no ids and decodes to an empty one. Rows that repeat are rows each, an empty table gives an empty one, and
+    columns of ``docs`` called ``ids`` or ``decoded`` give way. The texts are counted and cut while the DataFrame is
+    built; what was cut stays in the shared folder, since the result reads from it. A model whose pieces cross
+    markers, or that rewrites texts, is applied to whole texts instead.
+    """
+    with open(model_path, "rb") as file:
+        model = file.read()
+    if not splits_at_marks(model):
+        return _whole_texts(docs, model, text, drop)
+    spark = docs.sparkSession
+    docs = docs.drop("ids", "decoded")
+    stay = [name for name in docs.columns if name not in drop]
+    taken = {name.lower() for name in docs.columns}
+    slice_id, places, words = (next(n for i in range(len(taken) + 1) if (n := name + "_" * i) not in taken) for name in ("slice", "places", "words"))
+    buckets = max(1, math.ceil((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / BUCKET_BYTES))
+
+    kept = [docs.schema[name] for name in stay]
+    cut = T.StructType([
+        *kept,
+        T.StructField(slice_id, T.LongType()),
+        T.StructField(places, T.BinaryType()),
+        T.StructField(words, T.ArrayType(T.StructType.fromDDL("bucket long, words binary"))),  # in the first row of a slice
+    ])
+    sent_type = pa.list_(pa.struct([("bucket", pa.int64()), ("words", pa.binary())]))
+
+    def cut_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32  # only one attempt of a task is in the written table
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for lo, hi, texts in pieces(batch[text], SLICE_BYTES):
+                found, sent = dealt(texts, buckets)
+                rows = [[{"bucket": b, "words": pack(w)} for b, w in sent], *[None] * (len(texts) - 1)]
+                added = [pa.array([number] * len(texts), pa.int64()), pa.array(map(_planes, found), pa.binary()), pa.array(rows, sent_type)]
+                yield pa.RecordBatch.from_arrays([*(batch[name].slice(lo, hi - lo) for name in stay), *added], cut.names)
+                number += 1
+        pa.default_memory_pool().release_unused()
+
+    def segment(table: pa.Table) -> pa.Table:
+        processor = sentencepiece.SentencePieceProcessor(model_proto=model)
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        number: dict[bytes, int] = {}
+        asked = []
+        for data in table["words"].to_pylist():
+            asked.append(np.array([number.setdefault(word, len(number)) for word in unpack(data).split(APART)], np.int64))
+        ids, decoded = segmented(processor, [word.decode() for word in number])
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        begin, flat = np.cumsum(lengths) - lengths, np.fromiter((i for one in ids for i in one), np.int64)
+        decoded = [word.encode() for word in decoded]
+        answers = []
+        for at in asked:
+            n = lengths[at]
+            mine = flat[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            answers.append((pack(_planes(n)), pack(_planes(mine)), pack(APART.join([decoded[i] for i in at.tolist()]))))
+        made = [pa.array(column, pa.binary()) for column in zip(*answers, strict=True)]
+        return pa.table([table["slice"], table["bucket"], *made], ["slice", "bucket", "lengths", "ids", "decoded"])
+
+    def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        answers = sorted(right.to_pylist(), key=lambda row: row["bucket"])
+        lengths, ids = (
+            np.concatenate([np.empty(0, np.int64), *(_numbers(unpack(row[name])) for row in answers)]) for name in ("lengths", "ids")
+        )
+        decoded = [word for row in answers for word in unpack(row["decoded"]).split(APART)]
+        coded, texts = joined([_numbers(planes) for planes in left[places].to_pylist()], lengths, ids, decoded)
+        return pa.table([*(left[name] for name in stay), coded, pa.array(texts, pa.binary()).cast(pa.string())], [*stay, "ids", "decoded"])
+
+    folder = fresh_dir(spark, "pieces")
+    docs.mapInArrow(cut_slices, cut).write.parquet(folder)
+    found = spark.read.schema(cut).parquet(folder)
+    sent = found.filter(F.col(words).isNotNull()).select(F.col(slice_id).alias("slice"), F.inline(words))
+    answers = sent.groupBy("bucket").applyInArrow(segment, "slice long, bucket long, lengths binary, ids binary, decoded binary")
+    result = T.StructType([*kept, *T.StructType.fromDDL("ids array<int>, decoded string")])
+    return found.drop(words).groupBy(slice_id).cogroup(answers.groupBy("slice")).applyInArrow(join_back, result)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 
 from palletwatch.llm import sentencepiece_ids
 from palletwatch.llm.queries import PIECES, op10_chunk_table_pieces
-from palletwatch.llm.sentencepiece_ids import ChunkTable, chunks, encode, splits_at_marks
+from palletwatch.llm.sentencepiece_ids import APART, chunks, dealt, encode, joined, segmented, splits_at_marks
 from tests.llm import brute, odd
 
 PATH = public_tokenizers.path(PIECES)
@@ -17,10 +18,15 @@ with open(PATH, "rb") as file:
     MODEL = file.read()
 
 
-def same(table, texts):
-    ids, decoded = table.encode(texts)
+def same(texts, buckets):
+    places, sent = dealt([text.encode() for text in texts], buckets)
+    words = [word.decode() for _, some in sent for word in some.split(APART)]
+    assert len(words) == len(set(words)) == len({word for text in texts for word in chunks(text)})
+    coded, plain = segmented(WHOLE, words)
+    lengths, flat = np.array([len(one) for one in coded], np.int64), np.array([i for one in coded for i in one], np.int64)
+    ids, decoded = joined(places, lengths, flat, [word.encode() for word in plain])
     assert ids.to_pylist() == WHOLE.encode(texts, num_threads=1)
-    assert decoded == [WHOLE.decode(one) for one in ids.to_pylist()]
+    assert decoded == [WHOLE.decode(one).encode() for one in ids.to_pylist()]
 
 
 def test_the_model_splits_at_marks():
@@ -30,30 +36,57 @@ def test_the_model_splits_at_marks():
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" ▁\n\tab<>0x"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=5))
 def test_any_text(texts):
-    same(ChunkTable(MODEL), texts)
+    same(texts, 1)
+    same(texts, 7)
 
 
-def test_odd_texts_and_a_full_table(monkeypatch):
+def test_odd_texts():
     texts = [t or "" for t in odd.TEXTS] + [" ", "  ", "a ", " a", "▁", "<s> </s> <unk> <0x0A>", " ⁇ ", "�"]
-    same(ChunkTable(MODEL), texts)
-    monkeypatch.setattr(sentencepiece_ids, "TABLE_ENTRIES", 3)
-    table = ChunkTable(MODEL)
+    same(texts, 5)
     for text in texts:
-        same(table, [text])
+        same([text], 3)
 
 
 def test_chunks_are_joined_back():
     assert chunks("") == [] and chunks(" ") == [" "] and chunks("a  b") == ["a", " b"] and chunks("a ") == ["a", ""]
 
 
-def test_documents(spark):
-    got = encode(odd.documents(spark, "ids string, lang string"), PATH)
-    assert got.columns == ["doc_id", "text", "lang", "ids", "decoded"]
-    for r in got.collect():
+@pytest.mark.parametrize(("slice_bytes", "bucket_bytes"), [(8 << 20, 16 << 20), (1, 50_000)])
+def test_documents(spark, monkeypatch, slice_bytes, bucket_bytes):
+    monkeypatch.setattr(sentencepiece_ids, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(sentencepiece_ids, "BUCKET_BYTES", bucket_bytes)
+    docs = odd.documents(spark, "ids string, lang string, slice string, places string, Words string, bucket string")
+    got = encode(docs, PATH)
+    assert got.columns == ["doc_id", "text", "lang", "slice", "places", "Words", "bucket", "ids", "decoded"]
+    rows = got.collect()
+    assert sorted(map(str, (r[:2] for r in rows))) == sorted(map(str, (r[:2] for r in docs.collect())))
+    for r in rows:
+        assert r["slice"] == r["places"] == r["Words"] == r["bucket"] == "7"
         assert r["ids"] == WHOLE.encode(r["text"] or "") and r["decoded"] == WHOLE.decode(r["ids"])
     assert encode(odd.empty(spark), PATH).count() == 0
 
 
+def test_each_distinct_word_is_segmented_once(spark, monkeypatch, tmp_path):
+    """Also where many slices share it: the words of all calls are counted in files."""
+    import os
+    import uuid
+
+    monkeypatch.setattr(sentencepiece_ids, "SLICE_BYTES", 1)
+    monkeypatch.setattr(sentencepiece_ids, "BUCKET_BYTES", 50)
+    plain, folder = sentencepiece_ids.segmented, str(tmp_path)
+
+    def counted(processor, words):
+        with open(os.path.join(folder, uuid.uuid4().hex), "w") as file:
+            file.write("\n".join(words))
+        return plain(processor, words)
+
+    monkeypatch.setattr(sentencepiece_ids, "segmented", counted)
+    docs = spark.createDataFrame([(i, f"the same words and number {i % 7}") for i in range(40)], "doc_id long, text string").repartition(5)
+    assert encode(docs, PATH).count() == 40
+    words = [word for file in tmp_path.iterdir() for word in file.read_text().split("\n")]
+    assert sorted(words) == sorted({"the", "same", "words", "and", "number", *map(str, range(7))})
+
+
 def test_a_model_that_may_cross_marks_is_applied_to_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(sentencepiece_ids, "splits_at_marks", lambda model: False)
     for r in encode(odd.documents(spark), PATH).collect():
