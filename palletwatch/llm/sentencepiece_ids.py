@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import zstandard
 from pyspark import TaskContext
@@ -64,55 +65,63 @@ def chunks(text: str) -> list[str]:
     return found
 
 
-def dealt(texts: Sequence[bytes | None], buckets: int) -> tuple[list[np.ndarray], list[tuple[int, bytes]]]:
-    """The places of each text's words among the distinct ones of all these texts, and those words by bucket.
-
-    The distinct words are in order of their buckets.
-    """
+def dealt(texts: Sequence[bytes | None], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
+    """How many words each text has, the number of each word in order of first occurrence, the bucket of each number, and the words of each bucket."""
     number: dict[str, int] = {}
     found = [[number.setdefault(word, len(number)) for word in chunks((text or b"").decode())] for text in texts]
+    counts = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter((n for one in found for n in one), np.int64, counts.sum())
     words = [word.encode() for word in number]
     bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
     order = np.argsort(bucket, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
     used, begin = np.unique(bucket[order], return_index=True)
     parts = np.split(order, begin)[1:]  # the first is empty
-    sent = [(b, APART.join([words[i] for i in part.tolist()])) for b, part in zip(used.tolist(), parts, strict=True)]
-    return [place[np.array(one, np.int64)] for one in found], sent
+    return counts, flat, bucket, [(b, APART.join([words[i] for i in part.tolist()])) for b, part in zip(used.tolist(), parts, strict=True)]
 
 
-def segmented(processor: sentencepiece.SentencePieceProcessor, words: list[str]) -> tuple[list[list[int]], list[str]]:
-    """Ids of marked words and what these decode to."""
+def segmented(processor: sentencepiece.SentencePieceProcessor, words: list[str]) -> list[list[int]]:
+    """Ids of marked words."""
     ids = processor.encode(words, out_type=int, num_threads=1)
     for i, word in enumerate(words):
         if not word:  # a marker by itself
             ids[i] = [processor.piece_to_id(MARK)]
-    return ids, processor.decode(ids, num_threads=1)
-
-
-def joined(places: Sequence[np.ndarray], lengths: np.ndarray, ids: np.ndarray, decoded: Sequence[bytes]) -> tuple[pa.ListArray, list[bytes]]:
-    """Ids and decoded text of each text, from the places of its words in a table of ids."""
-    flat = np.concatenate([np.empty(0, np.int64), *places])
-    stop = np.cumsum([0, *map(len, places)])
-    begin, sizes = (np.cumsum(lengths) - lengths)[flat], lengths[flat]
+    return ids
+
+
+def joined(
+    processor: sentencepiece.SentencePieceProcessor,
+    counts: np.ndarray,
+    flat: np.ndarray,
+    bucket: np.ndarray,
+    lengths: np.ndarray,
+    ids: np.ndarray,
+) -> tuple[pa.ListArray, list[bytes]]:
+    """Ids and decoded text of each text: what ``dealt`` gave for them, and the ids of the words of all buckets one after the other."""
+    ends = np.cumsum(lengths).tolist()
+    plain = ids.tolist()
+    words = processor.decode([plain[end - n : end] for end, n in zip(ends, lengths.tolist(), strict=True)], num_threads=1)
+    place = np.empty(len(bucket), np.int64)
+    place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
+    places = place[flat]
+    begin, sizes = (np.cumsum(lengths) - lengths)[places], lengths[places]
     total = np.concatenate([[0], np.cumsum(sizes)])
     whole = ids[np.repeat(begin - total[:-1], sizes) + np.arange(total[-1])]
-    spaced = pa.array([word + b" " for word in decoded], pa.large_binary()).take(pa.array(flat))
-    ends = np.frombuffer(spaced.buffers()[1], np.int64)[spaced.offset : spaced.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
-    buffer = memoryview(spaced.buffers()[2]) if len(flat) else b""
-    at = ends[stop].tolist()
+    stop = np.concatenate([[0], np.cumsum(counts)])
+    spaced = pa.array([word.encode() + b" " for word in words], pa.large_binary())
+    at = np.concatenate([[0], np.cumsum(pc.binary_length(spaced).to_numpy()[places])])[stop].tolist()
+    buffer = memoryview(spaced.take(pa.array(places)).buffers()[2] or b"")
     texts = [bytes(buffer[lo : hi - 1]) if hi > lo else b"" for lo, hi in zip(at[:-1], at[1:], strict=True)]
     return pa.ListArray.from_arrays(pa.array(total[stop], pa.int32()), pa.array(whole, pa.int32())), texts
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """Whole numbers below 2**32 as byte planes: the high bytes of small numbers compress to nothing."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2**32 as compressed byte planes: the high bytes of small numbers cost nothing."""
+    return zstandard.ZstdCompressor(level=3).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def _whole_texts(docs: DataFrame, model: bytes, text: str, drop: Sequence[str]) -> DataFrame:
@@ -146,63 +155,67 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", drop: Sequence[
     docs = docs.drop("ids", "decoded")
     stay = [name for name in docs.columns if name not in drop]
     taken = {name.lower() for name in docs.columns}
-    slice_id, places, words = (next(n for i in range(len(taken) + 1) if (n := name + "_" * i) not in taken) for name in ("slice", "places", "words"))
-    buckets = max(1, math.ceil((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / BUCKET_BYTES))
+    names = ("slice", "at", "places", "buckets", "words")
+    slice_id, at, places, bucket_of, words = (next(n for i in range(len(taken) + 1) if (n := name + "_" * i) not in taken) for name in names)
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(1, math.ceil(total / BUCKET_BYTES))
 
     kept = [docs.schema[name] for name in stay]
-    cut = T.StructType([
-        *kept,
-        T.StructField(slice_id, T.LongType()),
-        T.StructField(places, T.BinaryType()),
-        T.StructField(words, T.ArrayType(T.StructType.fromDDL("bucket long, words binary"))),  # in the first row of a slice
-    ])
+    own = T.StructType.fromDDL(f"{slice_id} long, {at} int")
+    table = T.StructType.fromDDL(f"{places} binary, {bucket_of} binary, {words} array<struct<bucket:long,words:binary>>")
+    cut = T.StructType([*kept, *own, *table])  # the table of a slice is in its first row
     sent_type = pa.list_(pa.struct([("bucket", pa.int64()), ("words", pa.binary())]))
 
     def cut_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32  # only one attempt of a task is in the written table
-        pack = zstandard.ZstdCompressor(level=1).compress
+        compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for lo, hi, texts in pieces(batch[text], SLICE_BYTES):
-                found, sent = dealt(texts, buckets)
-                rows = [[{"bucket": b, "words": pack(w)} for b, w in sent], *[None] * (len(texts) - 1)]
-                added = [pa.array([number] * len(texts), pa.int64()), pa.array(map(_planes, found), pa.binary()), pa.array(rows, sent_type)]
+                counts, flat, bucket, sent = dealt(texts, buckets)
+                rest = [None] * (len(texts) - 1)
+                sent = [{"bucket": b, "words": compress(some)} for b, some in sent]
+                added = [
+                    pa.array([number] * len(texts), pa.int64()),
+                    pa.array(range(len(texts)), pa.int32()),
+                    pa.array([_pack(np.concatenate([counts, flat])), *rest], pa.binary()),
+                    pa.array([_pack(bucket), *rest], pa.binary()),
+                    pa.array([sent, *rest], sent_type),
+                ]
                 yield pa.RecordBatch.from_arrays([*(batch[name].slice(lo, hi - lo) for name in stay), *added], cut.names)
                 number += 1
         pa.default_memory_pool().release_unused()
 
     def segment(table: pa.Table) -> pa.Table:
         processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        unpack = zstandard.ZstdDecompressor().decompress
         number: dict[bytes, int] = {}
-        asked = []
-        for data in table["words"].to_pylist():
-            asked.append(np.array([number.setdefault(word, len(number)) for word in unpack(data).split(APART)], np.int64))
-        ids, decoded = segmented(processor, [word.decode() for word in number])
+        asked = [
+            np.array([number.setdefault(word, len(number)) for word in unpack(some).split(APART)], np.int64)
+            for some in table["words"].to_pylist()
+        ]
+        ids = segmented(processor, [word.decode() for word in number])
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         begin, flat = np.cumsum(lengths) - lengths, np.fromiter((i for one in ids for i in one), np.int64)
-        decoded = [word.encode() for word in decoded]
         answers = []
-        for at in asked:
-            n = lengths[at]
-            mine = flat[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            answers.append((pack(_planes(n)), pack(_planes(mine)), pack(APART.join([decoded[i] for i in at.tolist()]))))
+        for of in asked:
+            n = lengths[of]
+            answers.append((_pack(n), _pack(flat[np.repeat(begin[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())])))
         made = [pa.array(column, pa.binary()) for column in zip(*answers, strict=True)]
-        return pa.table([table["slice"], table["bucket"], *made], ["slice", "bucket", "lengths", "ids", "decoded"])
+        return pa.table([table["slice"], table["bucket"], *made], ["slice", "bucket", "lengths", "ids"])
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
+        left = left.take(pc.sort_indices(left[at]))
         answers = sorted(right.to_pylist(), key=lambda row: row["bucket"])
-        lengths, ids = (
-            np.concatenate([np.empty(0, np.int64), *(_numbers(unpack(row[name])) for row in answers)]) for name in ("lengths", "ids")
-        )
-        decoded = [word for row in answers for word in unpack(row["decoded"]).split(APART)]
-        coded, texts = joined([_numbers(planes) for planes in left[places].to_pylist()], lengths, ids, decoded)
+        lengths, ids = (np.concatenate([np.empty(0, np.int64), *(_unpack(row[name]) for row in answers)]) for name in ("lengths", "ids"))
+        counts, flat = np.split(_unpack(left[places][0].as_py()), [len(left)])
+        processor = sentencepiece.SentencePieceProcessor(model_proto=model)
+        coded, texts = joined(processor, counts, flat, _unpack(left[bucket_of][0].as_py()), lengths, ids)
         return pa.table([*(left[name] for name in stay), coded, pa.array(texts, pa.binary()).cast(pa.string())], [*stay, "ids", "decoded"])
 
     folder = fresh_dir(spark, "pieces")
     docs.mapInArrow(cut_slices, cut).write.parquet(folder)
     found = spark.read.schema(cut).parquet(folder)
     sent = found.filter(F.col(words).isNotNull()).select(F.col(slice_id).alias("slice"), F.inline(words))
-    answers = sent.groupBy("bucket").applyInArrow(segment, "slice long, bucket long, lengths binary, ids binary, decoded binary")
+    answers = sent.groupBy("bucket").applyInArrow(segment, "slice long, bucket long, lengths binary, ids binary")
     result = T.StructType([*kept, *T.StructType.fromDDL("ids array<int>, decoded string")])
     return found.drop(words).groupBy(slice_id).cogroup(answers.groupBy("slice")).applyInArrow(join_back, result)

@@ -19,12 +19,12 @@ with open(PATH, "rb") as file:
 
 
 def same(texts, buckets):
-    places, sent = dealt([text.encode() for text in texts], buckets)
+    counts, flat, bucket, sent = dealt([text.encode() for text in texts], buckets)
     words = [word.decode() for _, some in sent for word in some.split(APART)]
     assert len(words) == len(set(words)) == len({word for text in texts for word in chunks(text)})
-    coded, plain = segmented(WHOLE, words)
-    lengths, flat = np.array([len(one) for one in coded], np.int64), np.array([i for one in coded for i in one], np.int64)
-    ids, decoded = joined(places, lengths, flat, [word.encode() for word in plain])
+    coded = segmented(WHOLE, words)
+    lengths, all_ids = np.array([len(one) for one in coded], np.int64), np.array([i for one in coded for i in one], np.int64)
+    ids, decoded = joined(WHOLE, counts, flat, bucket, lengths, all_ids)
     assert ids.to_pylist() == WHOLE.encode(texts, num_threads=1)
     assert decoded == [WHOLE.decode(one).encode() for one in ids.to_pylist()]
 
@@ -55,13 +55,13 @@ def test_chunks_are_joined_back():
 def test_documents(spark, monkeypatch, slice_bytes, bucket_bytes):
     monkeypatch.setattr(sentencepiece_ids, "SLICE_BYTES", slice_bytes)
     monkeypatch.setattr(sentencepiece_ids, "BUCKET_BYTES", bucket_bytes)
-    docs = odd.documents(spark, "ids string, lang string, slice string, places string, Words string, bucket string")
+    docs = odd.documents(spark, "ids string, lang string, slice string, at string, Places string, words string, bucket string")
     got = encode(docs, PATH)
-    assert got.columns == ["doc_id", "text", "lang", "slice", "places", "Words", "bucket", "ids", "decoded"]
+    assert got.columns == ["doc_id", "text", "lang", "slice", "at", "Places", "words", "bucket", "ids", "decoded"]
     rows = got.collect()
     assert sorted(map(str, (r[:2] for r in rows))) == sorted(map(str, (r[:2] for r in docs.collect())))
     for r in rows:
-        assert r["slice"] == r["places"] == r["Words"] == r["bucket"] == "7"
+        assert r["slice"] == r["at"] == r["Places"] == r["words"] == r["bucket"] == "7"
         assert r["ids"] == WHOLE.encode(r["text"] or "") and r["decoded"] == WHOLE.decode(r["ids"])
     assert encode(odd.empty(spark), PATH).count() == 0
 
