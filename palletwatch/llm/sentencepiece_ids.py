@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from sentencepiece import sentencepiece_model_pb2
 
 from palletwatch.llm.blocks import pieces
@@ -124,6 +125,22 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[list[pa.RecordBatch], list[bytes | None]]]:
+    """Consecutive rows with about ``SLICE_BYTES`` of text, one row at least, and their texts."""
+    rows, texts, size = [], [], 0
+    for batch in batches:
+        for lo, hi, more in pieces(batch[text], SLICE_BYTES // 4):
+            n = sum(len(t) for t in more if t)
+            if rows and size + n > SLICE_BYTES:
+                yield rows, texts
+                rows, texts, size = [], [], 0
+            rows.append(batch.slice(lo, hi - lo))
+            texts += more
+            size += n
+    if rows:
+        yield rows, texts
+
+
 def _whole_texts(docs: DataFrame, model: bytes, text: str, drop: Sequence[str]) -> DataFrame:
     def work():
         processor = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -164,25 +181,23 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", drop: Sequence[
     own = T.StructType.fromDDL(f"{slice_id} long, {at} int")
     table = T.StructType.fromDDL(f"{places} binary, {bucket_of} binary, {words} array<struct<bucket:long,words:binary>>")
     cut = T.StructType([*kept, *own, *table])  # the table of a slice is in its first row
-    sent_type = pa.list_(pa.struct([("bucket", pa.int64()), ("words", pa.binary())]))
+    kinds = [to_arrow_type(field.dataType) for field in [*own, *table]]
 
     def cut_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32  # only one attempt of a task is in the written table
         compress = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            for lo, hi, texts in pieces(batch[text], SLICE_BYTES):
-                counts, flat, bucket, sent = dealt(texts, buckets)
-                rest = [None] * (len(texts) - 1)
-                sent = [{"bucket": b, "words": compress(some)} for b, some in sent]
-                added = [
-                    pa.array([number] * len(texts), pa.int64()),
-                    pa.array(range(len(texts)), pa.int32()),
-                    pa.array([_pack(np.concatenate([counts, flat])), *rest], pa.binary()),
-                    pa.array([_pack(bucket), *rest], pa.binary()),
-                    pa.array([sent, *rest], sent_type),
-                ]
-                yield pa.RecordBatch.from_arrays([*(batch[name].slice(lo, hi - lo) for name in stay), *added], cut.names)
-                number += 1
+        for rows, texts in _slices(batches, text):
+            counts, flat, bucket, sent = dealt(texts, buckets)
+            sent = [{"bucket": b, "words": compress(some)} for b, some in sent]
+            first = [[_pack(np.concatenate([counts, flat]))], [_pack(bucket)], [sent]]
+            start = 0
+            for batch in rows:
+                made = [[number] * len(batch), range(start, start + len(batch)), *([*one, *[None] * (len(batch) - len(one))] for one in first)]
+                added = [pa.array(column, kind) for column, kind in zip(made, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch[name] for name in stay), *added], cut.names)
+                start += len(batch)
+                first = [[]] * 3
+            number += 1
         pa.default_memory_pool().release_unused()
 
     def segment(table: pa.Table) -> pa.Table:
