@@ -2,10 +2,11 @@
 
 In a model whose pieces hold the whitespace marker at their start only, no piece
 crosses from one marked word into the next, so a text is segmented word by word.
-Documents are read in slices of bounded size. A slice writes the places of its words, in a table of its
-own distinct marked words (the markers and the characters up to the next one), to the shared folder, and sends these words to
+Documents are read in slices of bounded size. A slice becomes the places of its words in a table of its
+own distinct marked words (the markers and the characters up to the next one), and sends these words to
 buckets by hash. A bucket sees all slices and segments each of its distinct words once; ids go back to the
 slices, which join them to their texts by position. A very frequent word so reaches its bucket once per slice.
+Texts themselves are not shuffled; the slices' shuffle files serve both ends.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,11 +30,10 @@ from sentencepiece import sentencepiece_model_pb2
 
 from palletwatch.llm.blocks import pieces
 from palletwatch.llm.rows import with_columns
-from palletwatch.session import fresh_dir
 
 MARK = "▁"
 SLICE_BYTES = 8 << 20  # of texts that share a table of distinct words
-BUCKET_BYTES = 16 << 20  # of texts, for each bucket of words
+BUCKET_BYTES = 32 << 20  # of texts, for each bucket of words
 
 APART = b"\xff"  # between words in UTF-8, where this byte never occurs
 
@@ -141,6 +142,13 @@ def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[list
         yield rows, texts
 
 
+def _digest(texts: Sequence[bytes | None]) -> str:
+    state = xxhash.xxh3_64()
+    for text in texts:
+        state.update(f"{-1 if text is None else len(text)} ".encode() + (text or b""))
+    return state.hexdigest()
+
+
 def _whole_texts(docs: DataFrame, model: bytes, text: str, drop: Sequence[str]) -> DataFrame:
     def work():
         processor = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -160,15 +168,17 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", drop: Sequence[
     The model is read where the job is started and sent along; it is under a few
     MB. Ids are those of the library for the whole text, without begin or end ids.
     A null or empty text has no ids and decodes to an empty one. Rows that repeat are rows each, an empty table gives an empty one, and
-    columns of ``docs`` called ``ids`` or ``decoded`` give way. The texts are counted and cut while the DataFrame is
-    built; what was cut stays in the shared folder, since the result reads from it. A model whose pieces cross
-    markers, or that rewrites texts, is applied to whole texts instead.
+    columns of ``docs`` called ``ids`` or ``decoded`` give way. The bytes of the texts are counted while the DataFrame is
+    built. A model whose pieces cross markers, or that rewrites texts, is applied to whole texts instead.
+
+    A part of ``docs`` that is computed again, after an executor was lost, must give the same rows in the same order, as
+    tables read from files do; write or checkpoint others first. A slice is named by a hash of its texts, so that rows that
+    came in another order end the job with an error, never with wrong ids.
     """
     with open(model_path, "rb") as file:
         model = file.read()
     if not splits_at_marks(model):
         return _whole_texts(docs, model, text, drop)
-    spark = docs.sparkSession
     docs = docs.drop("ids", "decoded")
     stay = [name for name in docs.columns if name not in drop]
     taken = {name.lower() for name in docs.columns}
@@ -178,28 +188,34 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", drop: Sequence[
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
 
     kept = [docs.schema[name] for name in stay]
-    own = T.StructType.fromDDL(f"{slice_id} long, {at} int")
+    own = T.StructType.fromDDL(f"{slice_id} string, {at} int")
     table = T.StructType.fromDDL(f"{places} binary, {bucket_of} binary, {words} array<struct<bucket:long,words:binary>>")
     cut = T.StructType([*kept, *own, *table])  # the table of a slice is in its first row
     kinds = [to_arrow_type(field.dataType) for field in [*own, *table]]
 
     def cut_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32  # only one attempt of a task is in the written table
+        part, number = TaskContext.get().partitionId(), 0
         compress = zstandard.ZstdCompressor(level=3).compress
         for rows, texts in _slices(batches, text):
             counts, flat, bucket, sent = dealt(texts, buckets)
+            name = f"{part}-{number}-{_digest(texts)}"
             sent = [{"bucket": b, "words": compress(some)} for b, some in sent]
             first = [[_pack(np.concatenate([counts, flat]))], [_pack(bucket)], [sent]]
             start = 0
             for batch in rows:
-                made = [[number] * len(batch), range(start, start + len(batch)), *([*one, *[None] * (len(batch) - len(one))] for one in first)]
+                made = [[name] * len(batch), range(start, start + len(batch)), *([*one, *[None] * (len(batch) - len(one))] for one in first)]
                 added = [pa.array(column, kind) for column, kind in zip(made, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch[name] for name in stay), *added], cut.names)
+                yield pa.RecordBatch.from_arrays([*(batch[column] for column in stay), *added], cut.names)
                 start += len(batch)
                 first = [[]] * 3
             number += 1
         pa.default_memory_pool().release_unused()
 
+    def send(table: pa.Table) -> pa.Table:
+        [sent] = pc.drop_null(table[words]).to_pylist()
+        made = {name: pa.array([one[name] for one in sent], kind) for name, kind in (("bucket", pa.int64()), ("words", pa.binary()))}
+        return pa.table({"slice": pa.array([table[slice_id][0].as_py()] * len(sent), pa.string()), **made})
+
     def segment(table: pa.Table) -> pa.Table:
         processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         unpack = zstandard.ZstdDecompressor().decompress
@@ -222,15 +238,16 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", drop: Sequence[
         left = left.take(pc.sort_indices(left[at]))
         answers = sorted(right.to_pylist(), key=lambda row: row["bucket"])
         lengths, ids = (np.concatenate([np.empty(0, np.int64), *(_unpack(row[name]) for row in answers)]) for name in ("lengths", "ids"))
+        bucket = _unpack(left[bucket_of][0].as_py()) if len(left) else []
+        if not len(left) or len(lengths) != len(bucket):
+            raise RuntimeError("documents came in another order when they were computed again: write or checkpoint them first")
         counts, flat = np.split(_unpack(left[places][0].as_py()), [len(left)])
         processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-        coded, texts = joined(processor, counts, flat, _unpack(left[bucket_of][0].as_py()), lengths, ids)
+        coded, texts = joined(processor, counts, flat, bucket, lengths, ids)
         return pa.table([*(left[name] for name in stay), coded, pa.array(texts, pa.binary()).cast(pa.string())], [*stay, "ids", "decoded"])
 
-    folder = fresh_dir(spark, "pieces")
-    docs.mapInArrow(cut_slices, cut).write.parquet(folder)
-    found = spark.read.schema(cut).parquet(folder)
-    sent = found.filter(F.col(words).isNotNull()).select(F.col(slice_id).alias("slice"), F.inline(words))
-    answers = sent.groupBy("bucket").applyInArrow(segment, "slice long, bucket long, lengths binary, ids binary")
+    slices = docs.mapInArrow(cut_slices, cut)
+    sent = slices.groupBy(slice_id).applyInArrow(send, "slice string, bucket long, words binary")
+    answers = sent.groupBy("bucket").applyInArrow(segment, "slice string, bucket long, lengths binary, ids binary")
     result = T.StructType([*kept, *T.StructType.fromDDL("ids array<int>, decoded string")])
-    return found.drop(words).groupBy(slice_id).cogroup(answers.groupBy("slice")).applyInArrow(join_back, result)
+    return slices.groupBy(slice_id).cogroup(answers.groupBy("slice")).applyInArrow(join_back, result)

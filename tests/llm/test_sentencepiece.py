@@ -87,6 +87,29 @@ def test_each_distinct_word_is_segmented_once(spark, monkeypatch, tmp_path):
     assert sorted(words) == sorted({"the", "same", "words", "and", "number", *map(str, range(7))})
 
 
+def test_slices_are_shuffled_once_and_serve_both_ends(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = encode(docs, PATH, drop=("text",))
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+
+
+def test_a_part_that_comes_in_another_order_is_an_error(spark, monkeypatch):
+    """Each reading of a part gives slices another name here, as if its rows had come in another order."""
+    import uuid
+
+    monkeypatch.setattr(sentencepiece_ids, "_digest", lambda texts: uuid.uuid4().hex)
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    monkeypatch.setattr(sentencepiece_ids, "BUCKET_BYTES", 50)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        with pytest.raises(Exception, match="came in another order"):
+            encode(docs, PATH).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
 def test_a_model_that_may_cross_marks_is_applied_to_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(sentencepiece_ids, "splits_at_marks", lambda model: False)
     for r in encode(odd.documents(spark), PATH).collect():
