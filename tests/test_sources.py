@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from palletwatch import session
 from palletwatch.operators.receipts import daily_receipts
+from palletwatch.plans import batch, stream
 from palletwatch.sources.schemas import SCHEMAS
 from palletwatch.sources.sinks import read_days, write_by_month, write_files
 from palletwatch.sources.tables import Tables
 from tests.conftest import TESTDATA
-from tests.fixtures import rows
+from tests.fixtures import events, line, lines, order, orders, rows
 
 
 @pytest.mark.parametrize("name", list(SCHEMAS))
@@ -95,3 +96,47 @@ def test_cluster_with_shared_folder():
     assert session.shared_dir(Cluster(spark_checkpoint_dir="/b", fs_defaultFS="hdfs://a")) == "/b"
     mounted = Cluster(spark_checkpoint_dir="file:///mnt/b", spark_palletwatch_mountedFolder="true")
     assert session.shared_dir(mounted) == "file:///mnt/b"
+
+
+@pytest.fixture
+def cluster(spark, monkeypatch):
+    """The test's session taken for one on a cluster whose ``spark.checkpoint.dir`` is a mounted folder."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://cluster:7077")
+    return spark
+
+
+@pytest.mark.parametrize("name", ["dock_sessions_stream"])
+def test_query_runs_on_a_cluster_with_a_mounted_folder(cluster, tmp_path, name):
+    tables = {
+        "lineitem": lines(cluster, *(line(order=i % 5, part=i % 7, supplier=i % 3, price=float(i), returned="NR"[i % 2]) for i in range(40))),
+        "orders": orders(cluster, *(order(key=i) for i in range(4))),
+        "events": events(cluster, *((i, 37 * i + i // 100 * 4000, i % 4) for i in range(300))),
+    }
+    for table, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{table}.parquet")
+    query = (batch.batch_queries() | stream.stream_queries())[name]
+    got = query(cluster, str(tmp_path))
+    cluster.sparkContext.master = "local[8]"
+    want = query(cluster, str(tmp_path))
+    assert got.count() and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_folder_of_the_local_file_system_is_tried_and_left_clean(cluster, tmp_path):
+    session._check_reached(cluster, str(tmp_path))
+    assert not list(tmp_path.iterdir())
+
+
+def test_folder_that_tasks_do_not_share_is_refused(cluster, tmp_path):
+    (tmp_path / "file").touch()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session._check_reached(cluster, str(tmp_path / "file"))
+
+
+def test_cluster_without_a_folder_uses_its_warehouse():
+    folder = Cluster(spark_sql_warehouse_dir="hdfs://a/warehouse")
+    assert session.shared_dir(folder) == "hdfs://a/warehouse/palletwatch-checkpoints"
+    folder = Cluster(spark_sql_warehouse_dir="file:/tmp/warehouse")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(folder)
+    folder.master = "local-cluster[3,2,1000]"
+    assert session.shared_dir(folder) == "file:/tmp/warehouse/palletwatch-checkpoints"
