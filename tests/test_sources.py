@@ -105,7 +105,7 @@ def cluster(spark, monkeypatch):
     return spark
 
 
-@pytest.mark.parametrize("name", ["dock_sessions_stream", "hourly_events_stream", "late_event_report", "silent_docks_stream", "sliding_events_stream", "supplier_scorecard", "unique_events_stream"])
+@pytest.mark.parametrize("name", ["dock_sessions_stream", "hourly_events_stream", "late_event_report", "silent_docks_stream", "sliding_events_stream", "supplier_scorecard", "unique_events_stream", "value_classes"])
 def test_query_runs_on_a_cluster_with_a_mounted_folder(cluster, tmp_path, name):
     tables = {
         "lineitem": lines(cluster, *(line(order=i % 5, part=i % 7, supplier=i % 3, price=float(i), returned="NR"[i % 2]) for i in range(40))),
