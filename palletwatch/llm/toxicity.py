@@ -180,20 +180,26 @@ class Counts:
 
     @classmethod
     def of(cls, texts: Sequence[str]) -> Counts:
-        """Rows that fewer than ``MIN_TEXTS`` texts have are left out, but count in ``total``."""
-        found = [_counted(text) for text in texts]
-        total = np.array([counts.sum(dtype=np.int64) for _, counts in found], np.int64)
-        often = np.zeros(ROWS, np.int64)
-        for rows, _ in found:
+        """Rows that fewer than ``MIN_TEXTS`` texts have are left out, but count in ``total``.
+
+        Every text is counted twice, first for the sizes, so that the driver holds no more than what stays, in two arrays that
+        it can give back. Numbers are as narrow as the largest allows.
+        """
+        total, most, often = np.zeros(len(texts), np.int64), 0, np.zeros(ROWS, np.int64)
+        for i, text in enumerate(texts):
+            rows, counts = _counted(text)
             often[rows] += 1
-        often = often >= MIN_TEXTS
-        begin = np.concatenate([[0], np.cumsum([often[rows].sum() for rows, _ in found])]).astype(np.int64)
-        out = cls(np.empty(begin[-1], np.int32), np.empty(begin[-1], np.float32), begin, total)
-        for i in reversed(range(len(found))):  # what is copied is let go
-            rows, counts = found.pop()
-            kept = often[rows]
-            out.rows[begin[i] : begin[i + 1]] = rows[kept]
-            out.counts[begin[i] : begin[i + 1]] = counts[kept]
+            total[i] = counts.sum(dtype=np.int64)
+            most = max(most, int(counts.max(initial=0)))
+        kept = often >= MIN_TEXTS
+        size = int(often[kept].sum())
+        out = cls(np.empty(size, np.int32), np.empty(size, np.min_scalar_type(most)), np.zeros(len(texts) + 1, np.int64), total)
+        for i, text in enumerate(texts):
+            rows, counts = _counted(text)
+            stay = kept[rows]
+            span = slice(out.begin[i], out.begin[i] + np.count_nonzero(stay))
+            out.rows[span], out.counts[span] = rows[stay], counts[stay]
+            out.begin[i + 1] = span.stop
         return out
 
 
@@ -228,7 +234,7 @@ def _train(grams: Counts, chosen: np.ndarray, labels: np.ndarray, seed: int) ->
             spans = [slice(grams.begin[i], grams.begin[i + 1]) for i in chosen[batch]]
             sizes = [span.stop - span.start for span in spans]
             rows = np.concatenate([grams.rows[span] for span in spans])
-            weights = np.concatenate([grams.counts[span] for span in spans])
+            weights = np.concatenate([grams.counts[span] for span in spans]).astype(np.float32)
             weights *= np.repeat((GAIN / (grams.total[chosen[batch]] + PADDING)).astype(np.float32), sizes)
             text = np.repeat(np.arange(len(batch)), sizes)
             apart = softmax[:, 1] - softmax[:, 0]

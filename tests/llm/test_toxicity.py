@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -91,3 +92,28 @@ def test_the_curve_asks_more_of_short_texts():
     odd_ones = [b"", b" \n", "é\u4e2d".encode(), b"x" * 5000, b"." * 50]
     together = model.score(odd_ones)
     assert together == pytest.approx([model.score([t])[0] for t in odd_ones])
+
+
+def test_counting_holds_little_more_than_what_stays():
+    texts, _ = made_up(600, 3)
+    toxicity.Counts.of(texts[:10])
+    tracemalloc.start()
+    try:
+        counts = toxicity.Counts.of(texts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert counts.counts.itemsize == 1 and len(counts.rows) > 300_000
+    fixed = 4 * toxicity.ROWS * 8  # some numbers for each row, however many texts there are
+    assert most < counts.rows.nbytes + counts.counts.nbytes + fixed
+
+
+def test_counts_of_texts_one_after_the_other():
+    texts = ["abab cd", "", "abab", *["abab cd ef"] * 3, "xyzxyz", *["é" * 70_000] * 5, "..."]
+    counts, each = toxicity.Counts.of(texts), [toxicity._counted(text) for text in texts]
+    often = np.bincount(np.concatenate([rows for rows, _ in each]), minlength=toxicity.ROWS) >= toxicity.MIN_TEXTS
+    assert counts.total.tolist() == [found.sum() for _, found in each]
+    for i, (rows, found) in enumerate(each):
+        span = slice(counts.begin[i], counts.begin[i + 1])
+        assert (counts.rows[span] == rows[often[rows]]).all() and (counts.counts[span] == found[often[rows]]).all()
+    assert counts.begin[-1] == len(counts.rows) == len(counts.counts) and counts.counts.max() > 65_535
